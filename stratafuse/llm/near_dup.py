@@ -132,14 +132,15 @@ def _prefixes(counts, percent: int):
 
 
 def _rare_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str) -> DataFrame:
-    """The members of open buckets, bucketed by the prefix filter instead: key, id, n, central."""
+    """The members of open buckets, bucketed by the prefix filter instead: key, id, n, central and
+    pos, the shingles of the set that come before this one."""
     info = C.saved(spark, members.select("id", "n", "central").distinct(), root, "rest-ids")
     rest = C.saved(spark, sets.join(info.select("id"), "id", "left_semi"), root, "rest")
     found = rest.select("members").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(1 << SLOTS_LOG, np.int32)
     table[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**31 - 1)
     counts = spark.sparkContext.broadcast(table)
-    keys = rest.mapInArrow(_prefixes(counts, percent), "id struct<node:long,hi:long,lo:long>, keys array<long>").select("id", F.explode("keys").alias("key"))
+    keys = rest.mapInArrow(_prefixes(counts, percent), "id struct<node:long,hi:long,lo:long>, keys array<long>").select("id", F.posexplode("keys").alias("pos", "key"))
     keys = C.saved(spark, keys, root, "rare-all")
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     return C.saved(spark, keys.join(shared, "key", "left_semi").join(info, "id"), root, "rare")
@@ -193,7 +194,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     sizes = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = C.saved(spark, exploded.join(sizes, "key"), root, "members")
     central = members.groupBy("hi", "lo").agg(F.sum("members").alias("central"))
-    members = C.saved(spark, members.drop("members").join(central, ["hi", "lo"]).withColumn("id", F.struct("node", "hi", "lo")).drop("hi", "lo", "node"), root, "buckets")
+    members = C.saved(spark, members.drop("members").join(central, ["hi", "lo"]).withColumn("id", F.struct("node", "hi", "lo")).drop("hi", "lo", "node").withColumn("pos", F.lit(0)), root, "buckets")
 
     wanted = C.saved(spark, members.select("id.node").distinct(), root, "wanted")
     sets = C.by_ids(docs.withColumnRenamed("doc_id", "node"), wanted, "node", "left_semi").select(F.col("node").alias("doc_id"), "text").mapInArrow(_full_sets(words), "node long, hi long, lo long, members binary")
@@ -211,10 +212,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         if i == 1:
             members = _rare_buckets(spark, sets, members, percent, root)
             members = C.saved(spark, _with_comps(members, comps), root, "rare-comps")
-            hubs = 4
+            hubs = 64
         first = Window.partitionBy("key").orderBy(F.desc("central"), "id")
-        top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        fits = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("comp") != F.col("hub_comp"))
+        top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
+        # what follows their first shared shingle in both sets must hold all that they have to share
+        fits = (F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent) & (F.col("comp") != F.col("hub_comp"))
         star = members.join(top, "key").where(fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tested is not None:
             star = star.join(tested, ["a", "b"], "left_anti")
@@ -227,7 +229,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             links = hit if links is None else links.union(hit)
             comps = C.components(spark, links, root, f"comps-{i}")
         members = members.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs *= 4
+        hubs *= 16
 
     out = classes.select("hi", "lo", "node", "copies")
     if comps is not None:
