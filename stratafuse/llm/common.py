@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,14 +76,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of byte words; equal in every process and run."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    a = np.empty(len(words), object)
-    a[:] = words
-    codes, distinct = pd.factorize(a)
-    return pd.util.hash_array(distinct, categorize=False)[codes]
+_IS_SEPARATOR = np.zeros(256, bool)
+_IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D | 1
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (at least) of the hash base and of its inverse modulo 2^64."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[name] = np.multiply.accumulate(x)
+    return _powers["up"], _powers["down"]
+
+
+def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and the offsets at which each text's words
+    start (one more than texts). Polynomial hashes of random byte values, by one running sum."""
+    ends = np.cumsum([len(x) + 1 for x in blobs]) if blobs else np.zeros(0, np.int64)
+    a = np.frombuffer(b"\n".join([*blobs, b""]), np.uint8)
+    up, down = powers(len(a) + 1)
+    gap = _IS_SEPARATOR[a]
+    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    starts, stops = edge[0::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
+        h = mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    return h, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -100,17 +123,6 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def word_lists(texts: Iterable[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """All words of the texts with A-Z lower-cased, and the offsets at which each text starts."""
-    words: list[bytes] = []
-    at = [0]
-    for t in texts:
-        if t:
-            words += t.encode().lower().split()
-        at.append(len(words))
-    return words, np.asarray(at)
-
-
 # ---------------------------------------------------------------- graph
 
 

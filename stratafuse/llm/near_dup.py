@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +32,7 @@ BINS, ROWS = 128, 4  # 32 bands: a pair at 0.8 is missed with probability 5e-8,
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's k-word shingles (fewer words: the whole
     sequence is the one shingle; no words: empty)."""
-    words, at = C.word_lists(texts)
-    h = C.hash_words(words)
+    h, at = C.word_hashes([t.encode().lower() if t else b"" for t in texts])
     runs, sets = C.window_hashes(h, k), []
     for s, e in zip(at[:-1], at[1:], strict=True):
         if e - s >= k:
