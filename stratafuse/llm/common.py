@@ -95,15 +95,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and the offsets at which each text's words
-    start (one more than texts). Polynomial hashes of random byte values, by one running sum."""
+def word_hashes(blobs: list[bytes], prefix: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts (of their first ``prefix`` bytes), and the
+    offsets at which each text's words start (one more than texts). Polynomial hashes of random
+    byte values, by one running sum."""
     ends = np.cumsum([len(x) + 1 for x in blobs]) if blobs else np.zeros(0, np.int64)
     a = np.frombuffer(b"\n".join([*blobs, b""]), np.uint8)
     up, down = powers(len(a) + 1)
     gap = _IS_SEPARATOR[a]
     edge = np.flatnonzero(np.diff(gap, prepend=True))
     starts, stops = edge[0::2], edge[1::2]
+    stops = np.minimum(stops, starts + prefix)
     with np.errstate(over="ignore"):
         total = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
