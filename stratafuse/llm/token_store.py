@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,15 @@ DIGEST = 16
 LEAST, MOST, MASK, WINDOW = 128, 2048, np.uint64(511), 16
 FRAME, PACK = 1 << 17, 64 << 20
 #: Entries of each cache of encoded words.
-CACHE = 500_000
+CACHE = 1_000_000
 _UNITS = re.compile(r"(?<=\S)(?= \S)")
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+_ODD = (re.compile(r"[.,](?:\S|(?<![^\W_][.,]))"), re.compile(r"[^ \n\S]"), re.compile(r"\s\s"))
+
+
+def _plain(text: str) -> bool:
+    """White space is single spaces and newlines between other characters, and full stops and
+    commas stand alone between a letter or digit and white space or the end."""
+    return not (text[0].isspace() or text[-1].isspace() or "\0" in text or any(x.search(text) for x in _ODD))
 
 
 def _visible() -> dict[int, str]:
@@ -51,10 +58,10 @@ _VISIBLE = _visible()
 
 
 class Encoder:
-    """Texts to ids with a bounded cache. A single space between two other characters always
-    starts a new pre-token of a byte-level tokenizer, so what stands between such spaces
-    is encoded on its own; a word of letters and the punctuation after it are two pre-tokens,
-    so the model encodes each word once for all endings."""
+    """Texts to ids with a bounded cache of encoded units. A single space between two other
+    characters always starts a new pre-token of a byte-level tokenizer, so what stands
+    between such spaces is encoded on its own; in plain text full stops, commas and
+    newlines are cut off too. A unit of letters is one pre-token and goes straight to the model."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,63 +69,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.parts: dict[str, bytes] = {}  # after a space
-        self.words: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.units: dict[str, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         pre = config["pre_tokenizer"] or {}
         self.split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config["normalizer"] and not config["post_processor"]
         self.special = [x["content"] for x in config["added_tokens"]]
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _whole(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
 
     def _unit(self, unit: str) -> bytes:
-        got = self.units.get(unit)
-        if got is None:
-            if len(self.units) > CACHE:
-                self.units.clear()
-            got = self.units[unit] = self._whole(unit)
-        return got
-
-    def _part(self, part: str) -> bytes | None:
-        """Ids of " " + part; None if the space isn't a cut."""
-        if not part or part[0].isspace() or part[-1].isspace():
-            return None
-        m = _WORD_AND_MARKS.fullmatch(part)
-        if m and m[1].isalpha():
-            word = self.words.get(m[1])
-            if word is None:
-                if len(self.words) > CACHE:
-                    self.words.clear()
-                seen = " " + m[1]
-                seen = seen.encode().decode("latin-1").translate(_VISIBLE)
-                word = self.words[m[1]] = np.array([t.id for t in self.model.tokenize(seen)], self.kind).tobytes()
-            got = word + self._unit(m[2]) if m[2] else word
+        """Ids of what stands between two cuts (its own leading space included)."""
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha():
+            got = self._bytes([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_VISIBLE))])
         else:
-            got = self._whole(" " + part)
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        self.parts[part] = got
+            got = self._whole(unit)
+        if len(self.units) > CACHE:
+            self.units.clear()
+        self.units[unit] = got
         return got
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         if not self.split or any(x in text for x in self.special):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            got = list(map(self.parts.get, rest))
-            if None in got:
-                got = [self._part(p) if g is None else g for p, g in zip(rest, got, strict=True)]
-            if None not in got:
-                return self._unit(first) + b"".join(got)
-        elif not text:
-            return b""
-        out = []
-        for u in _UNITS.split(text):
-            got = (self.parts.get(u[1:]) or self._part(u[1:])) if u[0] == " " and len(u) > 1 else None
-            out.append(self._unit(u) if got is None else got)
-        return b"".join(out)
+        if not _plain(text):
+            units = _UNITS.split(text)
+        else:
+            units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
+        got = list(map(self.units.get, units))
+        if None in got:
+            got = [self._unit(u) if g is None else g for u, g in zip(units, got, strict=True)]
+        return b"".join(got)
 
 
 #: One encoder a worker process and path, so that its cache serves all tasks of the process.
