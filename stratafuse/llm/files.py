@@ -25,7 +25,7 @@ class FrameWriter:
     def __init__(self, uri: str, frame: int, level: int = 1):
         self.fs, path = open_fs(uri)
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.frame, self.at = self.fs.open_output_stream(path), frame, 0
+        self.out, self.frame, self.at = self.fs.open_output_stream(path, compression=None), frame, 0
         self.pack, self.part, self.raw, self.frames, self.total = zstandard.ZstdCompressor(level=level), io.BytesIO(), 0, [], 0
 
     def add(self, item: bytes) -> tuple[int, int]:
