@@ -91,6 +91,10 @@ def _node(t: dict, path: str = "r") -> Column:
     return F.when(F.col(f"f_{t['feature']}") <= F.lit(float(t["at"])), _node(t["left"], path + "0")).otherwise(_node(t["right"], path + "1"))
 
 
+def _below(feature: str):
+    return lambda edge: edge < F.col(f"f_{feature}")
+
+
 def fit(sample: DataFrame) -> Model:
     """Boosted trees from (label_value 0/1, f_*) rows; without both labels only the prior."""
     import math
@@ -105,7 +109,7 @@ def fit(sample: DataFrame) -> Model:
     row = sample.agg(*[F.percentile_approx(f"f_{k}", cuts, 10_000).alias(k) for k in FEATURES]).first()
     edges = {k: sorted(set(row[k])) for k in FEATURES}
     model = Model(prior, edges, [])
-    bins = {k: F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[k]]), lambda e, k=k: e < F.col(f"f_{k}"))) for k in FEATURES}
+    bins = {k: F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[k]]), _below(k))) for k in FEATURES}
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), b.alias("bin")) for k, b in bins.items()])).alias("c")
     for _ in range(TREES):
         tree: dict = {}
