@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 
 from stratafuse.functions import geometry as G
 
+# Names that stored records use.
 DISTORTION_MODELS = ("none", "brown_conrady", "fisheye")
-TRUTH_FLAGS = ("observed_surface", "not_completed", "no_objects", "fixture_only")
+TRACKING_STATES = ("OK", "LOW_CONFIDENCE", "RELOCALIZING", "LOST", "NEW_SUBMAP")
+SCALE_SOURCES = ("rgb_prior", "calibrated_rgb", "known_anchor", "external_pose")
+SURFACE_SOURCES = (0, 1, 2, 3, 4)
+TRUTH_FLAGS = ("low_fidelity_reference_only", "observed_surface_samples", "not_completed_surface", "not_accuracy_report")
+ARRAY_KEYS = ("depth_m", "depth_sigma_m", "normal_camera", "point_world", "confidence", "static_mask")
 
 
 class ConstraintError(ValueError):
@@ -139,6 +144,11 @@ def truth_boundary(shape_only: str, others: Sequence[str]) -> Column:
     return known & (~F.col(shape_only) | none)
 
 
+def mesh_truth_flags(flags: str) -> Column:
+    """All required flags are there and completed surfaces are not claimed."""
+    return (F.size(F.array_except(F.array(*map(F.lit, TRUTH_FLAGS)), F.col(flags))) == 0) & ~F.array_contains(flags, "completed_surface")
+
+
 def has_json_key(text: str, key: str) -> Column:
     """Whether a JSON object has a key at all; a null value counts as present."""
     return F.array_contains(F.json_object_keys(text), key)

@@ -76,10 +76,11 @@ def voxel_samples(frames: DataFrame, grid: Grid = GRID, scene: Scene = ROOM) ->
 
 def integrate(samples: DataFrame) -> DataFrame:
     """ix, iy, iz, tsdf, weight: weighted means over all samples of a voxel. Sums are of integers
-    (1e-9 units), so they don't depend on the order in which executors deliver them."""
+    (1e-9 units), so they don't depend on the order in which executors deliver them; results
+    have single precision, on which the surface threshold depends."""
     unit = F.lit(1e9)
     out = samples.groupBy("ix", "iy", "iz").agg(F.sum(F.round(F.col("s") * F.col("w") * unit).cast("long")).alias("_sw"), F.sum(F.round(F.col("w") * unit).cast("long")).alias("_w"))
-    return out.select("ix", "iy", "iz", F.round(F.col("_sw").cast("double") / F.col("_w").cast("double"), 6).alias("tsdf"), F.round(F.col("_w").cast("double") / unit, 6).alias("weight"))
+    return out.select("ix", "iy", "iz", G.float32(F.col("_sw").cast("double") / F.col("_w").cast("double")).alias("tsdf"), G.float32(F.col("_w").cast("double") / unit).alias("weight"))
 
 
 def dense(volume: DataFrame, spark, grid: Grid = GRID) -> DataFrame:
@@ -131,6 +132,6 @@ def compare_volumes(left: DataFrame, right: DataFrame) -> DataFrame:
 def triangle_markers(surface: DataFrame, voxel: float) -> DataFrame:
     """sample_id, corner, vertex_id, x, y, z: a small triangle around each sample (needs sample_id)."""
     r = 0.16 * voxel
-    offsets = F.array(*[F.struct(F.lit(k).alias("corner"), F.lit(a).alias("dx"), F.lit(b).alias("dz")) for k, (a, b) in enumerate(((-r, -r), (r, -r), (0.0, r)))])
+    offsets = F.array(*[F.struct(F.lit(k).alias("corner"), F.lit(a).alias("dx"), F.lit(b).alias("dy")) for k, (a, b) in enumerate(((-r, -r), (r, -r), (-r, r)))])
     rows = surface.select("sample_id", "x", "y", "z", F.explode(offsets).alias("o"))
-    return rows.select("sample_id", F.col("o.corner").alias("corner"), (F.col("sample_id") * 3 + F.col("o.corner")).alias("vertex_id"), (F.col("x") + F.col("o.dx")).alias("x"), "y", (F.col("z") + F.col("o.dz")).alias("z"))
+    return rows.select("sample_id", F.col("o.corner").alias("corner"), (F.col("sample_id") * 3 + F.col("o.corner")).alias("vertex_id"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "z")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stratafuse.functions import geometry as G
 
-#: Stages of a run in order; the middle three repeat for every frame.
-STAGES = ("session_start", "source_open", "frame_read", "predict", "cache_write", "fusion", "surface", "sidecars", "session_end")
+# The stages of a run in order; those that name a frame come once for each frame.
+STAGES = ("runtime_start", "session_write", "source_frame", "adapter_cache_write", "adapter_cache_frame", "tsdf_replay", "tsdf_replay_frame", "tsdf_output_write", "runtime_complete")
 
 
 def estimate_normals(pixels: DataFrame) -> DataFrame:
@@ -47,19 +47,21 @@ def order_violations(df: DataFrame, run: str, order: str, index: str, monotonic:
         F.when(F.coalesce(F.col(index) != before + 1, F.col(index) != 0), F.lit("dense_index")),
         F.when(F.col(monotonic) < F.lag(monotonic).over(w), F.lit("monotonic")),
     )
-    return df.select(run, index, F.explode(F.array_compact(checks)).alias("check"))
+    return df.withColumn("_checks", F.array_compact(checks)).select(run, index, F.explode("_checks").alias("check"))
 
 
 def expected_layout(frame_ids: DataFrame) -> DataFrame:
-    """(event_index, stage, frame_id): the sequence of stages of a run over the frames (frame_id ascending)."""
-    single = [(i, s) for i, s in enumerate(STAGES)]
-    spark = frame_ids.sparkSession
-    table = spark.createDataFrame(single, "k int, stage string")
+    """(event_index, stage, frame_id): the stages of a run over the frames (frame_id ascending);
+    each stage that ends in _frame is repeated for every frame before the next stage begins."""
+    spark, n = frame_ids.sparkSession, frame_ids.count()
+    start, rows = 0, []
+    for s in STAGES:
+        rows.append((s, start, s.endswith("_frame")))
+        start += n if s.endswith("_frame") else 1
+    table = spark.createDataFrame(rows, "stage string, start long, each boolean")
     ranked = global_rank(frame_ids.select("frame_id"), "frame_id")
-    n = frame_ids.count()
-    per_frame = table.where("k between 2 and 4").join(ranked).select((F.lit(2) + F.col("rank") * 3 + F.col("k") - 2).alias("event_index"), "stage", "frame_id")
-    rest = table.where("k < 2 or k > 4").select(F.when(F.col("k") < 2, F.col("k")).otherwise(F.col("k") + 3 * n - 3).cast("long").alias("event_index"), "stage", F.lit(None).cast("long").alias("frame_id"))
-    return per_frame.unionByName(rest)
+    frames = ranked.crossJoin(F.broadcast(table.where("each"))).select((F.col("start") + F.col("rank")).alias("event_index"), "stage", "frame_id")
+    return frames.unionByName(table.where("not each").select(F.col("start").alias("event_index"), "stage", F.lit(None).cast("long").alias("frame_id")))
 
 
 def global_rank(df: DataFrame, *keys: str) -> DataFrame:
