@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratafuse.functions import geometry as G
 
@@ -118,7 +119,7 @@ def covariance_symmetric(c: str, n: int = 6, tolerance: float = 1e-6) -> Column:
     return F.when(F.size(c) == n * n, finite_array(c) & ok)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def covariance_psd(c: pd.Series) -> pd.Series:
     """Smallest eigenvalue of a 6x6 covariance at least -1e-6; null and malformed arrays fail."""
     good = c.map(lambda x: x is not None and len(x) == 36 and bool(np.isfinite(np.asarray(x, float)).all())).astype(bool)
