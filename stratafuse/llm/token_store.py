@@ -14,6 +14,7 @@ seeks for the chunks that were elected elsewhere.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -38,13 +39,14 @@ FRAME, PACK = 1 << 17, 64 << 20
 #: Entries of each cache of encoded words.
 CACHE = 1_000_000
 _UNITS = re.compile(r"(?<=\S)(?= \S)")
-_ODD = (re.compile(r"[.,](?:\S|(?<![^\W_][.,]))"), re.compile(r"[^ \n\S]"), re.compile(r"\s\s"))
+_ODD = (re.compile(r"[.,](?:\S|(?<![^\W_][.,]))"), re.compile(r"[^ \n\S]"))
+_DOUBLE = ("  ", " \n", "\n ", "\n\n", "\0")
 
 
 def _plain(text: str) -> bool:
     """White space is single spaces and newlines between other characters, and full stops and
     commas stand alone between a letter or digit and white space or the end."""
-    return not (text[0].isspace() or text[-1].isspace() or "\0" in text or any(x.search(text) for x in _ODD))
+    return not (text[0].isspace() or text[-1].isspace() or any(x in text for x in _DOUBLE) or any(x.search(text) for x in _ODD))
 
 
 def _visible() -> dict[int, str]:
@@ -168,6 +170,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _write(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the cache makes collections slow
         coder = encoder(tokenizer)
         end = np.array([end_id], coder.kind).tobytes()
         writer, name, number, seen, pending, rows = None, "", 0, set(), [], []
