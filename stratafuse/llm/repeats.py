@@ -8,7 +8,7 @@ counting. What is left, different pieces around one anchor, is indexed: per bloc
 anchors a Burrows-Wheeler transform is built and run-compressed, with suffix-array
 samples at the run ends, and matching statistics stream over the text: inside a run
 the match of the previous position just loses a byte, so only run heads are compared.
-Anchors with very many pieces go by counting hashes of single windows instead, which
+Anchors with very many pieces go by counting hashes of ranges of windows instead, which
 is exact as well and never gathers a group.
 """
 
@@ -218,17 +218,63 @@ def _index(length: int):
     return run
 
 
-def _single_windows(length: int):
+#: Parts into which a range of windows is split a round.
+PARTS = 4
+RANGE = "anchor long, piece long, low int, high int, first int, last int, core long, span long"
+
+
+def _split_ranges(length: int, context: int):
+    """Pieces with a range of windows (low..high, counted from the anchor) into its parts, with a
+    hash of the bytes that all windows of a part share and one of the bytes that they span."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for anchor, piece, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "piece", "data")), strict=True):
-                at = np.arange(len(data) - length + 1)
-                h = Rolled(np.frombuffer(data, np.uint8)).of(at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(at), pa.int64()), pa.array([piece] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(h.view(np.int64), pa.int64())], ["anchor", "piece", "at", "window"])
+            out = []
+            for anchor, piece, data, ranges in zip(*(b.column(c).to_pylist() for c in ("anchor", "piece", "data", "ranges")), strict=True):
+                r, n = Rolled(np.frombuffer(data, np.uint8)), len(data) - length + 1
+                at = np.arange(len(data) - context + 1)
+                lead = int(np.argmax(r.of(at, at + context).view(np.int64) == anchor))
+                for x in ranges:
+                    low, high = x["low"], x["high"]
+                    step = max(1, -(-(high - low + 1) // PARTS))
+                    for lo in range(low, high + 1, step):
+                        hi = min(high, lo + step - 1)
+                        first, last = max(lo + lead, 0), min(hi + lead, n - 1)  # windows of the piece in the part
+                        if first <= last:
+                            core, span = (int(r.of(np.array([s]), np.array([e])).view(np.int64)[0]) for s, e in ((hi + lead, lo + lead + length), (first, last + length)))
+                            out.append((anchor, piece, lo, hi, first, last, core, span))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i in (0, 1, 6, 7) else pa.int32()) for i in range(8)], [x.split()[0] for x in RANGE.split(", ")])
 
     return run
 
 
+def _crowded_spans(spark: SparkSession, cut: DataFrame, length: int, context: int, root: str) -> DataFrame:
+    """Repeated windows of the pieces of crowded anchors, by counting hashes (anchor, piece, spans).
+
+    Windows are taken in ranges. What all windows of a range share must occur in two pieces, else
+    none of them repeats; if all that they span does, all of them repeat; other ranges are
+    split. So a piece costs a few rows a round instead of one a window."""
+    cut = C.saved(spark, cut, root, "crowd")
+    live = cut.select("anchor", "piece", F.array(F.struct(F.lit(context - length).alias("low"), F.lit(0).alias("high"))).alias("ranges"))
+    settled = None
+    for i in range(32):
+        if live.isEmpty():
+            break
+        parts = cut.join(live, ["anchor", "piece"]).select("anchor", "piece", "data", "ranges").mapInArrow(_split_ranges(length, context), RANGE)
+        parts = C.saved(spark, parts, root, f"parts-{i}")
+        spans = parts.groupBy("anchor", "low", "high", "core", "span").agg(F.count("*").alias("same"), F.min("piece").alias("witness"))
+        cores = spans.groupBy("anchor", "low", "high", "core").agg(F.sum("same").alias("n"), F.count("*").alias("kinds")).where("n > 1").drop("n")
+        spans = spans.join(cores, ["anchor", "low", "high", "core"])
+        parts = C.saved(spark, parts.join(spans, ["anchor", "low", "high", "core", "span"]), root, f"judged-{i}")
+        done = parts.where("same > 1 or low = high").select("anchor", "piece", "first", "last")
+        settled = done if settled is None else settled.union(done)
+        # of settled pieces one goes on for the others to be compared with
+        live = parts.where("kinds > 1 and low < high and (same = 1 or piece = witness)").groupBy("anchor", "piece").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    if settled is None:
+        return spark.createDataFrame([], SETTLED)
+    return settled.groupBy("anchor", "piece").agg(F.flatten(F.collect_list(F.array("first", F.col("last") + 1))).alias("spans"))
+
+
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -278,10 +324,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, c
     cut = C.saved(spark, cut, root, "cut")
     crowded = several.where(F.col("kinds") > crowd).select("anchor").distinct()
     indexed = cut.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_index(length), SETTLED)
-    single = cut.join(crowded, "anchor", "left_semi").mapInArrow(_single_windows(length), "anchor long, piece long, at int, window long")
-    single = C.saved(spark, single, root, "windows")
-    again = single.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1")
-    starts = single.join(again, ["anchor", "window"], "left_semi").groupBy("anchor", "piece").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("spans"))
+    starts = _crowded_spans(spark, cut.join(crowded, "anchor", "left_semi"), length, context, root)
     partly = C.saved(spark, indexed.union(starts), root, "settled")
 
     # all windows of a piece with several copies repeat; of the others those that were found

@@ -92,13 +92,16 @@ def scan_versions(spark: SparkSession, docs: DataFrame, ledger: str, rules: str
     keyed = docs.select("doc_id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("blob"), "text")
     paths = C.saved(spark, keyed.drop("text"), root, "paths")
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("first"))
-    if _exists(spark, ledger):
+    incremental = _exists(spark, ledger)
+    if incremental:
         blobs = blobs.join(spark.read.parquet(ledger).where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     blobs = C.saved(spark, blobs, root, "unseen")
     other = paths.join(blobs, "blob", "left").where(F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("doc_id") != F.col("first"))))
     # an id that is also the first path of an unseen blob is read again
     spare = C.saved(spark, other.select("doc_id").distinct().join(blobs.select(F.col("first").alias("doc_id")), "doc_id", "left_anti"), root, "spare")
     todo = C.by_ids(keyed, spare, "doc_id", "left_anti")
+    if incremental:  # ids that name a known and an unseen blob, and null ids
+        todo = C.by_ids(todo, blobs.select("blob"), "blob", "left_semi")
     new = todo.select("blob", "text").mapInArrow(_scan, FOUND).withColumn("rules", F.lit(rules))
     new.write.mode("append").parquet(ledger)
     found = spark.read.parquet(ledger).where((F.col("rules") == rules) & (F.col("spans") != "")).drop("rules").dropDuplicates(["blob"])

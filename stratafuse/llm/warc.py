@@ -137,7 +137,7 @@ def _read(folder: str):
 
 def read_record(folder: str, bundle: str, frame: int, in_frame: int) -> tuple[dict[str, str], bytes]:
     """Headers and block of one indexed record: one seek, one frame."""
-    fs, path = files.open_fs(f"{folder}/{bundle}")
+    fs, path = files.open_fs(f"{folder}/bundles/{bundle}")
     with fs.open_input_file(path) as f:
         at, packed, raw = read_seek_table(f, f.size())[frame]
         f.seek(at)
