@@ -183,11 +183,12 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in bench.collect()]))
         return docs.mapInArrow(_against(index, cover), LEAKS)
     root = C.work_dir(spark)
-    schema = "id long, any array<long>, own array<long>"
-    have = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").mapInArrow(_seeds, schema).select(F.col("id").alias("doc_id"), F.explode("any").alias("seed"))
-    want = bench.where("item_id is not null").select(F.col("item_id").alias("id"), "text").mapInArrow(_seeds, schema).select(F.col("id").alias("item_id"), F.explode("own").alias("seed"))
-    pairs = C.saved(spark, have.join(want, "seed").select("doc_id", "item_id").distinct(), root, "pairs")
-    both = pairs.join(docs, "doc_id").join(bench.withColumnRenamed("text", "item"), "item_id")
+    # rows meet their pairs by a digest of id and text, so null and repeated ids are kept apart
+    docs = docs.where("text is not null").withColumn("uid", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
+    have = docs.select(F.col("uid").alias("id"), "text").mapInArrow(_seeds, "id string, any array<long>, own array<long>").select(F.col("id").alias("uid"), F.explode("any").alias("seed"))
+    want = bench.where("item_id is not null").select(F.col("item_id").alias("id"), "text").mapInArrow(_seeds, "id long, any array<long>, own array<long>").select(F.col("id").alias("item_id"), F.explode("own").alias("seed"))
+    pairs = C.saved(spark, have.join(want, "seed").select("uid", "item_id").distinct(), root, "pairs")
+    both = pairs.join(docs, "uid").join(bench.withColumnRenamed("text", "item"), "item_id")
     return both.select("doc_id", "item_id", "text", "item").mapInArrow(_tile_pairs(cover), LEAKS)
 
 

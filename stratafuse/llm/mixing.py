@@ -11,14 +11,14 @@ a source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from stratafuse.llm import common as C
 
 DIGITS, HEX = 3, 15  # hex digits refined a level, digits of the hash in all
 
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, cap: float) -> DataFrame:
     """source, source_size, target from (source, source_size). Sources in code point order, null
     last, weigh ``weights`` in turn and share factor * (all sizes); a target stops at cap *
@@ -36,30 +36,27 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float,
     return top.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source, ...).
+#: Sources up to this many are broadcast with their thresholds; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
-    size counts the words of the text (null: 0). Each source gives floor(target / size)
-    whole copies of all its documents and, of one copy more, the documents whose hash lies
-    below its threshold: the longest run in hash order whose sizes fit what is left, so the
-    words taken miss the target by half a document at most (the document at the threshold
-    comes along if that is nearer). taken is size times the copies.
-    The hash is the md5 of the doc_id, so reruns agree; rows of one doc_id (also null)
-    share a hash and are taken together or not at all. A source without words has
-    target 0; an empty table gives an empty result.
-    """
-    root = C.work_dir(spark)
-    hashed = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, HEX)
-    size = F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long")
-    rows = C.saved(spark, docs.select("doc_id", "source", size.alias("size"), hashed.alias("h")), root, "sizes")
+
+def id_hash(doc_id: Column) -> Column:
+    """A document's place in the mix."""
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, HEX)
+
+
+def thresholds(spark: SparkSession, rows: DataFrame, root: str, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, bool]:
+    """(one row a source: g (the source), source_size, target, copies, edge, nearer; whether these
+    are few enough to be broadcast) from written ``rows`` (source, size, h)."""
     targets = C.saved(spark, source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, cap), root, "targets")
+    few = targets.count() <= BROADCAST_SOURCES
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("long")
     goal = targets.withColumn("copies", whole).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
 
     # level by level: prefix is the boundary bucket, below the words that lie before it
     bound = goal.select("source", "budget", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for i, done in enumerate(range(0, HEX, DIGITS)):
-        inside = rows.join(F.broadcast(bound), rows["source"].eqNullSafe(bound["source"]) & (F.substring("h", 1, done) == F.col("prefix")))
+        inside = rows.join(F.broadcast(bound) if few else bound, rows["source"].eqNullSafe(bound["source"]) & (F.substring("h", 1, done) == F.col("prefix")))
         hist = inside.groupBy(rows["source"], "budget", "prefix", "below", F.substring("h", 1, done + DIGITS).alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("h0"), F.max("h").alias("h1"))
         run = Window.partitionBy("source").orderBy("bucket")
         hist = hist.withColumn("upto", F.col("below") + F.sum("words").over(run)).where(F.col("upto") > F.col("budget"))
@@ -69,9 +66,39 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3.0,
             break
     nearer = F.col("upto") - F.col("budget") < F.col("budget") - F.col("below")
     edge = bound.select(F.col("source").alias("s"), F.col("h0").alias("edge"), nearer.alias("nearer"))
-    per_source = goal.select(F.col("source").alias("g"), "source_size", "target", "copies").join(edge, F.col("g").eqNullSafe(F.col("s")), "left").drop("s")
-    extra = F.when(F.col("edge").isNull() & (F.col("target") > F.col("copies") * F.col("source_size")), 1).when((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("nearer")), 1).otherwise(0)
-    return rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken"), (F.col("copies") + extra).alias("times"))
+    out = goal.select(F.col("source").alias("g"), "source_size", "target", "copies").join(edge, F.col("g").eqNullSafe(F.col("s")), "left").drop("s")
+    return C.saved(spark, out, root, "thresholds"), few
+
+
+def times(h: Column, at: str = "") -> Column:
+    """How often a document of hash ``h`` is taken, by its source's row of :func:`thresholds` (in the struct ``at``)."""
+    edge, nearer, target, copies, size = (F.col(at + x) for x in ("edge", "nearer", "target", "copies", "source_size"))
+    all_more = edge.isNull() & (target > copies * size)
+    return copies + F.when(all_more | (h < edge) | ((h == edge) & nearer), 1).otherwise(0)
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), id_hash(F.col("doc_id")).alias("h"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source, ...).
+
+    size counts the words of the text (null: 0). Each source gives floor(target / size)
+    whole copies of all its documents and, of one copy more, the documents whose hash lies
+    below its threshold: the longest run in hash order whose sizes fit what is left, so the
+    words taken miss the target by half a document at most (the document at the threshold
+    comes along if that is nearer). taken is size times the copies.
+    The hash is the md5 of the doc_id, so reruns agree; rows of one doc_id (also null)
+    share a hash and are taken together or not at all. A source without words has
+    target 0; an empty table gives an empty result.
+    """
+    root = C.work_dir(spark)
+    rows = C.saved(spark, sized(docs), root, "sizes")
+    per_source, few = thresholds(spark, rows, root, weights, factor, cap)
+    joined = rows.join(F.broadcast(per_source) if few else per_source, F.col("source").eqNullSafe(F.col("g")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("h"))).alias("taken"), times(F.col("h")).alias("times"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +106,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a document comes as often as it is taken (0, 1 or 2 times)."""
-    times = mix(spark, docs).select("doc_id", "times").distinct()
-    joined = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).where("times > 0").select(docs.columns)
+    """The mix itself: a document comes as often as it is taken (0, 1 or 2 times). Texts stay
+    where they are read; only the thresholds travel."""
+    root = C.work_dir(spark)
+    per_source, few = thresholds(spark, C.saved(spark, sized(docs), root, "sizes"), root)
+    per_source = per_source.select(F.struct(*per_source.columns).alias("_mix"))
+    joined = docs.join(F.broadcast(per_source) if few else per_source, F.col("source").eqNullSafe(F.col("_mix.g")))
+    n = joined.select(*docs.columns, times(id_hash(F.col("doc_id")), "_mix.").alias("_times")).where("_times > 0")
+    return n.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
 
 
 OP2_SQL = r"""

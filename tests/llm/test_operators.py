@@ -40,6 +40,11 @@ def test_mix_edges(spark):
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
     assert (by.taken - by.target).abs().max() <= 3 and (by.target <= 2 * by["size"]).all() and by.target.sum() == pytest.approx(1.5 * by["size"].sum())
     assert mixing.mix(spark, docs(spark, rows).limit(0)).count() == 0
+    mixed = mixing.stage_mixing(spark, docs(spark, rows), SF)  # extra columns uid, h and size stay
+    assert mixed.columns == docs(spark, rows).columns
+    many = Counter(r["doc_id"] for r in mixed.collect())
+    times = mixing.mix(spark, docs(spark, rows)).collect()
+    assert many == Counter({r["doc_id"]: r["times"] for r in times if r["times"]})
 
 
 def test_word_hashes_match_words():
@@ -84,7 +89,7 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(spark, docs(spark, rows), bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (None, 2)} and got[1, 1]["covered"] == 30 and got[2, 1]["n_tiles"] == 3
     shuffled = decontaminate.find_leaks(spark, docs(spark, rows), bench, broadcast_bytes=0).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in shuffled} == {(1, 1), (2, 1)}  # a null id can't be joined
+    assert {(r["doc_id"], r["item_id"]) for r in shuffled} == set(got)
 
 
 def test_warc_round_trip(spark):
