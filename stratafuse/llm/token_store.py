@@ -14,7 +14,6 @@ seeks for the chunks that were elected elsewhere.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -37,7 +36,7 @@ DIGEST = 16
 LEAST, MOST, MASK, WINDOW = 128, 2048, np.uint64(511), 16
 FRAME, PACK = 1 << 17, 64 << 20
 #: Entries of each cache of encoded words.
-CACHE = 1_000_000
+CACHE = 500_000
 _UNITS = re.compile(r"(?<=\S)(?= \S)")
 _ODD = (re.compile(r"[.,](?:\S|(?<![^\W_][.,]))"), re.compile(r"[^ \n\S]"))
 _DOUBLE = ("  ", " \n", "\n ", "\n\n", "\0")
@@ -170,7 +169,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _write(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the cache makes collections slow
         coder = encoder(tokenizer)
         end = np.array([end_id], coder.kind).tobytes()
         writer, name, number, seen, pending, rows = None, "", 0, set(), [], []
