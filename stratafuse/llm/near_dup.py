@@ -134,9 +134,9 @@ def _rare_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, perc
     pos, the shingles of the set that come before this one."""
     info = C.saved(spark, members.select("id", "n", "central").distinct(), root, "rest-ids")
     rest = C.saved(spark, sets.join(info.select("id"), "id", "left_semi"), root, "rest")
-    found = rest.select("members").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = rest.select("members").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SLOTS_LOG rows, as columns
     table = np.zeros(1 << SLOTS_LOG, np.int32)
-    table[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**31 - 1)
+    table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
     counts = spark.sparkContext.broadcast(table)
     keys = rest.mapInArrow(_prefixes(counts, percent), "id struct<node:long,hi:long,lo:long>, keys array<long>").select("id", F.posexplode("keys").alias("pos", "key"))
     keys = C.saved(spark, keys, root, "rare-all")
