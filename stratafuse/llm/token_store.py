@@ -36,7 +36,7 @@ DIGEST = 16
 LEAST, MOST, MASK, WINDOW = 128, 2048, np.uint64(511), 16
 FRAME, PACK = 1 << 17, 64 << 20
 #: Entries of each cache of encoded words.
-CACHE = 500_000
+CACHE = 1_000_000
 _UNITS = re.compile(r"(?<=\S)(?= \S)")
 _ODD = (re.compile(r"[.,](?:\S|(?<![^\W_][.,]))"), re.compile(r"[^ \n\S]"))
 _DOUBLE = ("  ", " \n", "\n ", "\n\n", "\0")
