@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafuse.functions import geometry as G
-from stratafuse.operators.scenes import ROOM, Scene
+from stratafuse.operators.scenes import ROOM, Scene, intrinsics
 
 
 @dataclass(frozen=True)
@@ -49,38 +49,91 @@ def voxel_grid(spark, grid: Grid = GRID) -> DataFrame:
 def voxel_samples(frames: DataFrame, grid: Grid = GRID, scene: Scene = ROOM) -> DataFrame:
     """frame_id, ix, iy, iz, s, w: the clipped signed distance and weight of every voxel that a frame sees.
 
-    frames: frame_id, ox, oy, oz and depth (row-major array). Layers of voxels behind the
-    camera are never generated.
+    frames: frame_id, ox, oy, oz and depth (row-major array); if they have sigma and confidence
+    (such arrays too) each pixel has its own weight, else the scene's; K (9 numbers) replaces the
+    scene's camera, T_world_camera (16) replaces ox, oy, oz. Layers of voxels behind the camera
+    are never generated.
     """
+    if "T_world_camera" in frames.columns:
+        return _posed_samples(frames, grid, scene)
     nx, ny, nz = grid.shape
+    images = [c for c in ("depth", "sigma", "confidence") if c in frames.columns]
+    k = intrinsics(frames, scene)
+    lens = {n: k[i].alias(n) for n, i in (("fx", 0), ("cx", 2), ("fy", 4), ("cy", 5))} if "K" in frames.columns else {}
+    keep = ["frame_id", *images, *lens]
     o = [G.float32(F.col(c)) for c in ("ox", "oy", "oz")]
     first = F.greatest(F.floor((o[2] - F.lit(float(grid.low[2]))) / F.lit(grid.voxel)) - 1, F.lit(0)).cast("int")
-    layer = frames.where(first < nz).select("frame_id", "depth", *[x.alias(n) for x, n in zip(o, ("fox", "foy", "foz"), strict=True)], F.explode(F.sequence(first, F.lit(nz - 1))).alias("iz"))
+    layer = frames.where(first < nz).select("frame_id", *images, *lens.values(), *[x.alias(n) for x, n in zip(o, ("fox", "foy", "foz"), strict=True)], F.explode(F.sequence(first, F.lit(nz - 1))).alias("iz"))
     q_z = F.lit(float(grid.low[2])) + (F.col("iz") + 0.5) * F.lit(grid.voxel) - F.col("foz")
     layer = layer.withColumn("qz", q_z).where("qz > 0")
-    sx, sy = F.lit(scene.fx), F.lit(scene.fy)
+    sx, sy, cx, cy = (F.col(n) if lens else k[i] for n, i in (("fx", 0), ("fy", 4), ("cx", 2), ("cy", 5)))
 
-    def along(n: int, low: float, o: str, f, c: float, size: int):
+    def along(n: int, low: float, o: str, f, c, size: int):
         """Indices of one axis whose pixel lies in the image, with that pixel."""
-        each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.rint(f * (F.lit(float(low)) + (i + 0.5) * F.lit(grid.voxel) - F.col(o)) / F.nullif(F.col("qz"), F.lit(0.0)) + F.lit(c)).alias("p")))
+        each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.rint(f * (F.lit(float(low)) + (i + 0.5) * F.lit(grid.voxel) - F.col(o)) / F.nullif(F.col("qz"), F.lit(0.0)) + c).alias("p")))
         return F.filter(each, lambda x: (x["p"] >= 0) & (x["p"] < size))
 
-    seen = layer.withColumns({"xs": along(nx, grid.low[0], "fox", sx, scene.cx, scene.width), "ys": along(ny, grid.low[1], "foy", sy, scene.cy, scene.height)})
-    seen = seen.select("frame_id", "depth", "iz", "qz", "ys", F.explode("xs").alias("x")).select("frame_id", "depth", "iz", "qz", "x", F.explode("ys").alias("y"))
-    d = F.element_at("depth", (F.col("y.p") * scene.width + F.col("x.p")).cast("int") + 1).cast("double")
-    out = seen.select("frame_id", F.col("x.i").cast("int").alias("ix"), F.col("y.i").cast("int").alias("iy"), F.col("iz").cast("int").alias("iz"), (d - F.col("qz")).alias("sd"))
-    weight = G.float32(F.lit(scene.confidence)) / (F.lit(1.0) + G.float32(F.lit(scene.sigma)) / F.lit(grid.voxel))
+    seen = layer.withColumns({"xs": along(nx, grid.low[0], "fox", sx, cx, scene.width), "ys": along(ny, grid.low[1], "foy", sy, cy, scene.height)})
+    seen = seen.select(*keep, "iz", "qz", "ys", F.explode("xs").alias("x")).select(*keep, "iz", "qz", "x", F.explode("ys").alias("y"))
+    at = (F.col("y.p") * scene.width + F.col("x.p")).cast("int") + 1
+    d = F.element_at("depth", at).cast("double")
+    out = seen.select("frame_id", F.col("x.i").cast("int").alias("ix"), F.col("y.i").cast("int").alias("iy"), F.col("iz").cast("int").alias("iz"), (d - F.col("qz")).alias("sd"), _weight(images, at, grid, scene).alias("w"))
     band = F.lit(grid.truncation)
-    return out.where(F.abs("sd") <= band).select("frame_id", "ix", "iy", "iz", G.clip(F.col("sd") / band, -1, 1).alias("s"), weight.alias("w")).where("w > 0")
+    return out.where(F.abs("sd") <= band).select("frame_id", "ix", "iy", "iz", G.clip(F.col("sd") / band, -1, 1).alias("s"), "w").where("w > 0")
+
+
+def _weight(images: list[str], at, grid: Grid, scene: Scene):
+    """Weight of the pixel at a (one-based) place of the images: confidence / (1 + sigma / voxel)."""
+    confidence, sigma = (G.float32(F.element_at(c, at) if c in images else F.lit(x)) for c, x in (("confidence", scene.confidence), ("sigma", scene.sigma)))
+    return confidence / (F.lit(1.0) + sigma / F.lit(grid.voxel))
+
+
+def _posed_samples(frames: DataFrame, grid: Grid, scene: Scene) -> DataFrame:
+    """:func:`voxel_samples` of frames with a pose: columns of voxels along z are projected and looked
+    up as arrays, and only what a frame sees becomes rows."""
+    nx, ny, nz = grid.shape
+    images = [c for c in ("depth", "sigma", "confidence") if c in frames.columns]
+    k = intrinsics(frames, scene)
+    r, t = ([G.float32(x) for x in xs] for xs in (G.rotation_of("T_world_camera"), G.camera_center("T_world_camera")))
+    back, shift = G.invert_transform(r, t)
+    camera = {"fx": k[0], "cx": k[2], "fy": k[4], "cy": k[5], **{f"r{i}": x for i, x in enumerate(back)}, **{f"t{i}": x for i, x in enumerate(shift)}}
+    rows = frames.select("frame_id", *images, *[x.alias(n) for n, x in camera.items()], F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("ix"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("iy"))
+    x, y = (F.lit(float(grid.low[a])) + (F.col(n) + 0.5) * F.lit(grid.voxel) for a, n in enumerate(("ix", "iy")))
+
+    def voxel(i):
+        z = F.lit(float(grid.low[2])) + (i + 0.5) * F.lit(grid.voxel)
+        q = G.transform_points([F.col(f"r{j}") for j in range(9)], tuple(F.col(f"t{j}") for j in range(3)), (x, y, z))
+        return F.struct(i.alias("iz"), *[a.alias(n) for a, n in zip(q, ("qx", "qy", "qz"), strict=True)])
+
+    def pixel(c):
+        u, v = (F.rint(F.col(f) * c[q] / c["qz"] + F.col(m)) for f, q, m in (("fx", "qx", "cx"), ("fy", "qy", "cy")))
+        return F.struct(c["iz"].alias("iz"), c["qz"].alias("qz"), u.alias("u"), v.alias("v"))
+
+    def sample(c):
+        at = (c["v"] * scene.width + c["u"]).cast("int") + 1
+        sd = F.element_at("depth", at).cast("double") - c["qz"]
+        return F.struct(c["iz"].alias("iz"), sd.alias("sd"), _weight(images, at, grid, scene).alias("w"))
+
+    band = F.lit(grid.truncation)
+    cells = F.filter(F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), voxel), lambda c: c["qz"] > 0)
+    cells = F.filter(F.transform(cells, pixel), lambda c: (c["u"] >= 0) & (c["u"] < scene.width) & (c["v"] >= 0) & (c["v"] < scene.height))
+    cells = F.filter(F.transform(cells, sample), lambda c: (F.abs(c["sd"]) <= band) & (c["w"] > 0))
+    out = rows.select("frame_id", "ix", "iy", F.explode(cells).alias("c"))
+    return out.select("frame_id", "ix", "iy", F.col("c.iz").alias("iz"), G.clip(F.col("c.sd") / band, -1, 1).alias("s"), F.col("c.w").alias("w"))
 
 
 def integrate(samples: DataFrame) -> DataFrame:
     """ix, iy, iz, tsdf, weight: weighted means over all samples of a voxel. Sums are of integers
     (1e-9 units), so they don't depend on the order in which executors deliver them; results
-    have single precision, on which the surface threshold depends."""
+    have single precision, on which the surface threshold depends. Voxels of less than 1e-3 in
+    all, too little for such units, have sums of doubles."""
     unit = F.lit(1e9)
-    out = samples.groupBy("ix", "iy", "iz").agg(F.sum(F.round(F.col("s") * F.col("w") * unit).cast("long")).alias("_sw"), F.sum(F.round(F.col("w") * unit).cast("long")).alias("_w"))
-    return out.select("ix", "iy", "iz", G.float32(F.col("_sw").cast("double") / F.col("_w").cast("double")).alias("tsdf"), G.float32(F.col("_w").cast("double") / unit).alias("weight"))
+    s, w = F.col("s") * F.col("w"), F.col("w")
+    out = samples.groupBy("ix", "iy", "iz").agg(F.sum(F.round(s * unit).cast("long")).alias("_sw"), F.sum(F.round(w * unit).cast("long")).alias("_w"), F.sum(s).alias("_fsw"), F.sum(w).alias("_fw"))
+    much = F.col("_w") >= 1_000_000
+    tsdf = F.when(much, F.col("_sw").cast("double") / F.nullif(F.col("_w").cast("double"), F.lit(0.0))).otherwise(F.col("_fsw") / F.col("_fw"))
+    return out.select("ix", "iy", "iz", G.float32(tsdf).alias("tsdf"), G.float32(F.when(much, F.col("_w").cast("double") / unit).otherwise(F.col("_fw"))).alias("weight"))
 
 
 def dense(volume: DataFrame, spark, grid: Grid = GRID) -> DataFrame:

@@ -87,11 +87,33 @@ def render_frames(frames: DataFrame, scene: Scene = ROOM) -> DataFrame:
 
 
 def observations_from_pixels(frames: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Frame rows from a pixel table (frame_id, v, u, depth_m): one groupBy on the frame."""
-    images = pixels.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "u", "depth_m"))), lambda x: x["depth_m"]).alias("depth"))
+    """Frame rows with depth, sigma and confidence images (row-major arrays) from a pixel table
+    (frame_id, v, u, depth_m, depth_sigma_m, confidence): one groupBy on the frame."""
+    rows = pixels.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("v", "u", "depth_m", "depth_sigma_m", "confidence"))).alias("_px"))
+    images = rows.select("frame_id", *[F.col(f"_px.{c}").alias(n) for c, n in (("depth_m", "depth"), ("depth_sigma_m", "sigma"), ("confidence", "confidence"))])
     return frames.join(images, "frame_id")
 
 
+def intrinsics(frames: DataFrame, scene: Scene = ROOM) -> tuple[Column, ...]:
+    """The row-major 3x3 matrix of a frame's column K (single precision), the scene's camera without one."""
+    if "K" in frames.columns:
+        return tuple(G.float32(x) for x in G.mat("K"))
+    return tuple(F.lit(float(x)) for x in (scene.fx, 0, scene.cx, 0, scene.fy, scene.cy, 0, 0, 1))
+
+
+def observed_points(pixels: DataFrame, scene: Scene = ROOM) -> DataFrame:
+    """World points (x, y, z, single precision) of the pixels of positive depth and confidence, by
+    their frames' K and T_world_camera (row-major; without one: ox, oy, oz and no rotation)."""
+    p = G.unproject_pixels(F.col("u"), F.col("v"), F.col("depth_m").cast("double"), intrinsics(pixels, scene))
+    if "T_world_camera" in pixels.columns:
+        r, t = ([G.float32(x) for x in xs] for xs in (G.rotation_of("T_world_camera"), G.camera_center("T_world_camera")))
+        p = G.transform_points(r, t, p)
+    else:
+        p = tuple(a + G.float32(F.col(o)) for a, o in zip(p, ("ox", "oy", "oz"), strict=True))
+    points = pixels.where("depth_m > 0 and confidence > 0").select(*[G.float32(a).alias(n) for a, n in zip(p, "xyz", strict=True)])
+    return points.where(" and ".join(f"abs({n}) < double('inf')" for n in "xyz"))
+
+
 def world_points(pixels: DataFrame, scene: Scene = ROOM) -> DataFrame:
     """Pixels with their world point (x, y, z): unprojection plus camera centre."""
     d = F.col("depth_m").cast("double")

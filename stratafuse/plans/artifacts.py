@@ -7,6 +7,7 @@ so any shared file system works. Loaders validate what they read.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from stratafuse.operators import windows as W
 VERSION = 1
 SUMMARIES = ("depth_m", "depth_sigma_m", "confidence")
 MAX_SAMPLES = 2048
+#: What the metadata of a cache must say to prove that it is of the fixed room.
+FIXTURE = {"adapter": "fixture_cube_room", "fixture": True, "fixture_session_type": "synthetic_cube_room", "coordinate_frame": "synthetic_world"}
 
 
 class ArtifactError(ValueError):
@@ -52,6 +55,7 @@ def _load(spark: SparkSession, path: str) -> DataFrame:
 def write_session(spark: SparkSession, folder: str, frames: DataFrame | None = None, scene: S.Scene = S.ROOM) -> None:
     """frames, depth (partitioned by frame), mesh_vertices, mesh_faces, objects and metadata."""
     frames = S.fixed_frames(spark) if frames is None else frames
+    frames = frames.withColumn("K", F.array(*[F.lit(float(x)) for x in (scene.fx, 0, scene.cx, 0, scene.fy, scene.cy, 0, 0, 1)]))
     frames.write.mode("overwrite").parquet(f"{folder}/frames")
     S.render_pixels(_load(spark, f"{folder}/frames"), scene).select("frame_id", "v", "u", "depth_m", "depth_sigma_m", "confidence", "object_mask", "object_id").write.mode("overwrite").partitionBy("frame_id").parquet(f"{folder}/depth")
     vertices, faces = S.scene_mesh(spark, scene)
@@ -61,7 +65,7 @@ def write_session(spark: SparkSession, folder: str, frames: DataFrame | None = N
     box = [(1, [(a + b) / 2 for a, b in zip(low, high, strict=True)], [b - a for a, b in zip(low, high, strict=True)], 1.0)]
     seen = frames.agg(F.min("frame_id").alias("first_seen_frame_id"), F.max("frame_id").alias("last_seen_frame_id"))
     spark.createDataFrame(box, "object_id long, center array<double>, extents array<double>, confidence double").crossJoin(seen).write.mode("overwrite").parquet(f"{folder}/objects")
-    write_record(spark, f"{folder}/metadata", {"format_name": "session", "format_version": VERSION, "n_frames": frames.count(), "n_objects": 1, "n_vertices": vertices.count(), "n_faces": faces.count(), "width": scene.width, "height": scene.height, "scale_source": "known_anchor"})
+    write_record(spark, f"{folder}/metadata", {"format_name": "session", "format_version": VERSION, "n_frames": frames.count(), "n_objects": 1, "n_vertices": vertices.count(), "n_faces": faces.count(), "width": scene.width, "height": scene.height, "scale_source": "known_anchor", "session_type": FIXTURE["fixture_session_type"] if scene == S.ROOM else "synthetic_scene", "coordinate_frame": FIXTURE["coordinate_frame"]})
 
 
 def load_session(spark: SparkSession, folder: str) -> dict:
@@ -105,7 +109,8 @@ def run_adapter(spark: SparkSession, name: str, session: str, cache: str, store_
     px = s["depth"].select("frame_id", "v", "u", "depth_m", "depth_sigma_m", "confidence", "object_id")
     if score is not None:
         px = px.mapInPandas(score, px.schema)
-    write_cache(spark, s["frames"], px, cache, store_arrays, s["metadata"])
+    source = s["metadata"] | {"adapter": name, "fixture": name == FIXTURE["adapter"] and score is None, "fixture_session_type": s["metadata"].get("session_type")}
+    write_cache(spark, s["frames"], px, cache, store_arrays, source)
 
 
 def _value_checks() -> dict:
@@ -122,11 +127,12 @@ def frame_summaries(pixels: DataFrame) -> DataFrame:
 
 
 def write_cache(spark: SparkSession, frames: DataFrame, pixels: DataFrame, folder: str, store_arrays: bool, source: dict) -> None:
+    """A cache of ``pixels``; frames may carry K (9 numbers) and T_world_camera (16, row-major)."""
     frames.write.mode("overwrite").parquet(f"{folder}/frames")
     if store_arrays:
         K.require(pixels, "frame_id", _value_checks()).write.mode("overwrite").partitionBy("frame_id").parquet(f"{folder}/arrays")
     frame_summaries(pixels).write.mode("overwrite").parquet(f"{folder}/frame_summaries")
-    write_record(spark, f"{folder}/metadata", {"format_name": "prediction_cache", "format_version": VERSION, "n_frames": frames.count(), "arrays_stored": store_arrays, "scale_sources": sorted({source["scale_source"]}), "width": source["width"], "height": source["height"]})
+    write_record(spark, f"{folder}/metadata", {"format_name": "prediction_cache", "format_version": VERSION, "n_frames": frames.count(), "arrays_stored": store_arrays, "scale_sources": sorted({source["scale_source"]}), "width": source["width"], "height": source["height"], **{k: source.get(k) for k in FIXTURE}})
     load_cache(spark, folder)
 
 
@@ -166,13 +172,19 @@ def frame_payload(spark: SparkSession, folder: str, frame_id: int) -> DataFrame:
 
 
 def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | None = None, mesh: bool = False, world_map: bool = False) -> dict:
-    """Fuse a cache's frames and write voxels, surface, metadata, metrics and, if wanted, sidecars."""
+    """Fuse a cache's frames and write voxels, surface, metadata, metrics and, if wanted, sidecars.
+
+    Without a ``grid`` the fixture's cache has the room's; any other has the padded bounds of its
+    observed points. Only the fixture's surface is evaluated.
+    """
     c = load_cache(spark, cache)
     if "arrays" not in c:
         raise ArtifactError(f"{cache}: stores no arrays to replay")
-    grid = grid or U.GRID
+    camera = _camera(c, cache)
+    fixture = all(c["metadata"].get(k) == v for k, v in FIXTURE.items())
+    grid = grid or (U.GRID if fixture else _observed_grid(c, camera, cache))
     images = S.observations_from_pixels(c["frames"], c["arrays"])
-    U.integrate(U.voxel_samples(images, grid)).write.mode("overwrite").parquet(f"{folder}/voxels")
+    U.integrate(U.voxel_samples(images, grid, camera)).write.mode("overwrite").parquet(f"{folder}/voxels")
     volume, n = _load(spark, f"{folder}/voxels"), c["metadata"]["n_frames"]
     W.global_rank(U.extract_surface(volume, n, grid), "ix", "iy", "iz").withColumnRenamed("rank", "sample_id").write.mode("overwrite").parquet(f"{folder}/surface")
     surface = _load(spark, f"{folder}/surface")
@@ -181,11 +193,15 @@ def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | No
         raise ArtifactError(f"{folder}: the surface is empty")
     seen = volume.where("weight > 0").count()
     voxels = grid.shape[0] * grid.shape[1] * grid.shape[2]
-    meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(seen, 1), "voxel_size_m": grid.voxel, "flags": list(K.TRUTH_FLAGS)}
+    meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(seen, 1), "voxel_size_m": grid.voxel, "grid_min_corner_m": list(grid.low), "grid_max_corner_m": list(grid.high), "flags": list(K.TRUTH_FLAGS)}
     for name in ("confidence", "uncertainty_m"):
         meta[name] = M.numeric_summary(surface, name).first().asDict()
     write_record(spark, f"{folder}/metadata", meta)
-    write_record(spark, f"{folder}/metrics", U.surface_against_scene(surface, grid).first().asDict())
+    if fixture:
+        metrics = U.surface_against_scene(surface, grid).first().asDict() | {"metric_family": "fixture_cube_room_reference"}
+    else:
+        metrics = {"metric_family": "not_evaluated", "reason": "The cache's metadata doesn't prove that it is of the fixture, so there is no ground truth."}
+    write_record(spark, f"{folder}/metrics", metrics | {"source_cache": cache, "accuracy_report": False})
     if mesh or world_map:
         write_mesh_sidecar(spark, folder)
     if world_map:
@@ -193,6 +209,26 @@ def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | No
     return meta
 
 
+def _camera(c: dict, path: str) -> S.Scene:
+    """The size of a cache's images, with the room's camera for frames without K."""
+    width, height = c["metadata"]["width"], c["metadata"]["height"]
+    if "K" not in c["frames"].columns and (width, height) != (S.ROOM.width, S.ROOM.height):
+        raise ArtifactError(f"{path}: frames have no K for images of {width} x {height}")
+    for name, n in (("K", 9), ("T_world_camera", 16)):
+        if name in c["frames"].columns and not c["frames"].where(f"not coalesce(size({name}) = {n} and forall({name}, x -> abs(x) < double('inf')), false)").isEmpty():
+            raise ArtifactError(f"{path}: {name} must be {n} finite numbers in each frame")
+    return replace(S.ROOM, width=width, height=height)
+
+
+def _observed_grid(c: dict, camera: S.Scene, path: str) -> U.Grid:
+    size = U.Grid()
+    points = S.observed_points(c["arrays"].join(F.broadcast(c["frames"]), "frame_id"), camera)
+    b = U.observation_bounds(points, size.voxel, size.truncation).first()
+    if b["min_x"] is None:
+        raise ArtifactError(f"{path}: has no point of positive depth and confidence to derive a grid from")
+    return replace(size, low=tuple(b[f"min_{x}"] for x in "xyz"), high=tuple(b[f"max_{x}"] for x in "xyz"))
+
+
 def write_mesh_sidecar(spark: SparkSession, folder: str, chunk_id: str = "surface_samples", most: int = MAX_SAMPLES) -> None:
     """Marker triangles of at most ``most`` evenly spaced surface samples."""
     meta = read_record(spark, f"{folder}/metadata", "fusion_output")

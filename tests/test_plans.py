@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,50 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() == want.count() == 2840
     both = got.alias("a").join(want.alias("b"), ["ix", "iy", "iz"])
     assert both.where(F.abs(F.col("a.tsdf") - F.col("b.tsdf")) > 1e-6).isEmpty()
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_replay_of_a_cache_outside_the_room(spark, tmp_path, turned):
+    rng = np.random.default_rng(5)
+    w, h, centers, k = 8, 6, ((10.0, 5.0, -3.0), (10.2, 5.1, -3.1)), (9.0, 0.0, 3.25, 0.0, 8.0, 2.5, 0.0, 0.0, 1.0)
+    a = 0.7 if turned else 0.0
+    r = np.array([[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]], np.float32).astype(float)
+    poses = []
+    for c in centers:
+        poses.append(np.eye(4))
+        poses[-1][:3, :3], poses[-1][:3, 3] = r, np.float32(c)
+    images = rng.uniform(1.5, 2.0, (2, h, w)).astype(np.float32), rng.uniform(0, 0.1, (2, h, w)).astype(np.float32), rng.choice([0, 0.25, 0.8, 1e-10], (2, h, w)).astype(np.float32)
+    frames = spark.createDataFrame([(f, f, *c, list(k), p.ravel().tolist()) for f, (c, p) in enumerate(zip(centers, poses, strict=True))], "frame_id long, timestamp_ns long, ox double, oy double, oz double, K array<double>, T_world_camera array<double>")
+    pixels = spark.createDataFrame([(f, v, u, *(float(x[f, v, u]) for x in images)) for f in range(2) for v in range(h) for u in range(w)], "frame_id long, v int, u int, depth_m float, depth_sigma_m float, confidence float")
+    A.write_cache(spark, frames if turned else frames.drop("T_world_camera"), pixels, str(tmp_path / "c"), True, {"scale_source": "rgb_prior", "width": w, "height": h})
+    assert cli.main(["smoke", "teacher-cache-tsdf", str(tmp_path / "c"), str(tmp_path / "o")]) == 0
+
+    v, u = np.mgrid[:h, :w]
+    points = []
+    for f, p in enumerate(poses):
+        d = images[0][f].astype(float)
+        local = np.stack([(u - k[2]) / k[0] * d, (v - k[5]) / k[4] * d, d], -1)[images[2][f] > 0]
+        points.append((local @ p[:3, :3].T + p[:3, 3]).astype(np.float32).astype(float))
+    points = np.concatenate(points)
+    low, high = np.floor((points.min(0) - 0.4) / 0.1) * 0.1, np.ceil((points.max(0) + 0.4) / 0.1) * 0.1
+    shape = np.ceil((high - low) / 0.1 - 1e-9).astype(int)
+    index = np.argwhere(np.ones(shape))
+    sums = np.zeros((2, len(index)))
+    for f, p in enumerate(poses):
+        q = (low + (index + 0.5) * 0.1 - p[:3, 3]) @ p[:3, :3]
+        with np.errstate(all="ignore"):
+            pu, pv = np.rint(k[0] * q[:, 0] / q[:, 2] + k[2]), np.rint(k[4] * q[:, 1] / q[:, 2] + k[5])
+        ok = np.flatnonzero((q[:, 2] > 0) & (pu >= 0) & (pu < w) & (pv >= 0) & (pv < h))
+        d, sigma, conf = (x[f][pv[ok].astype(int), pu[ok].astype(int)].astype(float) for x in images)
+        sd = d - q[ok, 2]
+        weight = np.where(np.abs(sd) <= 0.3 + 1e-12, conf / (1 + sigma / 0.1), 0)
+        sums[:, ok] += np.stack([weight * np.clip(sd / 0.3, -1, 1), weight])
+    want = {tuple(i): (s / x, x) for i, s, x in zip(index.tolist(), *sums, strict=True) if x > 0}
+    got = {(r.ix, r.iy, r.iz): (r.tsdf, r.weight) for r in spark.read.parquet(str(tmp_path / "o/voxels")).collect()}
+    assert set(got) == set(want) and len(got) > 100
+    assert all(got[i] == pytest.approx(want[i], rel=1e-5, abs=1e-6) and got[i][1] == pytest.approx(want[i][1], rel=1e-5) for i in want)
+    meta = A.read_record(spark, str(tmp_path / "o/metadata"))
+    assert meta["grid_min_corner_m"] == pytest.approx(low.tolist()) and meta["grid_max_corner_m"] == pytest.approx(high.tolist())
+    assert A.read_record(spark, str(tmp_path / "o/metrics"))["metric_family"] == "not_evaluated"
+    report = A.inspect_output(spark, str(tmp_path / "o"))
+    assert report["surface"]["n_surface"] == sum(abs(np.float32(t)) <= 1 / 3 for t, _ in want.values())
