@@ -52,13 +52,25 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, most: int = BROADCAST_IDS) -> DataFrame:
     """``left_semi``/``left_anti`` of a wide table with a written list of distinct ids: the
-    list is counted and broadcast up to BROADCAST_IDS rows, else both sides are shuffled."""
-    small = ids.count() <= BROADCAST_IDS
+    list is counted and broadcast up to ``most`` rows, else both sides are shuffled."""
+    small = ids.count() <= most
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+#: Columns of :func:`with_row_key`; lists of them are broadcast up to BROADCAST_KEYS rows.
+ROW_KEY = ["_id", "_row"]
+BROADCAST_KEYS = BROADCAST_IDS // 4
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with _id and _row, which name a row by its doc_id and text: rows of one doc_id (also
+    null) with different texts have different keys."""
+    doc = F.col("doc_id").cast("long")
+    return docs.withColumns({"_id": F.coalesce(doc, F.lit(0).cast("long")), "_row": F.xxhash64(doc, "text")})
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -142,6 +142,22 @@ def _against(index, cover: int):
     return run
 
 
+def _free_of(index, cover: int):
+    """The rows that no item leaks into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idx: Index = index.value
+        for b in batches:
+            h, at = C.word_hashes([normal(t) for t in b.column("text").to_pylist()])
+            free = np.ones(b.num_rows, bool)
+            for t, i in sorted(idx.candidates(h, at)):
+                if free[t] and leak_of(idx.words[i], h[at[t] : at[t + 1]], cover, idx.least):
+                    free[t] = False
+            yield b.filter(pa.array(free))
+
+    return run
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hs = [C.word_hashes([normal(t)])[0] for t in b.column("text").to_pylist()]
@@ -164,6 +180,12 @@ def _tile_pairs(cover: int):
     return run
 
 
+def _index(spark: SparkSession, bench: DataFrame, broadcast_bytes: int):
+    """The broadcast index of a benchmark of at most so many bytes, else None."""
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return spark.sparkContext.broadcast(Index([tuple(r) for r in bench.collect()])) if total <= broadcast_bytes else None
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover: int = COVER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_item_words, covered, n_tiles): the leaks of benchmark items
     (item_id, text) in ``docs`` (doc_id, text, ...), one row for each pair whose tiles cover
@@ -178,9 +200,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover
     """
     C.bounded_batches(spark)
     docs, bench = docs.select(F.col("doc_id").cast("long"), "text"), benchmark.select(F.col("item_id").cast("long"), "text")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= broadcast_bytes:
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in bench.collect()]))
+    index = _index(spark, bench, broadcast_bytes)
+    if index:
         return docs.mapInArrow(_against(index, cover), LEAKS)
     root = C.work_dir(spark)
     # rows meet their pairs by a digest of id and text, so null and repeated ids are kept apart
@@ -196,8 +217,16 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark, C.documents(spark, sf_dir), C.documents(spark, sf_dir, "benchmark"))
 
 
-def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leak of any benchmark item."""
-    leaks = find_leaks(spark, docs, C.documents(spark, sf_dir, "benchmark"))
-    gone = C.saved(spark, leaks.select("doc_id").where("doc_id is not null").distinct(), C.work_dir(spark), "leaks")
-    return C.by_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Documents without a leak of any benchmark item. Each row is judged by its own text,
+    whether its doc_id is null, repeated or neither."""
+    bench = C.documents(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
+    C.bounded_batches(spark)
+    index = _index(spark, bench, broadcast_bytes)
+    if index:
+        return docs.mapInArrow(_free_of(index, COVER), docs.schema)
+    keyed = C.with_row_key(docs)
+    # leaks come back by the hash of doc_id and text
+    leaks = find_leaks(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), bench, COVER, broadcast_bytes)
+    gone = C.saved(spark, leaks.select(F.col("doc_id").alias("_row")).distinct(), C.work_dir(spark), "leaks")
+    return C.by_ids(keyed, gone, "_row", "left_anti").select(docs.columns)

@@ -251,10 +251,27 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group (five-word shingles, similarity 0.8 or more)."""
-    judged = near_duplicates(spark, docs)
-    gone = C.saved(spark, judged.where("not kept").select("doc_id").distinct(), C.work_dir(spark), "gone")
-    return C.by_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group (five-word shingles, similarity 0.8 or more): that of the
+    smallest doc_id, null ids last, then of the smallest hash. Rows are judged by their own
+    texts and named by doc_id and text, so rows of null or repeated doc_ids group like all others,
+    and of rows that agree in both one stays. Texts without words are no copies of each other: all stay."""
+    root = C.work_dir(spark)
+    keyed = C.with_row_key(docs)
+    judged = near_duplicates(spark, keyed.select(F.col("_row").alias("doc_id"), "text"))
+    judged = C.saved(spark, judged.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("comp")), root, "judged")
+    groups = judged.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
+    members = C.saved(spark, judged.join(groups, "comp", "left_semi").distinct(), root, "members")
+    rows = C.by_ids(keyed.select("doc_id", *C.ROW_KEY), members, "_row", "inner", C.BROADCAST_KEYS)
+    rows = C.saved(spark, rows.groupBy("comp", F.col("doc_id").isNull().alias("nameless"), *C.ROW_KEY).agg(F.count("*").alias("n")), root, "rows")
+    first = rows.groupBy("comp").agg(F.min(F.struct("nameless", *C.ROW_KEY)).alias("first"))
+    rows = C.saved(spark, rows.join(first, "comp").select(*C.ROW_KEY, "n", (F.struct("nameless", *C.ROW_KEY) == F.col("first")).alias("kept")), root, "choice")
+    gone = C.saved(spark, rows.where("not kept").select(*C.ROW_KEY).distinct(), root, "gone")
+    kept = C.by_ids(keyed, gone, C.ROW_KEY, "left_anti", C.BROADCAST_KEYS)
+    again = C.saved(spark, rows.where("kept and n > 1").select(*C.ROW_KEY).distinct(), root, "again")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    one = C.by_ids(keyed, again, C.ROW_KEY, "left_semi", C.BROADCAST_KEYS).groupBy(*C.ROW_KEY).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x"))
+    return C.by_ids(kept, again, C.ROW_KEY, "left_anti", C.BROADCAST_KEYS).select(docs.columns).union(one.select("x.*"))
 
 
 # ---------------------------------------------------------------- reference for tests
