@@ -149,6 +149,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, sample_rows: int = SAMPLE_
     """page_id, host, path, rule, verdict, margin for each row of ``pages`` (page_id, url, ...).
 
     verdict is that of the longest fitting rule, else block where the trees' margin is above 0.
+    The trees are trained on ``sample_rows`` distinct labelled urls.
     suffix_rate, the smoothed share of blocked urls among the labelled ones of the same last
     host label, is counted over all labelled rows. Null urls and those without "://" have an
     empty host and path, fit no rule and are judged by the trees. Repeated rows and null
@@ -160,9 +161,12 @@ def judge_urls(spark: SparkSession, pages: DataFrame, sample_rows: int = SAMPLE_
     blocked = (F.col("label") == "block").cast("int")
     rates = rows.where("label is not null").groupBy("suffix").agg(((F.sum(blocked) + 1) / (F.count("*") + 2)).alias("rate"))
     rates = C.saved(spark, rates, root, "suffixes")
+    labelled_urls = rows.where("label is not null").select("url")
     rows = rows.join(rates, "suffix", "left").withColumn("f_suffix_rate", F.coalesce("rate", F.lit(0.5)))
-    labelled = rows.where("label is not null").withColumn("label_value", blocked.cast("double"))
-    sample = C.saved(spark, labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows).select("label_value", *[f"f_{k}" for k in FEATURES]), root, "sample")
+    # each url once, however many rows hold it: copies of a url sort together and would fill the sample
+    urls = C.saved(spark, labelled_urls.distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows), root, "urls")
+    picked = featured(urls.select(F.lit(None).cast("long").alias("page_id"), "url")).join(rates, "suffix", "left").withColumn("f_suffix_rate", F.coalesce("rate", F.lit(0.5)))
+    sample = C.saved(spark, picked.select(blocked.cast("double").alias("label_value"), *[f"f_{k}" for k in FEATURES]), root, "sample")
     margin = fit(sample).margin()
     verdict = F.coalesce("label", F.when(F.col("margin") > 0, F.lit("block")).otherwise(F.lit("allow")))
     return rows.withColumn("margin", margin).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "margin")

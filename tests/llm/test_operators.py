@@ -177,3 +177,16 @@ def test_url_rules(spark):
     judged = url_filter.judge_urls(spark, spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is not null")
     same = judged.selectExpr("avg(cast((margin > 0) = (verdict = 'block') as int))").first()[0]
     assert same > 0.8
+
+
+def test_url_sample_is_of_distinct_urls(spark):
+    def pages(rows):
+        return spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+
+    urls = [f"http://{'example.com/en/7' if i % 2 else 'com/en/'}{i}" for i in range(60)]
+    first = pages(urls).selectExpr("url", "xxhash64(url) as h").orderBy("h").first()["url"]
+    asked = ["http://nowhere.org/unknown/1"]
+    plain = url_filter.judge_urls(spark, pages(urls + asked), sample_rows=40)
+    hot = url_filter.judge_urls(spark, pages(urls + asked + [first] * 200), sample_rows=40)
+    assert plain.where("rule is not null").selectExpr("count(distinct margin) as n").first()["n"] > 1
+    assert hot.where("rule is not null").selectExpr("count(distinct margin) as n").first()["n"] > 1
