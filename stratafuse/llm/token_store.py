@@ -4,7 +4,7 @@ A rolling hash over the ids cuts each document's stream into chunks. Chunks are
 by their digest; each is stored once, in packs of independent Zstandard frames. A document
 is a recipe of chunk digests with its Merkle root; recipes are written in ascending
 doc_id order, with a Merkle root for each file of them. Reading rebuilds every document from
-its recipe and checks its root.
+its recipe, checks its root, and compares the files' roots with the manifest.
 
 Writing has two passes, so that token ids never cross the network: each task tokenizes its
 rows and writes the chunks new to it into a pack; small index rows then elect one copy of each
@@ -254,18 +254,32 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(n), pa.int64()), pa.array(before, pa.int64())], [*b.schema.names, "part", "before"])
 
 
+FILES = "part long, documents long, tokens long, whole boolean, root binary"
+
+
 def _file_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file of recipes, documents, Merkle root over the documents' roots in order)."""
-    now, leaves = None, []
+    """Of each file of recipes, from its documents in order: documents, tokens, whether each one's
+    ``before`` is the tokens before it, and the Merkle root over their ids and roots."""
+    now, leaves, at, whole = None, [], 0, True
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((now, pa.int64()), (len(leaves), pa.int64()), (at, pa.int64()), (whole, pa.bool_()), (merkle(leaves), pa.binary()))], ["part", "documents", "tokens", "whole", "root"])
+
     for b in batches:
-        for p, r in zip(b.column("part").to_pylist(), b.column("root").to_pylist(), strict=True):
+        for p, doc, before, n, r in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "before", "n_tokens", "root")), strict=True):
             if p != now and now is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([len(leaves)], pa.int64()), pa.array([merkle(leaves)], pa.binary())], ["part", "documents", "root"])
-                leaves = []
-            now = p
-            leaves.append(r)
+                yield closed()
+                leaves, at, whole = [], 0, True
+            now, whole = p, whole and before == at
+            at += n
+            leaves.append(f"{doc}:".encode() + r)
     if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([len(leaves)], pa.int64()), pa.array([merkle(leaves)], pa.binary())], ["part", "documents", "root"])
+        yield closed()
+
+
+def _manifest(documents: DataFrame) -> DataFrame:
+    rows = documents.select("part", "doc_id", "before", "n_tokens", "root")
+    return rows.repartition("part").sortWithinPartitions("part", "before", "doc_id", "root").mapInArrow(_file_roots, FILES)
 
 
 def write_store(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> None:
@@ -293,7 +307,7 @@ def write_store(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: st
     ordered = ordered.mapInArrow(_in_order, "doc_id long, n_tokens long, recipe binary, root binary, home string, part long, before long")
     ordered.write.parquet(f"{folder}/recipes")
     done = spark.read.schema(ordered.schema).parquet(f"{folder}/recipes")
-    done.select("part", "before", "root").repartition("part").sortWithinPartitions("part", "before").mapInArrow(_file_roots, "part long, documents long, root binary").write.parquet(f"{folder}/manifest")
+    _manifest(done).write.parquet(f"{folder}/manifest")
     C.drop_work(spark, stage)
 
 
@@ -317,15 +331,15 @@ def _rebuild(folder: str, size: int):
             chunk[d] = raw[off : off + k]
         if fs_file:
             fs_file.close()
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for doc, part, before, recipe, root in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "part", "before", "recipe", "root")), strict=True):
             parts = [chunk[recipe[i : i + DIGEST]] for i in range(0, len(recipe), DIGEST)]
             if merkle([digest(x) for x in parts]) != root:
                 raise ValueError(f"doc_id: {doc} does not match its Merkle root")
             ids = np.frombuffer(b"".join(parts), kind).astype("<u4")
-            for x, v in zip(out, (doc, (part, before), len(ids), zlib.crc32(ids.tobytes())), strict=True):
+            for x, v in zip(out, (doc, (part, before), len(ids), zlib.crc32(ids.tobytes()), root), strict=True):
                 x.append(v)
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "part": pa.array([p for p, _ in out[1]], pa.int64()), "before": pa.array([b for _, b in out[1]], pa.int64()), "n_tokens": pa.array(out[2], pa.int64()), "ids_crc32": pa.array(out[3], pa.int64())})
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "part": pa.array([p for p, _ in out[1]], pa.int64()), "before": pa.array([b for _, b in out[1]], pa.int64()), "n_tokens": pa.array(out[2], pa.int64()), "ids_crc32": pa.array(out[3], pa.int64()), "root": pa.array(out[4], pa.binary())})
 
     return run
 
@@ -334,16 +348,28 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     """doc_id, start, n_tokens, ids_crc32 of each document of a store, rebuilt from its chunks and
     checked against its Merkle root (a mismatch fails the job). start counts the ids of all
     documents before it; ids_crc32 is of the ids as little-endian unsigned 32-bit integers.
+
+    The rebuilt documents of each file of recipes must give the manifest's count and root, so
+    recipes that are lost, doubled or replaced raise ValueError before any row is returned.
     """
     recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
     own = chunks.select(F.col("old_pack").alias("home"), "digest", "pack", "frame_at", "frame_size", "in_frame", "size")
     places = own.unionByName(spark.read.parquet(f"{folder}/elsewhere").select(own.columns))
     docs = recipes.select("home", "doc_id", "part", "before", "recipe", "root")
-    built = docs.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_rebuild(folder, id_bytes), "doc_id long, part long, before long, n_tokens long, ids_crc32 long")
+    built = docs.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_rebuild(folder, id_bytes), "doc_id long, part long, before long, n_tokens long, ids_crc32 long, root binary")
+    root = C.work_dir(spark)
+    built = C.saved(spark, built, root, "built")  # rebuilt once for the check and the result
+    found = C.saved(spark, _manifest(built), root, "files")
+    stored = spark.read.schema(FILES).parquet(f"{folder}/manifest")
+    same = F.col("s.root").eqNullSafe(F.col("f.root")) & (F.col("s.documents") == F.col("f.documents")) & (F.col("s.tokens") == F.col("f.tokens")) & F.col("s.whole") & F.col("f.whole")
+    off = stored.alias("s").join(found.alias("f"), F.col("s.part") == F.col("f.part"), "full").where(~F.coalesce(same, F.lit(False)))
+    bad = off.select(F.coalesce("s.part", "f.part").alias("part")).orderBy("part").limit(5).collect()
+    if bad:
+        raise ValueError(f"{folder}: recipes differ from the manifest in part {', '.join(str(r['part']) for r in bad)}")
     from pyspark.sql import Window
 
     # one row a file of recipes
-    bases = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bases = found.select("part", F.col("tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return built.join(F.broadcast(bases.select("part", "base")), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -179,6 +179,29 @@ def test_url_rules(spark):
     assert same > 0.8
 
 
+def test_token_store_checks_its_manifest(spark):
+    folder = C.work_dir(spark) + "/m"
+    token_store.write_store(spark, docs(spark, [(i, f"text {i} " * 9, "s") for i in range(40)]), folder, token_store.tokenizer_path())
+    assert token_store.read_store(spark, folder).count() == 40
+    whole = C.saved(spark, spark.read.parquet(f"{folder}/recipes"), C.work_dir(spark), "recipes")
+    last, of5 = "doc_id = 39", whole.where("doc_id = 5")
+    changed = {
+        "lost": whole.where(f"not ({last})"),
+        "doubled": whole.union(of5),
+        "renamed": whole.selectExpr("if(doc_id = 39, 41, doc_id) as doc_id", *whole.columns[1:]),
+        "replaced": whole.where("doc_id <> 6").union(whole.where("doc_id = 6").select("doc_id").crossJoin(of5.drop("doc_id")).select(whole.columns)),
+        "moved": whole.selectExpr(*[f"if({last}, before + 1, before) as before" if c == "before" else c for c in whole.columns]),
+        "all lost": whole.limit(0),
+    }
+    for name, rows in changed.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read_store(spark, folder).collect()
+            pytest.fail(name)
+    whole.write.mode("overwrite").parquet(f"{folder}/recipes")
+    assert token_store.read_store(spark, folder).count() == 40
+
+
 def test_url_sample_is_of_distinct_urls(spark):
     def pages(rows):
         return spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
