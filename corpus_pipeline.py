@@ -23,7 +23,7 @@ STAGES = [
     ("tokens", stage_tokens),
 ]
 
-#: Training a classifier and hashing shingles are beyond SQL; the stages are tested against brute force.
+#: Training a classifier and hashing shingles are beyond SQL; tests/llm/test_pipeline.py compares every stage with plain Python.
 ORACLE_SQL = None
 
 
