@@ -95,34 +95,57 @@ _BASE = 0x5851F42D4C957F2D | 1
 _powers: dict[str, np.ndarray] = {}
 
 
+#: Bytes that are hashed at once, and the longest table of powers that a worker keeps.
+HASH_BLOCK, KEPT_POWERS = 1 << 20, 1 << 21
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers (at least) of the hash base and of its inverse modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(max(n, (1 << 20) + 1), base, np.uint64)
+        x[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.multiply.accumulate(x, out=x))
+    if n <= KEPT_POWERS + 1:
+        _powers.update(up=out[0], down=out[1])
+    return out[0], out[1]
+
+
+def _next_separator(a: np.ndarray, at: int) -> int:
+    """The first separator from ``at`` on, or the end."""
+    step = 1 << 12
+    while at < len(a):
+        found = np.flatnonzero(_IS_SEPARATOR[a[at : at + step]])
+        if len(found):
+            return at + int(found[0])
+        at, step = at + step, 2 * step
+    return len(a)
 
 
 def word_hashes(blobs: list[bytes], prefix: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts (of their first ``prefix`` bytes), and the
     offsets at which each text's words start (one more than texts). Polynomial hashes of random
-    byte values, by one running sum."""
+    byte values, by one running sum for each block of about HASH_BLOCK bytes."""
     ends = np.cumsum([len(x) + 1 for x in blobs]) if blobs else np.zeros(0, np.int64)
     a = np.frombuffer(b"\n".join([*blobs, b""]), np.uint8)
-    up, down = powers(len(a) + 1)
-    gap = _IS_SEPARATOR[a]
-    edge = np.flatnonzero(np.diff(gap, prepend=True))
-    starts, stops = edge[0::2], edge[1::2]
-    stops = np.minimum(stops, starts + prefix)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
-        h = mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
-    return h, np.concatenate([[0], np.searchsorted(starts, ends)])
+    hashes, words, lo = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while lo < len(a):
+        hi = _next_separator(a, lo + HASH_BLOCK)
+        block = a[lo:hi]
+        up, down = powers(len(block) + 1)
+        edge = np.flatnonzero(np.diff(_IS_SEPARATOR[block], prepend=True, append=True))
+        starts, stops = edge[0::2], edge[1::2]
+        stops = np.minimum(stops, starts + prefix)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum(_BYTE[block] * up[: len(block)], out=total[1:])
+            hashes.append(mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        words.append(starts + lo)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate([[0], np.searchsorted(np.concatenate(words), ends)])
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -15,10 +15,7 @@ seeks for the chunks that were elected elsewhere.
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,121 +26,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafuse.llm import common as C
-from stratafuse.llm import files
+from stratafuse.llm import files, pretokens
 
 DIGEST = 16
 #: Tokens of a chunk: bounds, and the mask whose zero bits cut (one position in 512).
 LEAST, MOST, MASK, WINDOW = 128, 2048, np.uint64(511), 16
-FRAME, PACK = 1 << 17, 64 << 20
-#: Entries of each cache of encoded words.
-CACHE = 1_000_000
-_UNITS = re.compile(r"(?<=\S)(?= \S)")
-_ODD = (re.compile(r"[.,](?:\S|(?<![^\W_][.,]))"), re.compile(r"[^ \n\S]"))
-_DOUBLE = ("  ", " \n", "\n ", "\n\n", "\0")
-
-
-def _plain(text: str) -> bool:
-    """White space is single spaces and newlines between other characters, and full stops and
-    commas stand alone between a letter or digit and white space or the end."""
-    return not (text[0].isspace() or text[-1].isspace() or any(x in text for x in _DOUBLE) or any(x.search(text) for x in _ODD))
-
-
-def _visible() -> dict[int, str]:
-    """The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return {i: chr(i) if i in plain else chr(next(rest)) for i in range(256)}
-
-
-_VISIBLE = _visible()
-
-
-class Encoder:
-    """Texts to ids with a bounded cache of encoded units. A single space between two other
-    characters always starts a new pre-token of a byte-level tokenizer, so what stands
-    between such spaces is encoded on its own; in plain text full stops, commas and
-    newlines are cut off too. A unit of letters is one pre-token and goes straight to the model."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.units: dict[str, bytes] = {}
-        config = json.loads(self.tokenizer.to_str())
-        pre = config["pre_tokenizer"] or {}
-        self.split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config["normalizer"] and not config["post_processor"]
-        self.special = [x["content"] for x in config["added_tokens"]]
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _whole(self, unit: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of what stands between two cuts (its own leading space included)."""
-        word = unit[1:] if unit[:1] == " " else unit
-        if word.isalpha():
-            got = self._bytes([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_VISIBLE))])
-        else:
-            got = self._whole(unit)
-        if len(self.units) > CACHE:
-            self.units.clear()
-        self.units[unit] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.split or any(x in text for x in self.special):
-            return self._whole(text)
-        if not _plain(text):
-            units = _UNITS.split(text)
-        else:
-            units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
-        got = list(map(self.units.get, units))
-        if None in got:
-            got = [self._unit(u) if g is None else g for u, g in zip(units, got, strict=True)]
-        return b"".join(got)
-
-
+FRAME, PACK = 1 << 17, 32 << 20
+#: Ids of the documents of a pack, copies included, above which the next one begins.
+PACK_IDS = 128 << 20
 #: One encoder a worker process and path, so that its cache serves all tasks of the process.
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, pretokens.Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> pretokens.Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = pretokens.Encoder(path)
     return _encoders[path]
 
 
 _ID = C.mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of an id stream."""
-    n = len(ids)
-    cuts: list[int] = []
-    if n > LEAST:
-        up, down = C.powers(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_ID[ids & 0xFFFF] * up[:n])])
-            roll = C.mix64((total[WINDOW:] - total[:-WINDOW]) * down[: n - WINDOW + 1])
-        last = 0
-        for c in (np.flatnonzero((roll & MASK) == 0) + WINDOW).tolist():
-            while c - last > MOST:
+def window_sums(ids: np.ndarray) -> np.ndarray:
+    """Hash of each run of WINDOW ids, by runs of 1, 2, 4, ... ids."""
+    x, size, base = _ID[ids & 0xFFFF], 1, 0x5851F42D4C957F2D
+    with np.errstate(over="ignore"):
+        while size < WINDOW:
+            x, size = x[:-size] * np.uint64(base) + x[size:], 2 * size
+            base = base * base % (1 << 64)
+    return C.mix64(x)
+
+
+def chunk_ends(ids: np.ndarray, at: np.ndarray) -> Iterator[list[int]]:
+    """Ends of the content-defined chunks of each document's ids, ids[at[i]:at[i + 1]], counted from its start."""
+    cuts = np.flatnonzero((window_sums(ids) & MASK) == 0) + WINDOW if len(ids) >= WINDOW else np.zeros(0, np.int64)
+    between = np.searchsorted(cuts, at)
+    for i, (start, stop) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        n, last, ends = stop - start, 0, []
+        if n > LEAST:
+            for c in (cuts[between[i] : between[i + 1]] - start).tolist():
+                while c - last > MOST:
+                    last += MOST
+                    ends.append(last)
+                if c - last >= LEAST and c < n:
+                    ends.append(c)
+                    last = c
+            while n - last > MOST:
                 last += MOST
-                cuts.append(last)
-            if c - last >= LEAST and c < n:
-                cuts.append(c)
-                last = c
-        while n - last > MOST:
-            last += MOST
-            cuts.append(last)
-    return [*cuts, n]
+                ends.append(last)
+        yield [*ends, n]
 
 
 def digest(data: bytes) -> bytes:
@@ -170,25 +101,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _write(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.kind).tobytes()
-        writer, name, number, seen, pending, rows = None, "", 0, set(), [], []
+        width = coder.kind.itemsize
+        writer, name, number, seen, pending, rows, held = None, "", 0, set(), [], [], 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids, at = coder.encode(b.column("text"))
+            ids = np.insert(ids, at[1:], end_id)
+            at = at + np.arange(len(at))
+            data = memoryview(ids.tobytes())
+            for doc, base, ends in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), chunk_ends(ids, at), strict=True):
                 if writer is None:
-                    name, number, seen = files.task_name("pack", number), number + 1, set()
+                    name, number, seen, held = files.task_name("pack", number), number + 1, set(), 0
                     writer, pending = files.FrameWriter(f"{folder}/{name}", FRAME), []
-                data = coder.encode(text or "") + end
-                ids, at, recipe = np.frombuffer(data, coder.kind), 0, []
-                for stop in chunk_ends(ids):
-                    part = data[at * coder.kind.itemsize : stop * coder.kind.itemsize]
-                    at = stop
+                recipe, last = [], 0
+                for stop in ends:
+                    part = data[(base + last) * width : (base + stop) * width]
+                    last = stop
                     d = digest(part)
                     recipe.append(d)
                     if d not in seen:
                         seen.add(d)
                         pending.append((d, len(part), *writer.add(part)))
-                rows.append((doc, len(ids), b"".join(recipe), merkle(recipe), name, None, None, None, None, None, None))
-                if writer.total >= PACK:
+                rows.append((doc, last, b"".join(recipe), merkle(recipe), name, None, None, None, None, None, None))
+                held += last
+                if writer.total >= PACK or held >= PACK_IDS:
                     yield from _closed(writer, name, pending, rows)
                     writer, rows = None, []
             if len(rows) >= 2000:
@@ -297,13 +232,15 @@ def write_store(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: st
     places = rows.where("digest is not null").select("digest", "pack", "frame_at", "frame_size", "in_frame", "size")
     # the elected pack is the smallest by a hash with the digest, so that no pack serves all common chunks
     elected = places.groupBy("digest").agg(F.min(F.struct(F.xxhash64("digest", "pack").alias("h"), "pack", "frame_at", "frame_size", "in_frame", "size")).alias("x")).select("digest", "x.*")
-    order = elected.repartition("pack").sortWithinPartitions("pack", "frame_at", "in_frame")
+    packs = rows.where("pack is not null").select("pack").distinct().count()
+    # a task a pack, whose rows here are few but whose bytes are not
+    order = elected.repartition(max(1, packs), "pack").sortWithinPartitions("pack", "frame_at", "in_frame")
     order.mapInArrow(_rewrite(f"{stage}/packs", f"{folder}/packs"), PLACES).write.parquet(f"{folder}/chunks")
     chunks = spark.read.schema(PLACES).parquet(f"{folder}/chunks")
     lost = places.select("digest", F.col("pack").alias("home")).join(chunks, "digest").where("home <> old_pack")
     lost.select("home", "digest", "pack", "frame_at", "frame_size", "in_frame", "size").write.parquet(f"{folder}/elsewhere")
     recipes = rows.where("recipe is not null").select("doc_id", "n_tokens", "recipe", "root", "home")
-    ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "root")
+    ordered = recipes.repartitionByRange("doc_id", "n_tokens", "root").sortWithinPartitions("doc_id", "n_tokens", "root")
     ordered = ordered.mapInArrow(_in_order, "doc_id long, n_tokens long, recipe binary, root binary, home string, part long, before long")
     ordered.write.parquet(f"{folder}/recipes")
     done = spark.read.schema(ordered.schema).parquet(f"{folder}/recipes")
@@ -356,6 +293,8 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     own = chunks.select(F.col("old_pack").alias("home"), "digest", "pack", "frame_at", "frame_size", "in_frame", "size")
     places = own.unionByName(spark.read.parquet(f"{folder}/elsewhere").select(own.columns))
     docs = recipes.select("home", "doc_id", "part", "before", "recipe", "root")
+    homes = max(1, docs.select("home").distinct().count())
+    docs, places = docs.repartition(homes, "home"), places.repartition(homes, "home")
     built = docs.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_rebuild(folder, id_bytes), "doc_id long, part long, before long, n_tokens long, ids_crc32 long, root binary")
     root = C.work_dir(spark)
     built = C.saved(spark, built, root, "built")  # rebuilt once for the check and the result
