@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafuse.functions import geometry as G
 from stratafuse.operators.scenes import ROOM, Scene, intrinsics
+from stratafuse.operators.summaries import large_summary
 
 
 @dataclass(frozen=True)
@@ -153,17 +154,19 @@ def extract_surface(volume: DataFrame, n_frames: int, grid: Grid = GRID, band: f
 
 
 def surface_against_scene(surface: DataFrame, grid: Grid = GRID, scene: Scene = ROOM) -> DataFrame:
-    """One row of metrics: distance of surface points to the nearer of room and box."""
+    """One row of metrics: distance of surface points to the nearer of room and box, and how many
+    are nearer to each (room on ties). surface is evaluated more than once: it should be stored."""
     p = (F.col("x"), F.col("y"), F.col("z"))
-    d = F.least(G.distance_to_box_surface(p, *scene.room), G.distance_to_box_surface(p, *scene.box))
-    inside = G.inside_box(p, *scene.room, tolerance=grid.voxel)
-    rows = surface.select("*", d.alias("d"), inside.alias("inside"))
-    return rows.agg(
-        F.count("*").alias("n_points"), F.coalesce(F.avg(F.col("inside").cast("double")), F.lit(0.0)).alias("inside_ratio"),
-        F.coalesce(F.avg((F.col("d") <= grid.voxel + 1e-6).cast("double")), F.lit(0.0)).alias("within_voxel_ratio"),
-        F.avg("d").alias("mean_distance_m"), F.percentile("d", 0.95).alias("p95_distance_m"), F.max("d").alias("max_distance_m"),
-        *[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))],
-    )
+    rows = surface.select(*"xyz", *[G.distance_to_box_surface(p, *b).alias(n) for n, b in (("room", scene.room), ("box", scene.box))], G.inside_box(p, *scene.room, tolerance=grid.voxel).alias("inside"))
+    rows = rows.withColumn("d", F.least("room", "box"))
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    more = {
+        "n_room": F.count_if(F.col("room") <= F.col("box")), "n_box": F.count_if(F.col("box") < F.col("room")),
+        "inside_ratio": share(F.col("inside")), "within_voxel_ratio": share(F.col("d") <= grid.voxel + 1e-6),
+        **{f"{n}_{c}": f(c) for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))},
+    }
+    out = large_summary(rows, "d", points=(0.95,), more=more)
+    return out.select(F.col("n").alias("n_points"), "n_room", "n_box", "inside_ratio", "within_voxel_ratio", F.col("mean").alias("mean_distance_m"), F.col("p95").alias("p95_distance_m"), F.col("max").alias("max_distance_m"), *[f"{n}_{c}" for c in "xyz" for n in ("min", "max")])
 
 
 def observation_bounds(points: DataFrame, voxel: float, truncation: float) -> DataFrame:
@@ -182,6 +185,16 @@ def compare_volumes(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_common"), F.avg(F.abs(F.col("l.tsdf") - F.col("r.tsdf"))).alias("mean_abs_delta"))
 
 
+def compare_halves(samples: DataFrame, right: Column) -> DataFrame:
+    """:func:`compare_volumes` of the volumes that samples give where ``right`` is false and where it
+    is true: both are fused by one aggregate, whose size is the grid's."""
+    unit, s, w = F.lit(1e9), F.col("s") * F.col("w"), F.col("w")
+    sums = [F.sum(F.when(side, F.round(x * unit).cast("long"))).alias(f"_{n}{x_name}") for n, side in (("l", ~right), ("r", right)) for x_name, x in (("s", s), ("w", w))]
+    both = samples.groupBy("ix", "iy", "iz").agg(*sums).where("_lw > 0 and _rw > 0")
+    tsdf = [G.float32(F.col(f"_{n}s").cast("double") / F.col(f"_{n}w").cast("double")) for n in "lr"]
+    return both.agg(F.count("*").alias("n_common"), F.avg(F.abs(tsdf[0] - tsdf[1])).alias("mean_abs_delta"))
+
+
 def triangle_markers(surface: DataFrame, voxel: float) -> DataFrame:
     """sample_id, corner, vertex_id, x, y, z: a small triangle around each sample (needs sample_id)."""
     r = 0.16 * voxel

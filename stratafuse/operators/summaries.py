@@ -2,16 +2,104 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups that are summarised by selection; more of them are taken to be small ones. Values of an
+#: interval that are sorted; larger ones are split into so many bins first.
+FEW_GROUPS, SORTED, BINS = 1000, 4096, 1024
+
 
 def numeric_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """n, min, mean, p50, p95, max of a column (exact percentiles by linear interpolation); nulls when empty."""
+    """n, min, mean, p50, p95, max of a column (exact percentiles by linear interpolation); nulls when empty.
+    For many groups that each fit a task; :func:`large_summary` is for few large ones."""
     v = F.col(value)
     return df.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("max"))
 
 
+def large_summary(df: DataFrame, value: str, by: str | None = None, points: tuple[float, ...] = (0.5, 0.95), more: dict[str, Column] | None = None) -> DataFrame:
+    """by, n, min, mean, max, exact percentiles p<100 p> and the aggregates ``more`` of a finite
+    column (nulls don't count), without gathering a group in a task.
+
+    One scan counts and sketches; the sketch's error bounds an interval of values for each
+    wanted rank, and further scans split the intervals by histograms until few values are left,
+    which are sorted. Only histograms and those values leave the executors. More than
+    FEW_GROUPS groups are summarised by a plain aggregate."""
+    v, key = F.col(value).cast("double"), [by] if by else []
+    names = [f"p{round(100 * p):g}" for p in points]
+    plain = {"n": F.count(v), "min": F.min(v), "mean": F.avg(v), "max": F.max(v), **(more or {})}
+    near = [min(1.0, max(0.0, p + d)) for p in points for d in (-4e-4, 4e-4)]
+    first = df.groupBy(*key).agg(*[c.alias(n) for n, c in plain.items()], F.percentile_approx(v, near, 10_000).alias("_near"))
+    rows = first.limit(FEW_GROUPS + 1).collect()
+    if len(rows) > FEW_GROUPS:
+        return df.groupBy(*key).agg(*[c.alias(n) for n, c in plain.items()], *[F.percentile(v, p).alias(n) for p, n in zip(points, names, strict=True)])
+    wanted = []  # (group, rank, low, high) of the values between which a percentile lies
+    for g, r in enumerate(rows):
+        for i, p in enumerate(points if r["n"] else ()):
+            at = (r["n"] - 1) * p
+            wanted += [(g, k, r["_near"][2 * i], r["_near"][2 * i + 1]) for k in sorted({math.floor(at), math.ceil(at)})]
+    found = _values_at(df.select(*key, v.alias("_v")).where("_v is not null"), by, [r[by] if by else None for r in rows], wanted, [(r["min"], r["max"]) for r in rows])
+    out = []
+    for g, r in enumerate(rows):
+        done = []
+        for p in points:
+            at = (r["n"] - 1) * p
+            lo, hi = (found.get((g, k)) for k in (math.floor(at), math.ceil(at)))
+            done.append(None if lo is None else lo + (hi - lo) * (at - math.floor(at)))
+        out.append((*(r[c] for c in key), *(r[n] for n in plain), *done))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in first.drop("_near").schema] + [f"{n} double" for n in names]
+    return df.sparkSession.createDataFrame(out, ", ".join(fields))
+
+
+def _values_at(values: DataFrame, by: str | None, groups: list, wanted: list[tuple], ends: list[tuple]) -> dict[tuple, float]:
+    """{(group, rank): value}: the values of column _v at the wanted ranks (from 0) of each group."""
+    spark, found = values.sparkSession, {}
+    kind = values.schema[by].dataType.simpleString() if by else "int"
+    todo = {(g, k): (lo, hi) for g, k, lo, hi in wanted}
+    for _ in range(64):
+        if not todo:
+            return found
+        spans = sorted(set((g, *x) for (g, _), x in todo.items()))
+        table = spark.createDataFrame([(i, groups[g] if by else 0, float(lo), float(hi)) for i, (g, lo, hi) in enumerate(spans)], f"_i int, _g {kind}, _lo double, _hi double")
+        same = F.col("_g").eqNullSafe(F.col(by)) if by else F.lit(True)
+        inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+        cell = F.when(F.col("_v") < F.col("_lo"), -1).when(~inside, BINS).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(5e-324)) * BINS), F.lit(BINS - 1)))
+        # a few rows for each group and wanted rank: a map-side join
+        hist = values.join(F.broadcast(table), same).groupBy("_i", cell.cast("int").alias("_b")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).where(F.col("_b") < BINS)
+        cells: dict[int, list] = {}
+        for r in hist.collect():
+            cells.setdefault(r["_i"], []).append((r["_b"], r["n"], r["lo"], r["hi"]))
+        ends_of = {x: i for i, x in enumerate(spans)}
+        short: dict[tuple, list] = {}
+        for (g, k), (lo, hi) in list(todo.items()):
+            below, hit = 0, None
+            for b, n, a, z in sorted(cells.get(ends_of[g, lo, hi], [])):
+                if b >= 0 and k < below + n:
+                    hit = (a, z, n) if k >= below else None
+                    break
+                below += n
+            if hit is None or (below > k):  # the sketch's interval misses the rank: take all
+                todo[g, k] = ends[g]
+            elif hit[0] == hit[1]:
+                found[g, k] = hit[0]
+                del todo[g, k]
+            else:
+                todo[g, k] = hit[:2]
+                if hit[2] <= SORTED:
+                    short.setdefault((g, *hit[:2]), []).append((k, below))
+        if short:
+            order = sorted(short)
+            table = spark.createDataFrame([(i, groups[g] if by else 0, float(lo), float(hi)) for i, (g, lo, hi) in enumerate(order)], f"_i int, _g {kind}, _lo double, _hi double")
+            few = values.join(F.broadcast(table), same & inside).groupBy("_i").agg(F.array_sort(F.collect_list("_v")).alias("x"))  # SORTED at most
+            for r in few.collect():
+                for k, below in short[order[r["_i"]]]:
+                    found[order[r["_i"]][0], k] = r["x"][k - below]
+                    del todo[order[r["_i"]][0], k]
+    raise RuntimeError("percentiles: intervals did not shrink")
+
+
 def ratio(flag: Column) -> Column:
     """Share of rows for which flag is true; 0 when there are none."""
     return F.coalesce(F.avg(flag.cast("double")), F.lit(0.0))

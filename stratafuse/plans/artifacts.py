@@ -195,7 +195,7 @@ def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | No
     voxels = grid.shape[0] * grid.shape[1] * grid.shape[2]
     meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(seen, 1), "voxel_size_m": grid.voxel, "grid_min_corner_m": list(grid.low), "grid_max_corner_m": list(grid.high), "flags": list(K.TRUTH_FLAGS)}
     for name in ("confidence", "uncertainty_m"):
-        meta[name] = M.numeric_summary(surface, name).first().asDict()
+        meta[name] = M.large_summary(surface, name).first().asDict()
     write_record(spark, f"{folder}/metadata", meta)
     if fixture:
         metrics = U.surface_against_scene(surface, grid).first().asDict() | {"metric_family": "fixture_cube_room_reference"}
@@ -236,7 +236,7 @@ def write_mesh_sidecar(spark: SparkSession, folder: str, chunk_id: str = "surfac
     picked.write.mode("overwrite").parquet(f"{folder}/mesh/samples")
     picked = _load(spark, f"{folder}/mesh/samples")
     U.triangle_markers(picked, meta["voxel_size_m"]).write.mode("overwrite").parquet(f"{folder}/mesh/vertices")
-    write_record(spark, f"{folder}/mesh/metadata", {"format_name": "mesh_sidecar", "format_version": VERSION, "chunk_id": chunk_id, "n_samples": picked.count(), "n_surface": meta["n_surface"], "n_frames": meta["n_frames"], "voxel_size_m": meta["voxel_size_m"], "flags": meta["flags"], "confidence": M.numeric_summary(picked, "confidence").first().asDict(), "mean_uncertainty_m": meta["uncertainty_m"]["mean"], "p95_uncertainty_m": meta["uncertainty_m"]["p95"]})
+    write_record(spark, f"{folder}/mesh/metadata", {"format_name": "mesh_sidecar", "format_version": VERSION, "chunk_id": chunk_id, "n_samples": picked.count(), "n_surface": meta["n_surface"], "n_frames": meta["n_frames"], "voxel_size_m": meta["voxel_size_m"], "flags": meta["flags"], "confidence": M.large_summary(picked, "confidence").first().asDict(), "mean_uncertainty_m": meta["uncertainty_m"]["mean"], "p95_uncertainty_m": meta["uncertainty_m"]["p95"]})
 
 
 def write_world_map(spark: SparkSession, folder: str, map_id: str = "world_map") -> None:
@@ -263,7 +263,7 @@ def inspect_output(spark: SparkSession, folder: str, mesh: bool = False, world_m
     if surface.count() != meta["n_surface"]:
         raise ArtifactError(f"{folder}: the surface has not {meta['n_surface']} samples")
     for name in ("confidence", "uncertainty_m"):
-        again = M.numeric_summary(surface, name).first().asDict()
+        again = M.large_summary(surface, name).first().asDict()
         for k in ("mean", "p95"):
             _close(meta[name][k], again[k], folder, f"{name}.{k}")
     report = {"surface": meta, "metrics": read_record(spark, f"{folder}/metrics")}
@@ -273,7 +273,7 @@ def inspect_output(spark: SparkSession, folder: str, mesh: bool = False, world_m
         _close(side["voxel_size_m"], meta["voxel_size_m"], f"{folder}/mesh", "voxel_size_m")
         if _load(spark, f"{folder}/mesh/vertices").count() != 3 * side["n_samples"] or side["n_surface"] != meta["n_surface"]:
             raise ArtifactError(f"{folder}/mesh: counts differ from the surface")
-        _close(side["confidence"]["mean"], M.numeric_summary(_load(spark, f"{folder}/mesh/samples"), "confidence").first()["mean"], f"{folder}/mesh", "confidence.mean")
+        _close(side["confidence"]["mean"], M.large_summary(_load(spark, f"{folder}/mesh/samples"), "confidence").first()["mean"], f"{folder}/mesh", "confidence.mean")
         report["mesh"] = side
     if world_map:
         world = read_record(spark, f"{folder}/world_map", "world_map")

@@ -18,6 +18,7 @@ from stratafuse.operators import fusion as U
 from stratafuse.operators import scenes as S
 from stratafuse.operators import summaries as M
 from stratafuse.operators import windows as W
+from stratafuse.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,8 +99,8 @@ def surface_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(U.extract_surface(volume(spark, sf_dir), n), "x", "y", "z", "tsdf", "confidence", "uncertainty_m")
 
 
-_DIST = "(SELECT *, least({}) AS d FROM sf)".format(
-    ", ".join(
+_DIST = "(SELECT *, least(rd, bd) AS d FROM (SELECT *, {} AS rd, {} AS bd FROM sf))".format(
+    *(
         f"CASE WHEN sqrt({o}) > 0 THEN sqrt({o}) ELSE least({i}) END"
         for o, i in (
             (
@@ -112,14 +113,14 @@ _DIST = "(SELECT *, least({}) AS d FROM sf)".format(
 )
 
 
-@_query(f"""WITH {_V}, d AS {_DIST} SELECT count(*) AS n_points, round(avg((x BETWEEN -1.6 AND 1.6 AND y BETWEEN -1.1 AND 1.1 AND z BETWEEN -0.1 AND 4.1)::INT), 6) AS inside_ratio,
+@_query(f"""WITH {_V}, d AS {_DIST} SELECT count(*) AS n_points, CAST(sum((rd <= bd)::INT) AS BIGINT) AS n_room, CAST(sum((bd < rd)::INT) AS BIGINT) AS n_box, round(avg((x BETWEEN -1.6 AND 1.6 AND y BETWEEN -1.1 AND 1.1 AND z BETWEEN -0.1 AND 4.1)::INT), 6) AS inside_ratio,
 round(avg((d <= 0.100001)::INT), 6) AS within_voxel_ratio, round(avg(d), 6) AS mean_distance_m, round(quantile_cont(d, 0.95), 6) AS p95_distance_m, round(max(d), 6) AS max_distance_m,
 {", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in "xyz" for f in ("min", "max"))} FROM d""")
 def surface_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-11..14, GEO-24, GEO-25: the surface against the analytic scene."""
     n = table(spark, sf_dir, "supplier").count()
-    out = U.surface_against_scene(U.extract_surface(volume(spark, sf_dir), n))
-    return rounded(out, *[c for c in out.columns if c != "n_points"])
+    out = U.surface_against_scene(stored(U.extract_surface(volume(spark, sf_dir), n)))
+    return rounded(out, *[c for c in out.columns if not c.startswith("n_")])
 
 
 @_query(f"""WITH {_V}, k AS (SELECT *, row_number() OVER (ORDER BY ix, iy, iz) - 1 AS r, count(*) OVER () AS m FROM sf),
@@ -130,7 +131,7 @@ SELECT sample_id, corner, sample_id * 3 + corner AS vertex_id, round(x + a * 0.0
 def mesh_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-05, GEO-28, PIP-07/13: stratified surface samples as marker triangles."""
     n = table(spark, sf_dir, "supplier").count()
-    surface = U.extract_surface(volume(spark, sf_dir), n).select("ix", "iy", "iz", "x", "y", "z")
+    surface = stored(U.extract_surface(volume(spark, sf_dir), n).select("ix", "iy", "iz", "x", "y", "z"))
     return rounded(U.triangle_markers(W.stratified_sample(surface, 256, "ix", "iy", "iz"), U.GRID.voxel), "x", "y", "z")
 
 
@@ -142,7 +143,7 @@ SELECT count(*) AS n_common, round(avg(abs(a.t - c.t)), 6) AS mean_abs_delta FRO
 def volume_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-05, AGG-16, SET-08: two volumes on their common voxels."""
     samples = U.voxel_samples(S.render_frames(frames(spark, sf_dir)))
-    return rounded(U.compare_volumes(U.integrate(samples.where("frame_id % 2 = 0")), U.integrate(samples.where("frame_id % 2 = 1"))), "mean_abs_delta")
+    return rounded(U.compare_halves(samples, F.col("frame_id") % 2 == 1), "mean_abs_delta")
 
 
 _POINTS = _F + """, pt AS (SELECT frame_id, v, u, depth::DOUBLE AS d, (u - 15.5::DOUBLE) * depth::DOUBLE / 30.0::DOUBLE + ox::FLOAT::DOUBLE AS x, (v - 11.5::DOUBLE) * depth::DOUBLE / 30.0::DOUBLE + oy::FLOAT::DOUBLE AS y, depth::DOUBLE + oz::FLOAT::DOUBLE AS z FROM px)"""
@@ -172,10 +173,8 @@ SELECT frame_id, {", ".join(f"round(sum(round(n{c}, 9)), 4) AS sum_n{c}" for c i
 )
 def camera_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEO-17, WIN-01: stencil normals of every frame."""
-    px = S.render_pixels(frames(spark, sf_dir))
-    d = F.col("depth_m").cast("double")
-    px = px.select("frame_id", "v", "u", ((F.col("u") - F.lit(15.5)) * d / F.lit(30.0)).alias("x"), ((F.col("v") - F.lit(11.5)) * d / F.lit(30.0)).alias("y"), d.alias("z"))
-    return W.estimate_normals(px).groupBy("frame_id").agg(*[F.round(F.sum(F.round(f"n{c}", 9)), 4).alias(f"sum_n{c}") for c in "xyz"])
+    normals = W.frame_normals(S.render_frames(frames(spark, sf_dir)), 32, 24, 30.0, 30.0, 15.5, 11.5)
+    return normals.groupBy("frame_id").agg(*[F.round(F.sum(F.round(f"n{c}", 9)), 4).alias(f"sum_n{c}") for c in "xyz"])
 
 
 _Q = """q AS (SELECT c_custkey AS pose_id, ((c_custkey % 7) - 3)::DOUBLE AS a, ((c_custkey % 5) - 2)::DOUBLE AS b, ((c_custkey % 3) - 1)::DOUBLE AS c, 4.0::DOUBLE AS d, (c_custkey % 11)::DOUBLE AS tx, (c_custkey % 13)::DOUBLE AS ty, c_acctbal AS tz FROM customer),
@@ -223,7 +222,7 @@ def pinhole_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT l_returnflag, count(l_extendedprice) AS n, round(min(l_extendedprice), 6) AS min, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(max(l_extendedprice), 6) AS max FROM lineitem GROUP BY l_returnflag")
 def numeric_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-07..10: five-number summaries with exact percentiles."""
-    out = M.numeric_summary(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    out = M.large_summary(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag")
     return rounded(out, "min", "p50", "p95", "max").withColumn("mean", F.round("mean", 4))
 
 
@@ -245,9 +244,9 @@ def event_order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_type, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event, count(DISTINCT user_id) AS n_runs, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-21, DOC-06: counts and latency percentiles of each stage."""
-    e = table(spark, sf_dir, "events").groupBy("event_type")
-    out = e.agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.countDistinct("user_id").alias("n_runs"), *[F.round(F.percentile("value", p / 100), 6).alias(f"p{p}") for p in (50, 90, 99)])
-    return out
+    more = {"first_event": F.min("event_id"), "last_event": F.max("event_id"), "n_runs": F.countDistinct("user_id")}
+    out = M.large_summary(table(spark, sf_dir, "events"), "value", "event_type", (0.5, 0.9, 0.99), more)
+    return rounded(out.drop("min", "mean", "max"), "p50", "p90", "p99")
 
 
 @_query("""WITH s(i, stage) AS (VALUES (0, 'runtime_start'), (1, 'session_write'), (2, 'source_frame'), (3, 'adapter_cache_write'), (4, 'adapter_cache_frame'), (5, 'tsdf_replay'), (6, 'tsdf_replay_frame'), (7, 'tsdf_output_write'), (8, 'runtime_complete')),
