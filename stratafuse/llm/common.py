@@ -39,9 +39,16 @@ def drop_work(spark: SparkSession, root: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(spark: SparkSession, df: DataFrame, root: str, name: str) -> DataFrame:
-    """Write ``df`` once below ``root`` and read it back: lineage ends at files that outlive executors."""
+#: Bytes of a file of a table whose size is known beforehand.
+FILE_BYTES = 16 << 20
+
+
+def saved(spark: SparkSession, df: DataFrame, root: str, name: str, most_bytes: float | None = None) -> DataFrame:
+    """Write ``df`` once below ``root`` and read it back: lineage ends at files that outlive executors.
+    A table of at most ``most_bytes`` (uncompressed) gets no more files than that asks for."""
     path = f"{root}/{name}"
+    if most_bytes is not None:
+        df = df.coalesce(max(1, int(-(-most_bytes // FILE_BYTES))))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -163,22 +170,24 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 # ---------------------------------------------------------------- graph
 
 
-def components(spark: SparkSession, edges: DataFrame, root: str, name: str) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, root: str, name: str, most_edges: int | None = None) -> DataFrame:
     """(node, comp) for every node of the undirected ``edges`` (a, b): comp is the smallest
     node reachable. Alternates large-star and small-star rounds (each a groupBy-min and a
-    join) until the edge set is a fixpoint; nothing is collected but two numbers a round."""
-    now = saved(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), root, f"{name}-0")
+    join) until the edge set is a fixpoint; nothing is collected but two numbers a round.
+    RuntimeError if there is none after 100 rounds (they halve the longest path, so that takes 2^100 nodes)."""
+    size = None if most_edges is None else 64 * most_edges  # no round has more edges than the one before
+    now = saved(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), root, f"{name}-0", size)
     before = None
-    for i in range(1, 100):
+    for i in range(1, 101):
         both = now.union(now.select("b", "a"))
         low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        now = saved(spark, small.select("e.*").where("a <> b").distinct(), root, f"{name}-{i}")
+        now = saved(spark, small.select("e.*").where("a <> b").distinct(), root, f"{name}-{i}", size)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select("b", "b").distinct())
         before = mark
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select("b", "b").distinct())
+    raise RuntimeError(f"{name}: no fixpoint after {i} rounds")

@@ -7,15 +7,18 @@ Bands of the signature are bucket keys. Within a bucket candidate edges form a s
 around the most central member, never all pairs. Texts of buckets that still span
 several components after that are bucketed anew, by the rarest shingles of their sets
 (two sets above the threshold must share one of those: the prefix filter), which frees
-texts that differ from all others by too many shingles of their own. Those buckets
-go on in rounds of stars, with more hubs a round, until no untested pair of different
-components is left; a hub has been compared with everyone and leaves its bucket, so the
-loop ends. Every candidate is confirmed on the full shingle sets.
+texts that differ from all others by too many shingles of their own. Buckets that are
+open and large even then, as of texts put together from shared passages, are split
+by finer bands: long ones over many more bins, in which only near copies meet. Buckets
+go on in rounds of stars until no untested pair of different components is left; a hub
+has been compared with everyone and leaves its bucket, so the loop ends. Every
+candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,12 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return sets
 
 
+#: Finer bands: bins, bands, and the chance to miss a pair at the threshold that sets their length.
+FINE_BINS, FINE_BANDS, FINE_MISS = 4096, 512, 1e-9
+#: Members above which an open bucket is split by finer bands, and rounds after which an open bucket is an error.
+LARGE, ROUNDS = 256, 64
+
+
 def _probes() -> np.ndarray:
     rng = np.random.default_rng(20240501)
     return np.stack([rng.permutation(BINS) for _ in range(BINS)])
@@ -69,6 +78,35 @@ def band_keys(u: np.ndarray) -> np.ndarray:
     return key
 
 
+def fine_rows(percent: int) -> int:
+    """Length of the finer bands, so that a pair at the threshold shares none with chance FINE_MISS."""
+    shared = 1 - FINE_MISS ** (1 / FINE_BANDS)
+    return max(ROWS, int(math.log(shared) / math.log(min(99, percent) / 100)))
+
+
+def fine_keys(u: np.ndarray, rows: int) -> np.ndarray:
+    """Bucket keys of a set by FINE_BANDS bands of ``rows`` of FINE_BINS densified bins."""
+    shift = np.uint64(64 - FINE_BINS.bit_length() + 1)
+    bins = np.arange(FINE_BINS, dtype=np.uint64)
+    at = np.minimum(np.searchsorted(u, bins << shift), len(u) - 1)
+    sig = u[at]
+    full = (sig >> shift) == bins
+    empty, probe = np.flatnonzero(~full), 1
+    out = sig.copy()
+    while len(empty):
+        with np.errstate(over="ignore"):
+            to = (C.mix64(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(probe)) & np.uint64(FINE_BINS - 1)).astype(np.int64)
+        found = full[to]
+        out[empty[found]] = sig[to[found]]
+        empty, probe = empty[~found], probe + 1
+    with np.errstate(over="ignore"):
+        key = ~np.arange(FINE_BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        pick = C.mix64(np.arange(FINE_BANDS * rows, dtype=np.uint64) + np.uint64(1 << 40)) & np.uint64(FINE_BINS - 1)
+        for j in range(rows):
+            key = C.mix64(key ^ out[pick[j::rows].astype(np.int64)])
+    return key
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,19 +167,50 @@ def _prefixes(counts, percent: int):
     return run
 
 
-def _rare_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str) -> DataFrame:
-    """The members of open buckets, bucketed by the prefix filter instead: key, id, n, central and
-    pos, the shingles of the set that come before this one."""
-    info = C.saved(spark, members.select("id", "n", "central").distinct(), root, "rest-ids")
-    rest = C.saved(spark, sets.join(info.select("id"), "id", "left_semi"), root, "rest")
+KEYED = "id struct<node:long,hi:long,lo:long>, keys array<long>"
+
+
+def _rare_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str, size: float) -> DataFrame:
+    """The members of open buckets, bucketed by the prefix filter instead: key, id, n, central, comp
+    and pos, the shingles of the set that come before this one."""
+    info = C.saved(spark, members.select("id", "n", "central", "comp").distinct(), root, "rest-ids", size)
+    rest = C.saved(spark, sets.join(info.select("id"), "id", "left_semi"), root, "rest", size)
     found = rest.select("members").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SLOTS_LOG rows, as columns
     table = np.zeros(1 << SLOTS_LOG, np.int32)
     table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
     counts = spark.sparkContext.broadcast(table)
-    keys = rest.mapInArrow(_prefixes(counts, percent), "id struct<node:long,hi:long,lo:long>, keys array<long>").select("id", F.posexplode("keys").alias("pos", "key"))
-    keys = C.saved(spark, keys, root, "rare-all")
+    keys = rest.mapInArrow(_prefixes(counts, percent), KEYED).select("id", F.posexplode("keys").alias("pos", "key"))
+    keys = C.saved(spark, keys, root, "rare-all", size)
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    return C.saved(spark, keys.join(shared, "key", "left_semi").join(info, "id"), root, "rare")
+    return keys.join(shared, "key", "left_semi").join(info, "id")
+
+
+def _fine(percent: int):
+    rows = fine_rows(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                keys = [fine_keys(np.frombuffer(x.as_buffer(), np.uint64), rows).view(np.int64) for x in part.column("members")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
+
+    return run
+
+
+def _split_large(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str, size: float) -> DataFrame:
+    """members, with finer buckets in place of those of more than LARGE."""
+    large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LARGE).select("key")
+    large = C.saved(spark, large, root, "large", size)
+    if large.isEmpty():
+        return members
+    texts = members.join(large, "key", "left_semi").select("id", "n", "central", "comp").distinct()
+    texts = C.saved(spark, texts, root, "large-texts", size)
+    keys = sets.join(texts.select("id"), "id", "left_semi").mapInArrow(_fine(percent), KEYED).select("id", F.explode("keys").alias("key"))
+    keys = C.saved(spark, keys, root, "fine-all")
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    fine = keys.join(shared, "key", "left_semi").join(texts, "id").withColumn("pos", F.lit(0))
+    return members.join(large, "key", "left_anti").unionByName(fine.select(members.columns))
 
 
 def _confirm(percent: int):
@@ -160,11 +229,14 @@ def _confirm(percent: int):
     return run
 
 
-def _with_comps(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    members = members.drop("comp")
-    if comps is None:
-        return members.withColumn("comp", F.col("id"))
-    return members.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+def _moved(df: DataFrame, moves: DataFrame | None) -> DataFrame:
+    """df with the component that comp has become part of."""
+    if moves is None:
+        return df
+    return df.join(moves.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
+
+
+PAIRS = "a struct<node:long,hi:long,lo:long>, b struct<node:long,hi:long,lo:long>, linked boolean"
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -183,60 +255,73 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     root = C.work_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     sketch = C.saved(spark, docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, hi long, lo long, bands array<long>"), root, "sketch")
+    n_rows, shingles = sketch.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bands = BINS // ROWS
     named = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = C.saved(spark, named.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")), root, "classes")
+    classes = C.saved(spark, named.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")), root, "classes", n_rows * (40 + 8 * bands))
 
     # A doc_id with several texts would give several classes one name: such later classes are
     # numbered by (node, hi, lo) through their sets' identity, so the class key is (hi, lo).
     exploded = classes.select("hi", "lo", "node", "n", F.explode("bands").alias("key"))
     sizes = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = C.saved(spark, exploded.join(sizes, "key"), root, "members")
-    central = members.groupBy("hi", "lo").agg(F.sum("members").alias("central"))
-    members = C.saved(spark, members.drop("members").join(central, ["hi", "lo"]).withColumn("id", F.struct("node", "hi", "lo")).drop("hi", "lo", "node").withColumn("pos", F.lit(0)), root, "buckets")
+    of_text = Window.partitionBy("hi", "lo")  # at most one row a band
+    members = exploded.join(sizes, "key").withColumn("central", F.sum("members").over(of_text))
+    members = members.select("key", "n", "central", F.struct("node", "hi", "lo").alias("id"), F.lit(0).alias("pos")).withColumn("comp", F.col("id"))
+    members = C.saved(spark, members, root, "buckets", n_rows * bands * 40)
 
-    wanted = C.saved(spark, members.select("id.node").distinct(), root, "wanted")
+    wanted = C.saved(spark, members.select("id.node").distinct(), root, "wanted", n_rows * 8)
     sets = C.by_ids(docs.withColumnRenamed("doc_id", "node"), wanted, "node", "left_semi").select(F.col("node").alias("doc_id"), "text").mapInArrow(_full_sets(words), "node long, hi long, lo long, members binary")
     in_bucket = members.select("id.*").distinct()
-    sets = C.saved(spark, sets.join(in_bucket, ["node", "hi", "lo"], "left_semi").dropDuplicates(["node", "hi", "lo"]).select(F.struct("node", "hi", "lo").alias("id"), "members"), root, "sets")
+    sets = C.saved(spark, sets.join(in_bucket, ["node", "hi", "lo"], "left_semi").dropDuplicates(["node", "hi", "lo"]).select(F.struct("node", "hi", "lo").alias("id"), "members"), root, "sets", shingles * 8)
 
-    links = comps = tested = None
+    links, moves, tested = None, [], None
     hubs = 1
-    for i in range(64):
-        members = _with_comps(members, comps)
+    for i in range(ROUNDS):
+        if i:
+            members = _moved(members, moves[-1])
         open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = C.saved(spark, members.join(open_keys, "key", "left_semi"), root, f"open-{i}")
+        members = C.saved(spark, members.join(open_keys, "key", "left_semi"), root, f"open-{i}", n_rows * bands * 40 if i < 2 else None)
         if members.isEmpty():
             break
         if i == 1:
-            members = _rare_buckets(spark, sets, members, percent, root)
-            members = C.saved(spark, _with_comps(members, comps), root, "rare-comps")
-            hubs = 64
+            members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare", shingles * 40)
+            hubs = 4
+        elif i == 2:
+            members = C.saved(spark, _split_large(spark, sets, members, percent, root, shingles * 8), root, "split")
         first = Window.partitionBy("key").orderBy(F.desc("central"), "id")
         top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
         # what follows their first shared shingle in both sets must hold all that they have to share
         fits = (F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent) & (F.col("comp") != F.col("hub_comp"))
-        star = members.join(top, "key").where(fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        swap = F.col("hub") < F.col("id")
+        ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("hub", "id", "a"), ("id", "hub", "b"), ("hub_comp", "comp", "ca"), ("comp", "hub_comp", "cb"))]
+        star = members.join(top, "key").where(fits).select(*ends).distinct()
         if tested is not None:
             star = star.join(tested, ["a", "b"], "left_anti")
         star = C.saved(spark, star, root, f"star-{i}")
         pairs = star.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        found = C.saved(spark, pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a struct<node:long,hi:long,lo:long>, b struct<node:long,hi:long,lo:long>, linked boolean"), root, f"found-{i}")
-        tested = star if tested is None else tested.union(star)
-        hit = found.where("linked").select("a", "b")
-        if not hit.isEmpty():
-            links = hit if links is None else links.union(hit)
-            comps = C.components(spark, links, root, f"comps-{i}")
+        found = pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS).where("linked").select("a", "b")
+        n_star = star.count()
+        found = C.saved(spark, found, root, f"found-{i}", n_star * 48)
+        tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
+        links = found if links is None else links.union(found)
+        # components of components: only what is new is connected
+        joined = found.join(star, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        moves.append(C.components(spark, joined, root, f"comps-{i}", n_star))
         members = members.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs *= 16
-
-    out = classes.select("hi", "lo", "node", "copies")
-    if comps is not None:
-        degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("degree"))
-        near = comps.select("node.*", F.col("comp.node").alias("comp"), F.col("node").alias("id")).join(degree, F.col("id") == F.col("a"), "left").select("hi", "lo", F.col("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        out = out.join(near, ["hi", "lo"], "left")
+        hubs *= 4
+    else:
+        raise RuntimeError(f"near_duplicates: buckets are open after {ROUNDS} rounds")
+
+    out = classes.select("hi", "lo", "copies", F.struct("node", "hi", "lo").alias("id")).withColumn("comp", F.col("id"))
+    for m in moves:
+        out = _moved(out, m)
+    if links is not None:
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
+        out = out.join(degree, "id", "left")
     else:
-        out = out.withColumn("comp", F.col("node")).withColumn("degree", F.lit(0))
-    out = C.saved(spark, out.select("hi", "lo", F.coalesce("comp", "node").alias("comp"), (F.coalesce("degree", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).cast("long").alias("n_links")), root, "labels")
+        out = out.withColumn("degree", F.lit(0))
+    out = out.select("hi", "lo", F.col("comp.node").alias("comp"), (F.coalesce("degree", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).cast("long").alias("n_links"))
+    out = C.saved(spark, out, root, "labels", n_rows * 40)
     rows = sketch.select("doc_id", "n_shingles", "hi", "lo")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return (
