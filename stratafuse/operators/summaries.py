@@ -157,3 +157,45 @@ def spatial_blocks(points: DataFrame, voxel: float, block: int = 8) -> DataFrame
     out = points.withColumns({f"i{c}": F.floor(F.col(c) / F.lit(voxel)).cast("int") for c in "xyz"})
     out = out.withColumns({f"b{c}": F.floor(F.col(f"i{c}") / block).cast("int") for c in "xyz"})
     return out.withColumn("in_block", (F.pmod("ix", F.lit(block)) * block + F.pmod("iy", F.lit(block))) * block + F.pmod("iz", F.lit(block)))
+
+
+def match_summary(matches: DataFrame, source: str, target: str, confidence: str) -> DataFrame:
+    """Dense matches (a row each) by pair of frames: how many, and a summary of their confidence."""
+    return numeric_summary(matches, confidence, [source, target]).withColumnRenamed("n", "match_count")
+
+
+def recorded_or(recorded: dict[str, float | None], computed: dict[str, float]) -> tuple[float, float]:
+    """mean and p95 as a header records them; computed ones where it lacks either."""
+    pick = recorded if all(recorded.get(k) is not None for k in ("mean", "p95")) else computed
+    return float(pick["mean"]), float(pick["p95"])
+
+
+def prediction_losses(px: DataFrame, by: list[str], centers: DataFrame | None = None, weights: tuple[float, float, float, float] = (1.0, 0.05, 0.01, 0.1)) -> DataFrame:
+    """Supervised metrics of pixels (depth, target, sigma, confidence, target_confidence) by group: smooth L1 depth loss,
+    negative log likelihood of a Laplacian (sigma clipped to 1e-4..10), squared error of the confidence, MAE and RMSE of
+    depth. With ``centers`` (by, x, y, z, tx, ty, tz): mean absolute error of camera centres, and the weighted total."""
+    e = F.abs(F.col("depth") - F.col("target"))
+    sigma = F.least(F.greatest(F.col("sigma"), F.lit(1e-4)), F.lit(10.0))
+    c = F.col("confidence") - F.col("target_confidence")
+    out = px.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(F.when(e < 1, e * e / 2).otherwise(e - 0.5)).alias("loss_depth"), F.avg(e / sigma + F.ln(sigma)).alias("loss_sigma_nll"), F.avg(c * c).alias("loss_confidence"),
+        F.avg(e).alias("depth_mae_m"), F.sqrt(F.avg(e * e)).alias("depth_rmse_m"),
+    )
+    if centers is None:
+        return out
+    off = [F.abs(F.col(a) - F.col(f"t{a}")) for a in "xyz"]
+    moved = centers.groupBy(*by).agg(F.avg((off[0] + off[1] + off[2]) / 3).alias("loss_pose_center"))
+    total = sum((F.lit(w) * F.col(f"loss_{n}") for w, n in zip(weights, ("depth", "sigma_nll", "confidence", "pose_center"), strict=True)), F.lit(0.0))
+    return out.join(moved, by).withColumns({"pose_center_mae_m": F.col("loss_pose_center"), "loss_total": total})
+
+
+def running_best(metrics: DataFrame, run: str, step: str, value: str) -> DataFrame:
+    """metrics with the lowest value of each run so far."""
+    upto = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return metrics.withColumn("best", F.min(value).over(upto))
+
+
+def variance_covariance(df: DataFrame, sigma: str, by: str) -> DataFrame:
+    """Covariance of a target's pose: the mean of sigma squared, at least 1e-8, on all of the diagonal."""
+    v = F.greatest(F.avg(F.col(sigma) * F.col(sigma)), F.lit(1e-8))
+    return df.groupBy(by).agg(v.alias("_v")).select(by, F.array(*[F.col("_v") if i % 7 == 0 else F.lit(0.0) for i in range(36)]).alias("covariance_6x6"))

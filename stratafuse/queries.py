@@ -305,4 +305,4 @@ def stable_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.size("x").cast("long").alias("n_turns"), F.array_join(W.stable_distinct(roles), ",").alias("stable_roles"))
 
 
-from stratafuse import record_queries  # noqa: E402, F401  registers its own
+from stratafuse import record_queries, scene_queries  # noqa: E402, F401  register their own
