@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 #: Separators of words in every contract: space and 0x09-0x0D, which are also
 #: the separators of ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Id lists up to this many rows (8 bytes each) are broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Bytes of a broadcast list of keys, and of one key in its hash table; longer lists are joined by a shuffle.
+BROADCAST_BYTES, KEY_BYTES = 48 << 20, 48
+BROADCAST_IDS = BROADCAST_BYTES // KEY_BYTES
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -68,7 +69,7 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, most:
 
 #: Columns of :func:`with_row_key`; lists of them are broadcast up to BROADCAST_KEYS rows.
 ROW_KEY = ["_id", "_row"]
-BROADCAST_KEYS = BROADCAST_IDS // 4
+BROADCAST_KEYS = BROADCAST_IDS // 2
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:

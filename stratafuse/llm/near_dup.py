@@ -48,7 +48,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 #: Finer bands: bins, bands, and the chance to miss a pair at the threshold that sets their length.
-FINE_BINS, FINE_BANDS, FINE_MISS = 4096, 512, 1e-9
+FINE_BINS, FINE_BANDS, FINE_MISS = 4096, 512, 1e-7
 #: Members above which an open bucket is split by finer bands, and rounds after which an open bucket is an error.
 LARGE, ROUNDS = 256, 64
 
@@ -149,67 +149,64 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["slot", "n"])
 
 
-def _prefixes(counts, percent: int):
-    """Bucket keys of a set: its shingles that are rarest by ``counts`` (ties by hash), as many
-    as leave out fewer than any partner above the threshold must share."""
+KEYED = "id struct<node:long,hi:long,lo:long>, n long, central long, comp struct<node:long,hi:long,lo:long>, keys array<long>"
+_OF_TEXT = ["id", "n", "central", "comp"]
+
+
+def _keyed(keys_of):
+    """Sets with what is known of their texts into bucket keys: ``keys_of`` one sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = counts.value
         for b in batches:
-            keys = []
-            for x in b.column("members"):
-                u = np.frombuffer(x.as_buffer(), np.uint64)
-                length = len(u) - (percent * len(u) + 99) // 100 + 1
-                order = np.lexsort((u, seen[(u >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)]))
-                keys.append(u[order[:length]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                keys = [keys_of(np.frombuffer(x.as_buffer(), np.uint64)).view(np.int64) for x in part.column("members")]
+                yield pa.RecordBatch.from_arrays([*part.select(_OF_TEXT).columns, pa.array(keys, pa.list_(pa.int64()))], [*_OF_TEXT, "keys"])
 
     return run
 
 
-KEYED = "id struct<node:long,hi:long,lo:long>, keys array<long>"
+def _prefixes(counts, percent: int):
+    """Bucket keys of a set: its shingles that are rarest by ``counts`` (ties by hash), as many
+    as leave out fewer than any partner above the threshold must share."""
+
+    def keys_of(u: np.ndarray) -> np.ndarray:
+        length = len(u) - (percent * len(u) + 99) // 100 + 1
+        order = np.lexsort((u, counts.value[(u >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)]))
+        return u[order[:length]]
+
+    return _keyed(keys_of)
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of the buckets that span several components."""
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return members.join(keys, "key", "left_semi")
 
 
 def _rare_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str, size: float) -> DataFrame:
     """The members of open buckets, bucketed by the prefix filter instead: key, id, n, central, comp
     and pos, the shingles of the set that come before this one."""
-    info = C.saved(spark, members.select("id", "n", "central", "comp").distinct(), root, "rest-ids", size)
-    rest = C.saved(spark, sets.join(info.select("id"), "id", "left_semi"), root, "rest", size)
+    info = members.select(*_OF_TEXT).distinct()
+    rest = C.saved(spark, sets.join(info, "id"), root, "rest", size)
     found = rest.select("members").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SLOTS_LOG rows, as columns
     table = np.zeros(1 << SLOTS_LOG, np.int32)
     table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
     counts = spark.sparkContext.broadcast(table)
-    keys = rest.mapInArrow(_prefixes(counts, percent), KEYED).select("id", F.posexplode("keys").alias("pos", "key"))
-    keys = C.saved(spark, keys, root, "rare-all", size)
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    return keys.join(shared, "key", "left_semi").join(info, "id")
-
+    keys = rest.mapInArrow(_prefixes(counts, percent), KEYED).select(*_OF_TEXT, F.posexplode("keys").alias("pos", "key"))
+    return _open(C.saved(spark, keys, root, "rare-all"))
 
-def _fine(percent: int):
-    rows = fine_rows(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                keys = [fine_keys(np.frombuffer(x.as_buffer(), np.uint64), rows).view(np.int64) for x in part.column("members")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
-
-    return run
-
-
-def _split_large(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str, size: float) -> DataFrame:
+def _split_large(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str) -> DataFrame:
     """members, with finer buckets in place of those of more than LARGE."""
     large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LARGE).select("key")
-    large = C.saved(spark, large, root, "large", size)
+    large = C.saved(spark, large, root, "large")
     if large.isEmpty():
         return members
-    texts = members.join(large, "key", "left_semi").select("id", "n", "central", "comp").distinct()
-    texts = C.saved(spark, texts, root, "large-texts", size)
-    keys = sets.join(texts.select("id"), "id", "left_semi").mapInArrow(_fine(percent), KEYED).select("id", F.explode("keys").alias("key"))
-    keys = C.saved(spark, keys, root, "fine-all")
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    fine = keys.join(shared, "key", "left_semi").join(texts, "id").withColumn("pos", F.lit(0))
+    texts = members.join(large, "key", "left_semi").select(*_OF_TEXT).distinct()
+    rows = fine_rows(percent)
+    keys = sets.join(texts, "id").mapInArrow(_keyed(lambda u: fine_keys(u, rows)), KEYED).select(*_OF_TEXT, F.explode("keys").alias("key")).withColumn("pos", F.lit(0))
+    fine = _open(C.saved(spark, keys, root, "fine-all"))
     return members.join(large, "key", "left_anti").unionByName(fine.select(members.columns))
 
 
@@ -279,15 +276,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     for i in range(ROUNDS):
         if i:
             members = _moved(members, moves[-1])
-        open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = C.saved(spark, members.join(open_keys, "key", "left_semi"), root, f"open-{i}", n_rows * bands * 40 if i < 2 else None)
+        members = C.saved(spark, _open(members), root, f"open-{i}", n_rows * bands * 40 if i < 2 else None)
         if members.isEmpty():
             break
         if i == 1:
-            members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare", shingles * 40)
+            members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare")
             hubs = 4
         elif i == 2:
-            members = C.saved(spark, _split_large(spark, sets, members, percent, root, shingles * 8), root, "split")
+            members = C.saved(spark, _split_large(spark, sets, members, percent, root), root, "split")
+            hubs = 4
         first = Window.partitionBy("key").orderBy(F.desc("central"), "id")
         top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
         # what follows their first shared shingle in both sets must hold all that they have to share
@@ -301,7 +298,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         pairs = star.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
         found = pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS).where("linked").select("a", "b")
         n_star = star.count()
-        found = C.saved(spark, found, root, f"found-{i}", n_star * 48)
+        found = C.saved(spark, found, root, f"found-{i}", n_star * (48 + 16 * shingles / max(1, n_rows)))  # what it reads, not what it writes
         tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
         links = found if links is None else links.union(found)
         # components of components: only what is new is connected

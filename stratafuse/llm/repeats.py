@@ -8,8 +8,9 @@ counting. What is left, different pieces around one anchor, is indexed: per bloc
 anchors a Burrows-Wheeler transform is built and run-compressed, with suffix-array
 samples at the run ends, and matching statistics stream over the text: inside a run
 the match of the previous position just loses a byte, so only run heads are compared.
-Anchors with very many pieces go by counting hashes of ranges of windows instead, which
-is exact as well and never gathers a group.
+Crowded anchors get longer contexts first: their windows are taken in ranges, and
+what all windows of a range share is the range's own anchor. Ranges are split until few
+enough pieces meet around one, which are then indexed like all others.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafuse.llm import common as C
 
 LENGTH, CONTEXT = 400, 200
-#: Pieces of one anchor above which its windows are counted one by one; bytes of text of an index block.
+#: Pieces of one anchor above which it gets longer contexts; bytes of text of an index block.
 CROWD, BLOCK = 500, 1 << 20
 
 
@@ -54,11 +56,13 @@ def _window_minima(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def pieces(texts: list[bytes], length: int, context: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, anchor hash, piece hash) of all runs of windows of one anchor."""
-    a = np.frombuffer(b"".join(texts), np.uint8)
+    """(text number, first window, windows, anchor's place in the piece, anchor hash, piece hash) of
+    all runs of windows of one anchor."""
+    data = b"".join(texts)
+    a = np.frombuffer(data, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if len(a) < length:
         return none
     r = Rolled(a)
@@ -76,21 +80,24 @@ def pieces(texts: list[bytes], length: int, context: int) -> tuple[np.ndarray, .
     first = np.flatnonzero((np.diff(p, prepend=-1) != 0) | (np.diff(s, prepend=-2) != 1))
     count = np.diff(np.append(first, len(s)))
     s0, p0 = s[first], p[first]
-    with np.errstate(over="ignore"):
-        piece = C.mix64(r.of(s0, s0 + count - 1 + length) + C.mix64((p0 - s0).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
+    lead = p0 - s0
+    view, own = memoryview(data), (lead << 32 | count).tolist()
+    # pieces are named by what they hold: a hash of their bytes, and the anchor's place in them
+    piece = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e], o) for s, e, o in zip(s0.tolist(), (s0 + count - 1 + length).tolist(), own, strict=True)), np.uint64, len(s0))
     text = np.searchsorted(ends, s0, "right")
-    return text, s0 - starts[text], count, h[p0], piece
+    return text, s0 - starts[text], count, lead, h[p0], piece
 
 
-PIECES = "uid long, first int, windows int, anchor long, piece long"
+PIECES = "rid long, uid long, first int, windows int, lead int, anchor long, piece long"
 
 
 def _pieces(length: int, context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uid = np.asarray(b.column("uid"))
-            text, first, count, anchor, piece = pieces([t.encode() if t else b"" for t in b.column("text").to_pylist()], length, context)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[text] if len(text) else [], pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor.view(np.int64), pa.int64()), pa.array(piece.view(np.int64), pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
+            text, first, count, lead, anchor, piece = pieces([t.encode() if t else b"" for t in b.column("text").to_pylist()], length, context)
+            row = pa.array(text, pa.int64())
+            cols = [b.column(c).take(row) for c in ("rid", "uid")] + [pa.array(x, pa.int32()) for x in (first, count, lead)] + [pa.array(x.view(np.int64), pa.int64()) for x in (anchor, piece)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in PIECES.split(", ")])
 
     return run
 
@@ -178,39 +185,44 @@ def _cut_out(length: int):
             rows = []
             for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 data = text.encode()
-                rows += [(w["anchor"], w["piece"], data[w["first"] : w["first"] + w["windows"] - 1 + length]) for w in wanted]
+                rows += [(w["anchor"], w["piece"], w["lead"], data[w["first"] : w["first"] + w["windows"] - 1 + length]) for w in wanted]
                 if len(rows) > 2000:
-                    yield _three(rows)
+                    yield _cut_rows(rows)
                     rows = []
-            yield _three(rows)
+            yield _cut_rows(rows)
 
     return run
 
 
-def _three(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["anchor", "piece", "data"])
+CUT = "anchor long, piece long, lead int, data binary"
+
+
+def _cut_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.binary()])], ["anchor", "piece", "lead", "data"])
 
 
 SETTLED = "anchor long, piece long, spans array<int>"
+FOUND = "at struct<anchor:long,piece:long,first:int>, spans array<int>"
 
 
 def _index(length: int):
-    """Rows sorted by anchor, in blocks of whole anchors, through run-length indexes."""
+    """Rows (group, at, data) sorted by group, in blocks of whole groups, through run-length indexes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
 
         def settle() -> pa.RecordBatch:
-            found = [(a, p, _spans(f)) for (a, p, _), f in zip(held, repeated_starts([x for *_, x in held], length), strict=True) if f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.list_(pa.int32()))], ["anchor", "piece", "spans"])
+            found = [(p, _spans(f)) for (_, p, _), f in zip(held, repeated_starts([x for *_, x in held], length), strict=True) if f.any()]
+            kind = pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("first", pa.int32())])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], kind), pa.array([r[1] for r in found], pa.list_(pa.int32()))], ["at", "spans"])
 
         for b in batches:
-            for anchor, piece, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "piece", "data")), strict=True):
-                if size >= BLOCK and held[-1][0] != anchor:
+            for group, piece, data in zip(*(b.column(c).to_pylist() for c in ("group", "at", "data")), strict=True):
+                if size >= BLOCK and held[-1][0] != group:
                     yield settle()
                     held, size = [], 0
-                held.append((anchor, piece, data))
+                held.append((group, piece, data))
                 size += len(data)
         if held:
             yield settle()
@@ -218,22 +230,21 @@ def _index(length: int):
     return run
 
 
-#: Parts into which a range of windows is split a round.
-PARTS = 4
-RANGE = "anchor long, piece long, low int, high int, first int, last int, core long, span long"
+#: Parts into which a range of windows is split a round, and rounds after which one of many would hold a window.
+PARTS, ROUNDS = 4, 32
+RANGE = "anchor long, piece long, low int, high int, first int, last int, core long, span long, data binary"
 
 
-def _split_ranges(length: int, context: int):
-    """Pieces with a range of windows (low..high, counted from the anchor) into its parts, with a
-    hash of the bytes that all windows of a part share and one of the bytes that they span."""
+def _split_ranges(length: int):
+    """Pieces with a range of windows (low..high, counted from the anchor) into its parts, with a hash
+    of the bytes that all windows of a part share, one of the bytes that they span, and these bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out = []
-            for anchor, piece, data, ranges in zip(*(b.column(c).to_pylist() for c in ("anchor", "piece", "data", "ranges")), strict=True):
-                r, n = Rolled(np.frombuffer(data, np.uint8)), len(data) - length + 1
-                at = np.arange(len(data) - context + 1)
-                lead = int(np.argmax(r.of(at, at + context).view(np.int64) == anchor))
+            for anchor, piece, lead, data, ranges in zip(*(b.column(c).to_pylist() for c in ("anchor", "piece", "lead", "data", "ranges")), strict=True):
+                n = len(data) - length + 1
                 for x in ranges:
                     low, high = x["low"], x["high"]
                     step = max(1, -(-(high - low + 1) // PARTS))
@@ -241,41 +252,44 @@ def _split_ranges(length: int, context: int):
                         hi = min(high, lo + step - 1)
                         first, last = max(lo + lead, 0), min(hi + lead, n - 1)  # windows of the piece in the part
                         if first <= last:
-                            core, span = (int(r.of(np.array([s]), np.array([e])).view(np.int64)[0]) for s, e in ((hi + lead, lo + lead + length), (first, last + length)))
-                            out.append((anchor, piece, lo, hi, first, last, core, span))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i in (0, 1, 6, 7) else pa.int32()) for i in range(8)], [x.split()[0] for x in RANGE.split(", ")])
+                            held = data[first : last + length]
+                            core, span = (xxhash.xxh3_64_intdigest(y) - (1 << 63) for y in (data[hi + lead : lo + lead + length], held))
+                            out.append((anchor, piece, lo, hi, first, last, core, span, held))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], [x.split()[0] for x in RANGE.split(", ")])
 
     return run
 
 
-def _crowded_spans(spark: SparkSession, cut: DataFrame, length: int, context: int, root: str) -> DataFrame:
-    """Repeated windows of the pieces of crowded anchors, by counting hashes (anchor, piece, spans).
+def _crowded_groups(spark: SparkSession, cut: DataFrame, length: int, context: int, crowd: int, root: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(settled, groups) of the pieces of crowded anchors: spans of windows that repeat (anchor, piece,
+    first, last), and smaller groups (group, at, data) for the index.
 
     Windows are taken in ranges. What all windows of a range share must occur in two pieces, else
-    none of them repeats; if all that they span does, all of them repeat; other ranges are
-    split. So a piece costs a few rows a round instead of one a window."""
+    none of them repeats; if all that they span does, all of them repeat. Where few pieces
+    share it, they are a group of their own; other ranges are split."""
     cut = C.saved(spark, cut, root, "crowd")
     live = cut.select("anchor", "piece", F.array(F.struct(F.lit(context - length).alias("low"), F.lit(0).alias("high"))).alias("ranges"))
-    settled = None
-    for i in range(32):
+    settled = groups = None
+    part = ["anchor", "low", "high", "core"]
+    for i in range(ROUNDS):
         if live.isEmpty():
-            break
-        parts = cut.join(live, ["anchor", "piece"]).select("anchor", "piece", "data", "ranges").mapInArrow(_split_ranges(length, context), RANGE)
-        parts = C.saved(spark, parts, root, f"parts-{i}")
-        spans = parts.groupBy("anchor", "low", "high", "core", "span").agg(F.count("*").alias("same"), F.min("piece").alias("witness"))
-        cores = spans.groupBy("anchor", "low", "high", "core").agg(F.sum("same").alias("n"), F.count("*").alias("kinds")).where("n > 1").drop("n")
-        spans = spans.join(cores, ["anchor", "low", "high", "core"])
-        parts = C.saved(spark, parts.join(spans, ["anchor", "low", "high", "core", "span"]), root, f"judged-{i}")
+            return settled, groups
+        parts = C.saved(spark, cut.join(live, ["anchor", "piece"]).select("anchor", "piece", "lead", "data", "ranges").mapInArrow(_split_ranges(length), RANGE), root, f"parts-{i}")
+        spans = parts.groupBy(*part, "span").agg(F.count("*").alias("same"), F.min("piece").alias("witness"))
+        cores = spans.groupBy(*part).agg(F.sum("same").alias("n"), F.count("*").alias("kinds")).where("n > 1").drop("n")
+        spans = spans.join(cores, part)
+        parts = C.saved(spark, parts.join(spans, [*part, "span"]), root, f"judged-{i}")
         done = parts.where("same > 1 or low = high").select("anchor", "piece", "first", "last")
         settled = done if settled is None else settled.union(done)
         # of settled pieces one goes on for the others to be compared with
-        live = parts.where("kinds > 1 and low < high and (same = 1 or piece = witness)").groupBy("anchor", "piece").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    if settled is None:
-        return spark.createDataFrame([], SETTLED)
-    return settled.groupBy("anchor", "piece").agg(F.flatten(F.collect_list(F.array("first", F.col("last") + 1))).alias("spans"))
+        others = parts.where("kinds > 1 and low < high and (same = 1 or piece = witness)")
+        small = others.where(F.col("kinds") <= crowd).select(F.xxhash64(*part).alias("group"), F.struct("anchor", "piece", "first").alias("at"), "data")
+        groups = small if groups is None else groups.union(small)
+        live = others.where(F.col("kinds") > crowd).groupBy("anchor", "piece").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    raise RuntimeError(f"repeats: ranges of windows are open after {ROUNDS} rounds")
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept binary"
 
 
 def _remove(length: int, keep: bool):
@@ -291,53 +305,59 @@ def _remove(length: int, keep: bool):
                     np.add.at(edge, s[1::2] - 1 + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((doc, len(data), int(gone.sum()), len(_spans(gone)) // 2, hashlib.sha256(kept).hexdigest(), kept if keep else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])], [x.split()[0] for x in DIGEST.split(", ")])
+                out.append((doc, len(data), int(gone.sum()), len(_spans(gone)) // 2, hashlib.sha256(kept).hexdigest(), bool(gone.any()), kept if keep else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()])], [x.split()[0] for x in DIGEST.split(", ")])
 
     return run
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, keep_bytes: bool = False, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for each row of ``docs`` (doc_id, text, ...).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept for each row of ``docs`` (doc_id, text, ...).
 
     Texts are UTF-8 bytes (null: empty); every byte covered by a ``length``-byte string that also
     starts elsewhere (in another row or the same text) is removed, n_spans counts the
-    maximal removed runs, kept_sha256 is of the bytes that remain and kept holds them if
-    ``keep_bytes`` is set (a run may end inside a character). Repeated rows repeat each
-    other; a null doc_id is an id like all others. Other columns are ignored; an empty table
-    gives an empty result.
+    maximal removed runs, kept_sha256 is of the bytes that remain, repeated says whether any
+    were removed, and kept holds the rest if ``keep_bytes`` is set (a run may end inside a
+    character). Repeated rows repeat each other; a null doc_id is an id like all others. Other
+    columns are ignored; an empty table gives an empty result.
     """
     C.bounded_batches(spark, 1000, 2)
     root = C.work_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    found = C.saved(spark, docs.where(F.octet_length("text") >= length).select("uid", "text").mapInArrow(_pieces(length, context), PIECES), root, "pieces")
-    classes = found.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "windows")).alias("at"))
-    same = Window.partitionBy("anchor")
-    classes = classes.withColumn("kinds", F.count("*").over(same)).where((F.col("kinds") > 1) | (F.col("n") > 1))
-    classes = C.saved(spark, classes.select("anchor", "piece", "n", "kinds", "at.*"), root, "classes")
+    row, key = ["rid", "uid"], ["anchor", "piece"]
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"rid": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "uid": F.xxhash64("doc_id", "text")})
+    found = C.saved(spark, docs.where(F.octet_length("text") >= length).select(*row, "text").mapInArrow(_pieces(length, context), PIECES), root, "pieces")
+    classes = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(*row, "first", "windows", "lead")).alias("at"))
+    classes = C.saved(spark, classes, root, "all-classes")
+    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    classes = classes.join(kinds, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))).where("kinds > 1 or n > 1")
+    classes = C.saved(spark, classes.select(*key, "n", "kinds", "at.*"), root, "classes")
 
     # pieces that differ around one anchor: one copy of each is cut out of its text
     several = classes.where("kinds > 1")
-    wanted = C.saved(spark, several.groupBy("uid").agg(F.collect_list(F.struct("anchor", "piece", "first", "windows")).alias("wanted")), root, "wanted")
-    texts = C.by_ids(docs.select("uid", "text"), wanted.select("uid"), "uid", "left_semi").dropDuplicates(["uid"])
-    cut = texts.join(wanted, "uid").select("text", "wanted").mapInArrow(_cut_out(length), "anchor long, piece long, data binary")
-    cut = C.saved(spark, cut, root, "cut")
-    crowded = several.where(F.col("kinds") > crowd).select("anchor").distinct()
-    indexed = cut.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_index(length), SETTLED)
-    starts = _crowded_spans(spark, cut.join(crowded, "anchor", "left_semi"), length, context, root)
-    partly = C.saved(spark, indexed.union(starts), root, "settled")
+    wanted = C.saved(spark, several.groupBy(*row).agg(F.collect_list(F.struct(*key, "first", "windows", "lead")).alias("wanted")), root, "wanted")
+    texts = C.by_ids(docs.select(*row, "text"), wanted.select(*row), row, "left_semi", C.BROADCAST_KEYS).dropDuplicates(row)
+    cut = C.saved(spark, texts.join(wanted, row).select("text", "wanted").mapInArrow(_cut_out(length), CUT), root, "cut")
+    crowded = C.saved(spark, several.where(F.col("kinds") > crowd).select("anchor").distinct(), root, "crowded")
+    groups = cut.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("group"), F.struct("anchor", "piece", F.lit(0).alias("first")).alias("at"), "data")
+    counted, more = _crowded_groups(spark, cut.join(crowded, "anchor", "left_semi"), length, context, crowd, root)
+    if more is not None:
+        groups = groups.union(more)
+    indexed = groups.repartition("group").sortWithinPartitions("group", "at").mapInArrow(_index(length), FOUND)
+    spans = indexed.select("at.anchor", "at.piece", F.transform("spans", lambda x: x + F.col("at.first")).alias("spans"))
+    if counted is not None:
+        spans = spans.union(counted.select(*key, F.array("first", F.col("last") + 1)))
+    partly = C.saved(spark, spans.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans")), root, "settled")
 
     # all windows of a piece with several copies repeat; of the others those that were found
-    whole = classes.where("n > 1").select("anchor", "piece", F.array(F.lit(0), F.col("windows")).alias("spans"))
-    single_copy = partly.join(classes.where("n > 1"), ["anchor", "piece"], "left_anti")
-    settled = whole.union(single_copy)
-    marks = found.join(settled, ["anchor", "piece"]).groupBy("uid").agg(F.collect_list(F.struct("first", "spans")).alias("marks"))
+    whole = classes.where("n > 1").select(*key, F.array(F.lit(0), F.col("windows")).alias("spans"))
+    single_copy = partly.join(classes.where("n > 1"), key, "left_anti")
+    marks = found.join(whole.union(single_copy), key).groupBy(*row).agg(F.collect_set(F.struct("first", "spans")).alias("marks"))
     marks = C.saved(spark, marks, root, "marks")
-    ids = marks.select("uid")
-    touched = C.by_ids(docs, ids, "uid", "left_semi").join(marks, "uid").select("doc_id", "text", "marks").mapInArrow(_remove(length, keep_bytes), DIGEST)
-    clean = C.by_ids(docs, ids, "uid", "left_anti")
+    ids = marks.select(*row)
+    touched = C.by_ids(docs, ids, row, "left_semi", C.BROADCAST_KEYS).join(marks, row).select("doc_id", "text", "marks").mapInArrow(_remove(length, keep_bytes), DIGEST)
+    clean = C.by_ids(docs, ids, row, "left_anti", C.BROADCAST_KEYS)
     data = F.encode("text", "UTF-8")
-    clean = clean.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), (data if keep_bytes else F.lit(None).cast("binary")).alias("kept"))
+    clean = clean.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), F.lit(False).alias("repeated"), (data if keep_bytes else F.lit(None).cast("binary")).alias("kept"))
     return touched.union(clean)
 
 
