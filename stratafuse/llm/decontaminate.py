@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from stratafuse.llm import common as C
 
 MIN_TILE = 4
+#: Pairs of equal windows of an item and a text that are held at once.
+MOST_PAIRS = 1 << 20
 #: Share of an item's words, in percent, that tiles must cover.
 COVER = 60
 #: Benchmarks of at most this many bytes of text are broadcast; larger ones are joined on their seeds by a shuffle.
@@ -43,13 +45,36 @@ def _runs(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndar
     order = np.argsort(hd, kind="stable")
     lo, hi_end = np.searchsorted(hd[order], hi), np.searchsorted(hd[order], hi, "right")
     n = hi_end - lo
-    i = np.repeat(ok_i, n)
-    d = ok_d[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] if n.sum() else np.zeros(0, np.int64)
-    by = np.lexsort((i, d - i))
-    i, d = i[by], d[by]
-    new = np.flatnonzero(np.diff(i, prepend=-9) + 1000003 * np.abs(np.diff(d - i, prepend=1 << 40)) != 1)
-    lengths = np.diff(np.append(new, len(i))) + size - 1
-    return [(int(k), int(i[x]), int(d[x])) for k, x in zip(lengths, new, strict=True) if np.array_equal(item[i[x] : i[x] + k], doc[d[x] : d[x] + k])]
+
+    def pairs(rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(item start, doc start) of all equal windows of some rows of ok_i."""
+        m, first = n[rows], lo[rows]
+        return np.repeat(ok_i[rows], m), ok_d[order[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]] if m.sum() else np.zeros(0, np.int64)
+
+    if n.sum() <= MOST_PAIRS:
+        i, d = pairs(slice(None))
+        by = np.lexsort((i, d - i))
+        i, d = i[by], d[by]
+        new = np.flatnonzero(np.diff(i, prepend=-9) + 1000003 * np.abs(np.diff(d - i, prepend=1 << 40)) != 1)
+        lengths = np.diff(np.append(new, len(i))) + size - 1
+        i, d = i[new], d[new]
+    else:  # texts that repeat the same words: a part of the pairs at a time, of which only the starts of runs are kept
+        starts = []
+        edges = np.searchsorted(np.cumsum(n), np.arange(MOST_PAIRS, n.sum() + MOST_PAIRS, MOST_PAIRS), "right") + 1
+        for a, b in zip(np.concatenate([[0], edges]), edges, strict=False):
+            i, d = pairs(slice(int(a), int(b)))
+            before = (i > 0) & (d > 0)
+            before[before] = (item[i[before] - 1] == doc[d[before] - 1]) & free_i[i[before] - 1] & free_d[d[before] - 1]
+            starts.append((i[~before], d[~before]))
+        i, d = (np.concatenate([x[k] for x in starts]) for k in (0, 1))
+        lengths, live = np.full(len(i), size), np.arange(len(i))
+        while len(live):
+            x, y = i[live] + lengths[live], d[live] + lengths[live]
+            ok = (x < len(item)) & (y < len(doc))
+            x, y = np.minimum(x, len(item) - 1), np.minimum(y, len(doc) - 1)
+            live = live[ok & (item[x] == doc[y]) & free_i[x] & free_d[y]]
+            lengths[live] += 1
+    return [(k, x, y) for k, x, y in zip(lengths.tolist(), i.tolist(), d.tolist(), strict=True) if np.array_equal(item[x : x + k], doc[y : y + k])]
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
@@ -158,13 +183,25 @@ def _free_of(index, cover: int):
     return run
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeds(sizes: tuple[int, ...] | None):
+    """Seed hashes of texts: runs of each of ``sizes`` words; None: of a tile, or of the whole text if it is shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for t in b.column("text").to_pylist():
+                h = C.word_hashes([normal(t)])[0]
+                own = sizes or ((min(MIN_TILE, len(h)),) if len(h) else ())
+                keys.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *[C.window_hashes(h, k) ^ np.uint64(k) for k in own]])).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in keys], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "seeds"])
+
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hs = [C.word_hashes([normal(t)])[0] for t in b.column("text").to_pylist()]
-        # items shorter than a tile are one seed; documents carry the seeds of every shorter length too
-        keys = [np.unique(np.concatenate([C.window_hashes(h, k) ^ np.uint64(k) for k in range(1, MIN_TILE + 1)])).view(np.int64) if len(h) else None for h in hs]
-        full = [(np.unique(C.window_hashes(h, min(MIN_TILE, len(h))) ^ np.uint64(min(MIN_TILE, len(h))))).view(np.int64) if len(h) else None for h in hs]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.list_(pa.int64())), pa.array(full, pa.list_(pa.int64()))], ["id", "any", "own"])
+        counts = {min(MIN_TILE, n) for n in np.diff(C.word_hashes([normal(t) for t in b.column("text").to_pylist()])[1]).tolist() if n}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(counts), pa.int64())], ["size"])
 
 
 def _tile_pairs(cover: int):
@@ -206,8 +243,11 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover
     root = C.work_dir(spark)
     # rows meet their pairs by a digest of id and text, so null and repeated ids are kept apart
     docs = docs.where("text is not null").withColumn("uid", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
-    have = docs.select(F.col("uid").alias("id"), "text").mapInArrow(_seeds, "id string, any array<long>, own array<long>").select(F.col("id").alias("uid"), F.explode("any").alias("seed"))
-    want = bench.where("item_id is not null").select(F.col("item_id").alias("id"), "text").mapInArrow(_seeds, "id long, any array<long>, own array<long>").select(F.col("id").alias("item_id"), F.explode("own").alias("seed"))
+    bench = bench.where("item_id is not null")
+    # only items shorter than a tile ask for shorter seeds: at most MIN_TILE lengths
+    lengths = tuple(sorted(r[0] for r in bench.select("text").mapInArrow(_sizes, "size long").distinct().collect()))
+    have = docs.select(F.col("uid").alias("id"), "text").mapInArrow(_seeds(lengths or (MIN_TILE,)), "id string, n long, seeds array<long>").select(F.col("id").alias("uid"), F.explode("seeds").alias("seed"))
+    want = bench.select(F.col("item_id").alias("id"), "text").mapInArrow(_seeds(None), "id long, n long, seeds array<long>").select(F.col("id").alias("item_id"), F.explode("seeds").alias("seed"))
     pairs = C.saved(spark, have.join(want, "seed").select("uid", "item_id").distinct(), root, "pairs")
     both = pairs.join(docs, "uid").join(bench.withColumnRenamed("text", "item"), "item_id")
     return both.select("doc_id", "item_id", "text", "item").mapInArrow(_tile_pairs(cover), LEAKS)

@@ -135,7 +135,7 @@ def _full_sets(k: int):
 
 
 #: Slots of the shingle counts by which the prefix filter orders shingles (4 bytes each when broadcast).
-SLOTS_LOG = 20
+SLOTS_LOG = 18
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +281,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             break
         if i == 1:
             members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare")
-            hubs = 4
+            hubs = 8
         elif i == 2:
             members = C.saved(spark, _split_large(spark, sets, members, percent, root), root, "split")
-            hubs = 4
+            hubs = 8
         first = Window.partitionBy("key").orderBy(F.desc("central"), "id")
         top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
         # what follows their first shared shingle in both sets must hold all that they have to share
@@ -305,7 +305,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         joined = found.join(star, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         moves.append(C.components(spark, joined, root, f"comps-{i}", n_star))
         members = members.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs *= 4
+        hubs *= 8
     else:
         raise RuntimeError(f"near_duplicates: buckets are open after {ROUNDS} rounds")
 
@@ -319,6 +319,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         out = out.withColumn("degree", F.lit(0))
     out = out.select("hi", "lo", F.col("comp.node").alias("comp"), (F.coalesce("degree", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).cast("long").alias("n_links"))
     out = C.saved(spark, out, root, "labels", n_rows * 40)
+    C.keep_only(spark, root, "sketch", "labels")
     rows = sketch.select("doc_id", "n_shingles", "hi", "lo")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return (

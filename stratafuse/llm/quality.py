@@ -1,7 +1,7 @@
 """Operator 4: quality rules as a short-circuit cascade.
 
 Rules are cheap predicates on a text's counts. Their cost (seconds a document) and
-selectivity (share rejected) are estimated on a bounded sample, rules are ordered by rejection
+selectivity (share rejected) are estimated in executors on a sample, rules are ordered by rejection
 per cost, and each rule is then evaluated only on the documents that all earlier ones
 passed. The order changes the work, never the verdict.
 """
@@ -88,17 +88,44 @@ def base_failed(n: dict[str, int]) -> bool:
     return n["n_words"] < 20 or 100 * n["n_repeat_words"] > 30 * n["n_words"]
 
 
+COSTS = "rule string, seconds double, hits long, n long"
+
+
+def _measure(rules: tuple[Rule, ...]):
+    """What each rule costs and rejects on the rows of a sample that pass the base rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            counts, words = base_counts(texts)
+            jobs = [(t, w, n) for t, w, n in zip(texts, words, counts, strict=True) if t and not base_failed(n)]
+            rows = []
+            for r in rules:
+                began = time.perf_counter()
+                hits = sum(r.rejects(*j) for j in jobs)
+                rows.append((r.name, time.perf_counter() - began, hits, len(jobs)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.float64(), pa.int64(), pa.int64()])], ["rule", "seconds", "hits", "n"])
+
+    return run
+
+
+def by_worth(rules: tuple[Rule, ...], cost: dict[str, tuple[float, int, int]]) -> tuple[Rule, ...]:
+    """``rules`` by rejection per cost, given each one's seconds, rejections and rows."""
+
+    def worth(r: Rule) -> float:
+        seconds, hits, n = cost.get(r.name, (0.0, 0, 0))
+        return ((hits + 0.5) / (n + 1)) / (seconds / max(1, n) + 1e-9)
+
+    return tuple(sorted(rules, key=lambda r: -worth(r)))
+
+
 def ordered_rules(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """``rules`` by rejection per cost, as measured on ``rows`` rows of docs, spread by a hash of the id."""
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).limit(rows).select("text").toPandas()["text"].tolist()
-    counts, words = base_counts(picked)
-    jobs = [(t, w, n) for t, w, n in zip(picked, words, counts, strict=True) if t and not base_failed(n)]
-    score = {}
-    for r in rules:
-        began = time.perf_counter()
-        hits = sum(r.rejects(*j) for j in jobs)
-        score[r.name] = (hits + 0.5) / (time.perf_counter() - began + 1e-9)
-    return tuple(sorted(rules, key=lambda r: -score[r.name]))
+    """``rules`` by rejection per cost, as measured in executors on about ``rows`` rows that a hash of
+    the id spreads over the table; a few numbers a rule come back."""
+    every = max(1, docs.count() // max(1, rows))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    sums = picked.mapInArrow(_measure(rules), COSTS).groupBy("rule").agg(F.sum("seconds"), F.sum("hits"), F.sum("n")).collect()
+    return by_worth(rules, {r[0]: (r[1], r[2], r[3]) for r in sums})
 
 
 def _judge(rules: tuple[Rule, ...]):
@@ -112,24 +139,25 @@ def _judge(rules: tuple[Rule, ...]):
             for r in rules:  # each rule sees only what the earlier ones passed
                 rejected = [i for i in left if r.rejects(texts[i], words[i], counts[i])]
                 for i in rejected:
-                    by[i] = "rules"
+                    by[i] = r.name
                 gone = set(rejected)
                 left = [i for i in left if i not in gone]
             cols = [b.column("doc_id")] + [pa.array([n[k] for n in counts], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(failed, pa.bool_()), pa.array([x is None for x in by], pa.bool_())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(failed, pa.bool_()), pa.array([x is None for x in by], pa.bool_()), pa.array(by, pa.string())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
 
     return run
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for
-    each row of ``docs`` (doc_id, text, ...): counts are of the whole text; a null or empty
-    text has none and fails (fewer than 20 words). Rows are judged one by one, so a null or
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by
+    for each row of ``docs`` (doc_id, text, ...): counts are of the whole text; a null or empty
+    text has none and fails (fewer than 20 words). rejected_by is the first rule of the cascade that
+    rejects, "base" or null; it depends on the measured order, kept does not. Rows are judged one by one, so a null or
     repeated doc_id changes nothing, other columns are ignored and an empty table gives
     an empty result."""
     C.bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(_judge(ordered_rules(spark, docs, rules)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return docs.mapInArrow(_judge(ordered_rules(spark, docs, rules)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

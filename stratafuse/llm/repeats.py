@@ -353,6 +353,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, c
     single_copy = partly.join(classes.where("n > 1"), key, "left_anti")
     marks = found.join(whole.union(single_copy), key).groupBy(*row).agg(F.collect_set(F.struct("first", "spans")).alias("marks"))
     marks = C.saved(spark, marks, root, "marks")
+    C.keep_only(spark, root, "marks")
     ids = marks.select(*row)
     touched = C.by_ids(docs, ids, row, "left_semi", C.BROADCAST_KEYS).join(marks, row).select("doc_id", "text", "marks").mapInArrow(_remove(length, keep_bytes), DIGEST)
     clean = C.by_ids(docs, ids, row, "left_anti", C.BROADCAST_KEYS)

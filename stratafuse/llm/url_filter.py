@@ -21,6 +21,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Bound of the labelled sample (those of lowest hash of the url).
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 6, 2, 16, 0.5, 1.0
+#: Parts of the hosts: a training url's suffix rate is counted on the hosts of the other parts.
+FOLDS = 5
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "suffix_rate")
 
 
@@ -145,31 +147,67 @@ def _at(tree: dict, node: str) -> dict:
     return tree
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("host", F.lit(23)), F.lit(FOLDS))
+
+
+def _suffix_rates(rows: DataFrame) -> DataFrame:
+    """suffix, rate: the smoothed share of blocked urls among labelled rows; and own: (blocked, rows) of each
+    part of the hosts, to be taken off for urls of that part."""
+    blocked = F.sum((F.col("label") == "block").cast("long"))
+    parts = rows.where("label is not null").groupBy("suffix", _fold().alias("fold")).agg(blocked.alias("b"), F.count("*").alias("n"))
+    return parts.groupBy("suffix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("b", "n")))).alias("own"))
+
+
+def _sample(spark: SparkSession, rows: DataFrame, rates: DataFrame, sample_rows: int, root: str, name: str = "sample") -> DataFrame:
+    """label_value and features of distinct labelled urls, those of lowest hash, each with the suffix rate of other hosts."""
+    # each url once, however many rows hold it: copies of a url sort together and would fill the sample
+    urls = C.saved(spark, rows.where("label is not null").select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows), root, f"{name}-urls")
+    picked = featured(urls.select(F.lit(None).cast("long").alias("page_id"), "url")).join(rates, "suffix", "left")
+    own = F.element_at("own", _fold())
+    others = (F.col("b") - F.coalesce(own["b"], F.lit(0)) + 1) / (F.col("n") - F.coalesce(own["n"], F.lit(0)) + 2)
+    picked = picked.withColumn("f_suffix_rate", F.coalesce(others, F.lit(0.5)))
+    return C.saved(spark, picked.select((F.col("label") == "block").cast("double").alias("label_value"), *[f"f_{k}" for k in FEATURES]), root, name)
+
+
+def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    return rows.join(rates.select("suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("rate")), "suffix", "left").withColumn("f_suffix_rate", F.coalesce("rate", F.lit(0.5)))
+
+
 def judge_urls(spark: SparkSession, pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, margin for each row of ``pages`` (page_id, url, ...).
 
     verdict is that of the longest fitting rule, else block where the trees' margin is above 0.
     The trees are trained on ``sample_rows`` distinct labelled urls.
     suffix_rate, the smoothed share of blocked urls among the labelled ones of the same last
-    host label, is counted over all labelled rows. Null urls and those without "://" have an
+    host label, is counted over all labelled rows; for training urls without the hosts of their own
+    part, so that no url sees its own label. Null urls and those without "://" have an
     empty host and path, fit no rule and are judged by the trees. Repeated rows and null
     page_ids are judged like all others; other columns are ignored; an empty table gives
     an empty result. Without labelled urls everything is allowed.
     """
     root = C.work_dir(spark)
     rows = featured(pages)
-    blocked = (F.col("label") == "block").cast("int")
-    rates = rows.where("label is not null").groupBy("suffix").agg(((F.sum(blocked) + 1) / (F.count("*") + 2)).alias("rate"))
-    rates = C.saved(spark, rates, root, "suffixes")
-    labelled_urls = rows.where("label is not null").select("url")
-    rows = rows.join(rates, "suffix", "left").withColumn("f_suffix_rate", F.coalesce("rate", F.lit(0.5)))
-    # each url once, however many rows hold it: copies of a url sort together and would fill the sample
-    urls = C.saved(spark, labelled_urls.distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows), root, "urls")
-    picked = featured(urls.select(F.lit(None).cast("long").alias("page_id"), "url")).join(rates, "suffix", "left").withColumn("f_suffix_rate", F.coalesce("rate", F.lit(0.5)))
-    sample = C.saved(spark, picked.select(blocked.cast("double").alias("label_value"), *[f"f_{k}" for k in FEATURES]), root, "sample")
-    margin = fit(sample).margin()
+    rates = C.saved(spark, _suffix_rates(rows), root, "suffixes")
+    margin = fit(_sample(spark, rows, rates, sample_rows, root)).margin()
     verdict = F.coalesce("label", F.when(F.col("margin") > 0, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.withColumn("margin", margin).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "margin")
+    return _with_rates(rows, rates).withColumn("margin", margin).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "margin")
+
+
+def held_out_auc(spark: SparkSession, pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[float, int]:
+    """(area under the ROC curve, urls) on the distinct labelled urls of one part of the hosts, by trees
+    and rates that come from the other parts. NaN if a label is missing there."""
+    root = C.work_dir(spark)
+    rows = featured(pages).withColumn("part", _fold())
+    known, held = rows.where("part <> 0"), rows.where("part = 0 and label is not null").dropDuplicates(["url"])
+    rates = C.saved(spark, _suffix_rates(known), root, "suffixes")
+    margin = fit(_sample(spark, known, rates, sample_rows, root)).margin()
+    scored = _with_rates(held, rates).groupBy(margin.alias("margin")).agg(F.count_if(F.col("label") == "block").alias("p"), F.count_if(F.col("label") == "allow").alias("n"))
+    below = wins = positives = negatives = 0
+    for r in scored.orderBy("margin").collect():  # sums of a few leaves: a bounded number of margins
+        wins += r["p"] * (below + r["n"] / 2)
+        below, positives, negatives = below + r["n"], positives + r["p"], negatives + r["n"]
+    return (wins / (positives * negatives) if positives and negatives else float("nan")), positives + negatives
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,9 +172,11 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFr
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archives, read through the bundles' seek tables and checked against
-    its digest: page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, in_frame."""
+    its digest: page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, in_frame.
+    A task a bundle, and no row for a folder whose index is empty."""
     bundles = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct()
-    return bundles.mapInArrow(_read(f"{folder}/bundles"), READ)
+    # names are small, what they stand for isn't: a number of partitions is asked for, which isn't coalesced
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(_read(f"{folder}/bundles"), READ)
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
