@@ -176,7 +176,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     A task a bundle, and no row for a folder whose index is empty."""
     bundles = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct()
     # names are small, what they stand for isn't: a number of partitions is asked for, which isn't coalesced
-    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(_read(f"{folder}/bundles"), READ)
+    return bundles.repartitionByRange(max(1, bundles.count()), "bundle").mapInArrow(_read(f"{folder}/bundles"), READ)
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
