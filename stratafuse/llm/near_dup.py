@@ -7,9 +7,9 @@ Bands of the signature are bucket keys. Within a bucket candidate edges form a s
 around the most central member, never all pairs. Texts of buckets that still span
 several components after that are bucketed anew, by the rarest shingles of their sets
 (two sets above the threshold must share one of those: the prefix filter), which frees
-texts that differ from all others by too many shingles of their own. Buckets that are
-open and large even then, as of texts put together from shared passages, are split
-by finer bands: long ones over many more bins, in which only near copies meet. Buckets
+texts that differ from all others by too many shingles of their own. Where even that leaves
+very many pairs for each text, as of texts put together from shared passages, open buckets
+are split by finer bands: long ones over many more bins, in which few but near copies meet. Buckets
 go on in rounds of stars until no untested pair of different components is left; a hub
 has been compared with everyone and leaves its bucket, so the loop ends. Every
 candidate is confirmed on the full shingle sets.
@@ -49,8 +49,8 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 #: Finer bands: bins, bands, and the chance to miss a pair at the threshold that sets their length.
 FINE_BINS, FINE_BANDS, FINE_MISS = 4096, 512, 1e-7
-#: Members above which an open bucket is split by finer bands, and rounds after which an open bucket is an error.
-LARGE, ROUNDS = 256, 64
+#: Pairs for each text of a round above which open buckets are split by finer bands, and rounds after which one is an error.
+DENSE, ROUNDS = 16, 64
 
 
 def _probes() -> np.ndarray:
@@ -197,17 +197,11 @@ def _rare_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, perc
     return _open(C.saved(spark, keys, root, "rare-all"))
 
 
-def _split_large(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str) -> DataFrame:
-    """members, with finer buckets in place of those of more than LARGE."""
-    large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LARGE).select("key")
-    large = C.saved(spark, large, root, "large")
-    if large.isEmpty():
-        return members
-    texts = members.join(large, "key", "left_semi").select(*_OF_TEXT).distinct()
+def _fine_buckets(spark: SparkSession, sets: DataFrame, members: DataFrame, percent: int, root: str) -> DataFrame:
+    """The members of open buckets, bucketed by finer bands instead."""
     rows = fine_rows(percent)
-    keys = sets.join(texts, "id").mapInArrow(_keyed(lambda u: fine_keys(u, rows)), KEYED).select(*_OF_TEXT, F.explode("keys").alias("key")).withColumn("pos", F.lit(0))
-    fine = _open(C.saved(spark, keys, root, "fine-all"))
-    return members.join(large, "key", "left_anti").unionByName(fine.select(members.columns))
+    keys = sets.join(members.select(*_OF_TEXT).distinct(), "id").mapInArrow(_keyed(lambda u: fine_keys(u, rows)), KEYED).select(*_OF_TEXT, F.explode("keys").alias("key")).withColumn("pos", F.lit(0))
+    return _open(C.saved(spark, keys, root, "fine-all")).select(members.columns)
 
 
 def _confirm(percent: int):
@@ -233,6 +227,17 @@ def _moved(df: DataFrame, moves: DataFrame | None) -> DataFrame:
     return df.join(moves.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
 
 
+def _stars(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the most central members of each bucket, pairs of them with the other members that are in another
+    component and not too different in size)."""
+    first = Window.partitionBy("key").orderBy(F.desc("central"), "id")
+    top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs)
+    top = top.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
+    # what follows their first shared shingle in both sets must hold all that they have to share
+    fits = (F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent) & (F.col("comp") != F.col("hub_comp"))
+    return top, members.join(top, "key").where(fits)
+
+
 PAIRS = "a struct<node:long,hi:long,lo:long>, b struct<node:long,hi:long,lo:long>, linked boolean"
 
 
@@ -272,7 +277,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     sets = C.saved(spark, sets.join(in_bucket, ["node", "hi", "lo"], "left_semi").dropDuplicates(["node", "hi", "lo"]).select(F.struct("node", "hi", "lo").alias("id"), "members"), root, "sets", shingles * 8)
 
     links, moves, tested = None, [], None
-    hubs = 1
+    hubs, dense = 1, False
     for i in range(ROUNDS):
         if i:
             members = _moved(members, moves[-1])
@@ -281,23 +286,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             break
         if i == 1:
             members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare")
-            hubs = 8
-        elif i == 2:
-            members = C.saved(spark, _split_large(spark, sets, members, percent, root), root, "split")
-            hubs = 8
-        first = Window.partitionBy("key").orderBy(F.desc("central"), "id")
-        top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
-        # what follows their first shared shingle in both sets must hold all that they have to share
-        fits = (F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent) & (F.col("comp") != F.col("hub_comp"))
+            hubs = 16
+        elif i == 2 and dense:
+            members = C.saved(spark, _fine_buckets(spark, sets, members, percent, root), root, "fine")
+        top, met = _stars(members, hubs, percent)
         swap = F.col("hub") < F.col("id")
         ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("hub", "id", "a"), ("id", "hub", "b"), ("hub_comp", "comp", "ca"), ("comp", "hub_comp", "cb"))]
-        star = members.join(top, "key").where(fits).select(*ends).distinct()
+        star = met.select(*ends).distinct()
         if tested is not None:
             star = star.join(tested, ["a", "b"], "left_anti")
         star = C.saved(spark, star, root, f"star-{i}")
         pairs = star.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
         found = pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS).where("linked").select("a", "b")
         n_star = star.count()
+        dense = n_star > DENSE * members.select("id").distinct().count()
         found = C.saved(spark, found, root, f"found-{i}", n_star * (48 + 16 * shingles / max(1, n_rows)))  # what it reads, not what it writes
         tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
         links = found if links is None else links.union(found)
@@ -305,7 +307,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         joined = found.join(star, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         moves.append(C.components(spark, joined, root, f"comps-{i}", n_star))
         members = members.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs *= 8
+        hubs *= 4 if dense else 16
     else:
         raise RuntimeError(f"near_duplicates: buckets are open after {ROUNDS} rounds")
 
