@@ -62,12 +62,25 @@ class Kind:
     ddl: str
     check: Callable[[str], Column]
     shape: tuple[int, int] | None = None
+    read: Callable[[Column], Column] | None = None
+    write: Callable[[Column], Column] | None = None
 
 
 def _choice(*allowed: str) -> Kind:
     return Kind("string", lambda c: K.choice(c, allowed))
 
 
+def _labels(pairs: Column) -> Column:
+    """[label, confidence] pairs as structs; a pair of another length is null."""
+    return F.transform(pairs, lambda p: F.when(F.size(p) == 2, F.struct(F.get(p, F.lit(0)).alias("label"), F.get(p, F.lit(1)).try_cast("double").alias("confidence"))))
+
+
+def _pairs(labels: Column) -> Column:
+    text = lambda x: F.to_json(F.array(x["label"]))
+    one = lambda x: F.concat(F.substring(text(x), F.lit(1), F.length(text(x)) - 1), F.lit(", "), x["confidence"].cast("string"), F.lit("]"))
+    return F.parse_json(F.concat(F.lit("["), F.array_join(F.transform(labels, one), ", "), F.lit("]")))
+
+
 KINDS: dict[str, Kind] = {
     "id": Kind("long", K.non_negative_int),
     "count": Kind("long", K.positive_int),
@@ -96,7 +109,7 @@ KINDS: dict[str, Kind] = {
     "tracking": _choice(*K.TRACKING_STATES),
     "scale": _choice(*K.SCALE_SOURCES),
     "availability": _choice(*AVAILABILITY),
-    "labels": Kind("array<struct<label:string,confidence:double>>", lambda c: F.forall(c, lambda x: (F.length(x["label"]) > 0) & K.finite(x["confidence"]) & x["confidence"].between(0, 1))),
+    "labels": Kind("array<array<string>>", lambda c: F.forall(c, lambda x: (F.length(x["label"]) > 0) & K.finite(x["confidence"]) & x["confidence"].between(0, 1)), read=_labels, write=_pairs),
     "sources": Kind("array<long>", lambda c: F.size(F.array_except(F.array_distinct(c), F.array(*[F.lit(x).cast("long") for x in K.SURFACE_SOURCES]))) == 0),
     "integers": Kind("array<long>", texts),
     "colors": Kind("array<array<long>>", lambda c: F.forall(c, lambda x: x.between(0, 255)), (0, 0)),
@@ -145,7 +158,7 @@ def decode(df: DataFrame, text: str, record: Record, *keep: str) -> DataFrame:
         if record.optional(n):
             raw = F.get_json_object("_text", f"$.{n}")
             unread.append(F.when(F.col(f"_r.{n}").isNull() & raw.isNotNull() & (raw != "null"), F.lit(n)))
-        cols.append(c.alias(n))
+        cols.append((kind.read(c) if kind.read else c).alias(n))
     none = F.array().cast("array<string>")
     pack = lambda xs: F.array_compact(F.array(*xs)) if xs else none
     return df.select(*keep, *cols, F.array_except(F.array(*map(F.lit, names)), F.col("_keys")).alias("missing"), pack(ragged).alias("ragged"), pack(unread).alias("unread"))
@@ -164,7 +177,9 @@ def encode(record: Record, without: Column | None = None) -> Column:
     cols = []
     for n in sorted(record.fields):
         kind, c = record.kind(n), F.col(n)
-        if kind.shape:
+        if kind.write:
+            c = kind.write(c)
+        elif kind.shape:
             # colours have three or four values a vertex
             w = F.lit(kind.shape[1]) if kind.shape[1] else F.greatest(F.expr(f"size({n}) div greatest(size(vertices_m) div 3, 1)"), F.lit(1))
             rows = F.transform(F.sequence(F.lit(0), F.greatest((F.size(n) / w).cast("int"), F.lit(1)) - 1), _row_of(n, w))

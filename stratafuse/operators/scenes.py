@@ -91,7 +91,7 @@ def observations_from_pixels(frames: DataFrame, pixels: DataFrame) -> DataFrame:
     (frame_id, v, u, depth_m, depth_sigma_m, confidence): one groupBy on the frame."""
     rows = pixels.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("v", "u", "depth_m", "depth_sigma_m", "confidence"))).alias("_px"))
     images = rows.select("frame_id", *[F.col(f"_px.{c}").alias(n) for c, n in (("depth_m", "depth"), ("depth_sigma_m", "sigma"), ("confidence", "confidence"))])
-    return frames.join(images, "frame_id")
+    return frames.drop("depth", "sigma", "confidence").join(images, "frame_id")  # a pose's confidence is not a pixel's
 
 
 def intrinsics(frames: DataFrame, scene: Scene = ROOM) -> tuple[Column, ...]:
@@ -121,6 +121,47 @@ def world_points(pixels: DataFrame, scene: Scene = ROOM) -> DataFrame:
     return pixels.withColumns({n: a + G.float32(F.col(o)) for n, a, o in zip("xyz", p, ("ox", "oy", "oz"), strict=True)})
 
 
+def with_cameras(frames: DataFrame, scene: Scene = ROOM) -> DataFrame:
+    """Frames (frame_id, timestamp_ns, ox, oy, oz) with all fields of their camera and of the pose of a camera that isn't turned."""
+    center = F.array(*[G.float32(F.col(c)) for c in ("ox", "oy", "oz")])
+    pose = G.make_transform([F.lit(float(i % 4 == 0)) for i in range(9)], tuple(center[i] for i in range(3)))
+    square = lambda n, x: F.array(*[F.lit(x if i % (n + 1) == 0 else 0.0) for i in range(n * n)])
+    own = {
+        "T_world_camera": pose, "q_world_camera_xyzw": F.array(*[F.lit(float(i == 3)) for i in range(4)]), "camera_center_world_m": center, "covariance_6x6": square(6, 1e-6), "confidence": F.lit(1.0), "tracking_state": F.lit("OK"), "scale_source": F.lit("known_anchor"), "diagnostics": F.lit('{"synthetic":true}'),
+        "width": F.lit(scene.width).cast("long"), "height": F.lit(scene.height).cast("long"), "K": F.array(*[F.lit(float(x)) for x in (scene.fx, 0, scene.cx, 0, scene.fy, scene.cy, 0, 0, 1)]), "distortion_model": F.lit("none"), "distortion_params": F.lit(None).cast("array<double>"),
+        "rolling_shutter_row_time_s": F.lit(None).cast("double"), "camera_confidence": F.lit(1.0), "source": F.lit("synthetic_fixture"),
+    }
+    return frames.withColumns({k: v for k, v in own.items() if k not in frames.columns})
+
+
+def box_object(frames: DataFrame, scene: Scene = ROOM, object_id: int = 1, label: str = "synthetic_cube", chunk_id: str = "cube_room_ground_truth") -> DataFrame:
+    """The object record of the scene's box, seen from the first to the last frame."""
+    low, high = scene.box
+    numbers = lambda xs: F.array(*[G.float32(F.lit(float(x))) for x in xs])
+    center = [(a + b) * 0.5 for a, b in zip(low, high, strict=True)]
+    pose = [float(i % 5 == 0) for i in range(16)]
+    pose[3], pose[7], pose[11] = center
+    seen = frames.agg(F.min("frame_id").alias("first_seen_frame_id"), F.max("frame_id").alias("last_seen_frame_id"))
+    return seen.select(
+        F.lit(object_id).cast("long").alias("object_id"), F.array(F.struct(F.lit(label).alias("label"), F.lit(1.0).alias("confidence"))).alias("label_candidates"), numbers(pose).alias("T_world_object"), numbers(center).alias("oriented_bbox_center_m"),
+        numbers([float(i % 4 == 0) for i in range(9)]).alias("oriented_bbox_axes"), numbers([b - a for a, b in zip(low, high, strict=True)]).alias("oriented_bbox_extents_m"), F.array(F.lit(chunk_id)).alias("mesh_chunk_ids"), F.lit(False).alias("is_dynamic"),
+        *[F.lit(x).alias(n) for n, x in (("observed_coverage_ratio", 1.0), ("confidence", 1.0), ("uncertainty_m", 0.0))], "first_seen_frame_id", "last_seen_frame_id", F.to_json(F.struct(F.array(*map(F.lit, low)).alias("bounds_min_m"), F.array(*map(F.lit, high)).alias("bounds_max_m"), F.lit("OBSERVED_SURFACE").alias("surface_source"))).alias("metadata"),
+    )
+
+
+def mesh_chunk(vertices: DataFrame, faces: DataFrame, frames: DataFrame, chunk_id: str = "cube_room_ground_truth", version: int = 1, voxel: float = 0.05) -> DataFrame:
+    """One mesh record of a small mesh: vertices and faces in order, each face with its object and as observed."""
+    v = vertices.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vertex_id", "x", "y", "z"))), lambda r: F.array(*[G.float32(r[c]) for c in "xyz"]))).alias("vertices_m"))
+    f = faces.agg(F.array_sort(F.collect_list(F.struct("face_id", "a", "b", "c", "object_id"))).alias("f"))
+    ids = frames.agg(F.array_sort(F.collect_list("frame_id")).alias("source_frame_ids"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return v.crossJoin(f).crossJoin(ids).select(
+        F.lit(chunk_id).alias("chunk_id"), F.lit(version).cast("long").alias("version"), F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)]).alias("T_world_chunk"), "vertices_m", F.flatten(F.transform("f", lambda r: F.array(r["a"], r["b"], r["c"]))).cast("array<long>").alias("faces"),
+        none("array<double>").alias("normals"), none("array<long>").alias("colors"), none("array<double>").alias("uvs"), F.col("f.object_id").cast("array<long>").alias("object_id_per_face"), F.transform("f", lambda r: F.lit(0).cast("long")).alias("surface_source_per_face"),
+        F.lit(voxel).alias("voxel_size_m"), F.lit(0.0).alias("mean_uncertainty_m"), F.lit(0.0).alias("p95_uncertainty_m"), "source_frame_ids", F.lit("known_anchor").alias("scale_source"), F.array(F.lit("synthetic_ground_truth")).alias("flags"),
+    )
+
+
 def box_mesh(low: tuple[float, ...], high: tuple[float, ...]) -> tuple[list[tuple[float, ...]], list[tuple[int, int, int]]]:
     """8 corners (x fastest) and 12 triangles of a box."""
     corners = [(x, y, z) for z in (low[2], high[2]) for y in (low[1], high[1]) for x in (low[0], high[0])]

@@ -8,21 +8,28 @@ from __future__ import annotations
 
 import json
 from dataclasses import replace
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafuse.operators import checks as K
 from stratafuse.operators import fusion as U
+from stratafuse.operators import records as R
 from stratafuse.operators import scenes as S
 from stratafuse.operators import summaries as M
 from stratafuse.operators import windows as W
+from stratafuse.sources import folders
 
 VERSION = 1
 SUMMARIES = ("depth_m", "depth_sigma_m", "confidence")
 MAX_SAMPLES = 2048
 #: What the metadata of a cache must say to prove that it is of the fixed room.
-FIXTURE = {"adapter": "fixture_cube_room", "fixture": True, "fixture_session_type": "synthetic_cube_room", "coordinate_frame": "synthetic_world"}
+FIXTURE = {"adapter": "fixture-cube-room", "fixture": True, "fixture_session_type": "synthetic_cube_room", "coordinate_frame": "synthetic_world"}
+
+
+#: What the metadata of a written session says besides its counts.
+SESSION_NOTES = {"unit_scale": "meters", "camera_metadata_source": "synthetic_fixture", "voxel_size_m": 0.05, "accuracy_report_path": None, "warnings": ["Synthetic analytic ground truth only; no neural model or capture was run."]}
 
 
 class ArtifactError(ValueError):
@@ -45,6 +52,12 @@ def read_record(spark: SparkSession, path: str, kind: str | None = None) -> dict
     return record
 
 
+def has_record(spark: SparkSession, path: str) -> bool:
+    """Whether a record was written there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -53,30 +66,41 @@ def _load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_session(spark: SparkSession, folder: str, frames: DataFrame | None = None, scene: S.Scene = S.ROOM) -> None:
-    """frames, depth (partitioned by frame), mesh_vertices, mesh_faces, objects and metadata."""
-    frames = S.fixed_frames(spark) if frames is None else frames
-    frames = frames.withColumn("K", F.array(*[F.lit(float(x)) for x in (scene.fx, 0, scene.cx, 0, scene.fy, scene.cy, 0, 0, 1)]))
+    """frames (camera and pose of each), depth (partitioned by frame), mesh_chunks, mesh_vertices, mesh_faces, objects and metadata."""
+    frames = S.with_cameras(S.fixed_frames(spark) if frames is None else frames, scene)
     frames.write.mode("overwrite").parquet(f"{folder}/frames")
-    S.render_pixels(_load(spark, f"{folder}/frames"), scene).select("frame_id", "v", "u", "depth_m", "depth_sigma_m", "confidence", "object_mask", "object_id").write.mode("overwrite").partitionBy("frame_id").parquet(f"{folder}/depth")
+    frames = _load(spark, f"{folder}/frames")
+    S.render_pixels(frames.select("frame_id", "ox", "oy", "oz"), scene).select("frame_id", "v", "u", "depth_m", "depth_sigma_m", "confidence", "object_mask", "object_id").write.mode("overwrite").partitionBy("frame_id").parquet(f"{folder}/depth")
     vertices, faces = S.scene_mesh(spark, scene)
     vertices.write.mode("overwrite").parquet(f"{folder}/mesh_vertices")
     faces.write.mode("overwrite").parquet(f"{folder}/mesh_faces")
-    low, high = scene.box
-    box = [(1, [(a + b) / 2 for a, b in zip(low, high, strict=True)], [b - a for a, b in zip(low, high, strict=True)], 1.0)]
-    seen = frames.agg(F.min("frame_id").alias("first_seen_frame_id"), F.max("frame_id").alias("last_seen_frame_id"))
-    spark.createDataFrame(box, "object_id long, center array<double>, extents array<double>, confidence double").crossJoin(seen).write.mode("overwrite").parquet(f"{folder}/objects")
-    write_record(spark, f"{folder}/metadata", {"format_name": "session", "format_version": VERSION, "n_frames": frames.count(), "n_objects": 1, "n_vertices": vertices.count(), "n_faces": faces.count(), "width": scene.width, "height": scene.height, "scale_source": "known_anchor", "session_type": FIXTURE["fixture_session_type"] if scene == S.ROOM else "synthetic_scene", "coordinate_frame": FIXTURE["coordinate_frame"]})
+    S.mesh_chunk(vertices, faces, frames).write.mode("overwrite").parquet(f"{folder}/mesh_chunks")
+    S.box_object(frames, scene).write.mode("overwrite").parquet(f"{folder}/objects")
+    counts = {"n_frames": frames.count(), "n_objects": 1, "n_chunks": 1, "n_vertices": vertices.count(), "n_faces": faces.count()}
+    write_record(spark, f"{folder}/metadata", SESSION_NOTES | counts | {"format_name": "session", "format_version": VERSION, "width": scene.width, "height": scene.height, "scale_source": "known_anchor", "session_type": FIXTURE["fixture_session_type"] if scene == S.ROOM else "synthetic_scene", "coordinate_frame": FIXTURE["coordinate_frame"]})
 
 
 def load_session(spark: SparkSession, folder: str) -> dict:
-    """Tables of a session by name, with metadata; counts must equal those of the metadata."""
-    out: dict = {"metadata": read_record(spark, f"{folder}/metadata", "session")}
-    for name in ("frames", "depth", "mesh_vertices", "mesh_faces", "objects"):
-        out[name] = _load(spark, f"{folder}/{name}")
-    for name, field in (("frames", "n_frames"), ("objects", "n_objects"), ("mesh_vertices", "n_vertices"), ("mesh_faces", "n_faces")):
-        if out[name].count() != out["metadata"][field]:
+    """Tables of a session by name, with metadata; counts must equal those of the metadata. A folder in
+    the exchange layout (:mod:`stratafuse.sources.folders`) is read as one."""
+    if folders.is_exchange(folder):
+        out = folders.read_session(spark, folder)
+    else:
+        out = {"metadata": read_record(spark, f"{folder}/metadata", "session")}
+        for name in ("frames", "depth", "mesh_chunks", "mesh_vertices", "mesh_faces", "objects"):
+            out[name] = _load(spark, f"{folder}/{name}")
+    return check_session(out, folder)
+
+
+def check_session(out: dict, folder: str) -> dict:
+    """A session's counts, the frames of its depth and the vertices of its faces; ArtifactError or the session."""
+    for name, field in (("frames", "n_frames"), ("objects", "n_objects"), ("mesh_chunks", "n_chunks"), ("mesh_vertices", "n_vertices"), ("mesh_faces", "n_faces")):
+        if field in out["metadata"] and out[name].count() != out["metadata"][field]:
             raise ArtifactError(f"{folder}: {name} has not {out['metadata'][field]} rows")
-    if not K.missing_keys(out["frames"], out["depth"], "frame_id").isEmpty() or not K.missing_keys(out["depth"], out["frames"], "frame_id").isEmpty():
+    if out["frames"].isEmpty():
+        raise ArtifactError(f"{folder}: has no frame")
+    a, b = (out[n].select("frame_id").distinct().withColumn(n, F.lit(True)) for n in ("frames", "depth"))
+    if not a.join(b, "frame_id", "full").where("frames is null or depth is null").isEmpty():
         raise ArtifactError(f"{folder}: depth and frames have different frame_ids")
     if not K.face_violations(out["mesh_faces"], out["mesh_vertices"]).isEmpty():
         raise ArtifactError(f"{folder}: a face names no vertex")
@@ -85,27 +109,44 @@ def load_session(spark: SparkSession, folder: str) -> dict:
 
 # ---------------------------------------------------------------- adapters and prediction caches
 
-#: (name, availability): the fixture adapter runs; the others only describe models.
-ADAPTERS = (("fixture_cube_room", "available"), ("vggt", "stub-only"), ("depth_pro", "stub-only"))
+# Adapters by name, with their display names, the modules that they need (None: runs as it is) and what they predict.
+ADAPTERS = {
+    "fixture-cube-room": ("Synthetic Cube-Room Fixture Teacher", None, ("predicts_camera", "predicts_pose", "predicts_depth", "predicts_normals", "predicts_points", "predicts_objects", "supports_batch")),
+    "vggt": ("VGGT", ("vggt",), ("predicts_camera", "predicts_pose", "predicts_depth", "predicts_points", "predicts_dense_matches", "supports_batch")),
+    "depth-pro": ("Depth Pro", ("depth_pro",), ("predicts_camera", "predicts_depth", "supports_batch")),
+}
+
+
+def adapter_record(name: str) -> dict:
+    """The status of an adapter: one that needs modules is unavailable without them, and a stub with them."""
+    if name not in ADAPTERS:
+        raise KeyError(f"name: {name} is not one of {', '.join(ADAPTERS)}")
+    display, modules, can = ADAPTERS[name]
+    lacking = [m for m in modules or () if find_spec(m) is None]
+    state, reason = ("available", "Fixture adapter only; not a model.") if modules is None else ("unavailable", f"missing optional dependency: {', '.join(lacking)}") if lacking else ("stub-only", "dependency found; inference is not implemented")
+    return {"name": name, "display_name": display, "availability": state, "capabilities": {c: c in can for c in R.CAPABILITIES} | {"notes": []}, "install_hint": None if modules is None else f"Install {display} beside this package; models are not part of it.", "reason": reason}
 
 
 def list_adapters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ADAPTERS), "name string, availability string")
+    return spark.createDataFrame([(n, adapter_record(n)["availability"]) for n in ADAPTERS], "name string, availability string")
 
 
 def adapter_status(name: str) -> str:
-    known = dict(ADAPTERS)
-    if name not in known:
-        raise KeyError(f"name: {name} is not one of {', '.join(known)}")
-    return known[name]
+    return adapter_record(name)["availability"]
 
 
 def run_adapter(spark: SparkSession, name: str, session: str, cache: str, store_arrays: bool = True, score=None) -> None:
     """Predictions of an adapter for a session, as a cache. ``score`` (an iterator of pandas frames to
     the same, with the pixel columns) stands in for a model; the fixture adapter passes depth through."""
-    if adapter_status(name) != "available" and score is None:
-        raise NotImplementedError(f"name: {name} has no runnable model here")
+    status = adapter_record(name)
     s = load_session(spark, session)
+    if status["availability"] != "available" and score is None:
+        raise NotImplementedError(f"name: {name} is {status['availability']}: {status['reason']}")
+    if score is None and s["metadata"].get("session_type") != FIXTURE["fixture_session_type"]:
+        raise ArtifactError(f"{session}: {name} needs a session of type {FIXTURE['fixture_session_type']}")
+    odd = s["depth"].where("object_mask <> (object_id > 0)")
+    if score is None and not odd.isEmpty():
+        raise ArtifactError(f"{session}: object_mask and object_id disagree")
     px = s["depth"].select("frame_id", "v", "u", "depth_m", "depth_sigma_m", "confidence", "object_id")
     if score is not None:
         px = px.mapInPandas(score, px.schema)
@@ -137,17 +178,24 @@ def write_cache(spark: SparkSession, frames: DataFrame, pixels: DataFrame, folde
 
 
 def load_cache(spark: SparkSession, folder: str) -> dict:
-    """Tables of a cache; summaries, frames and payloads must agree, and recomputed means must be close."""
+    """Tables of a cache; summaries, frames and payloads must agree, and recomputed means must be close.
+    A folder in the exchange layout is read as one."""
+    if folders.is_exchange(folder):
+        return _check_cache(folders.read_cache(spark, folder), folder)
     meta = read_record(spark, f"{folder}/metadata", "prediction_cache")
     out: dict = {"metadata": meta, "frames": _load(spark, f"{folder}/frames"), "frame_summaries": _load(spark, f"{folder}/frame_summaries")}
-    ids = out["frames"].select("frame_id")
+    if meta["arrays_stored"]:
+        out["arrays"] = _load(spark, f"{folder}/arrays")
+    return _check_cache(out, folder)
+
+
+def _check_cache(out: dict, folder: str) -> dict:
+    meta, ids = out["metadata"], out["frames"].select("frame_id")
     if ids.count() != meta["n_frames"] or not K.duplicates(ids, "frame_id").isEmpty():
         raise ArtifactError(f"{folder}: frame_ids are not {meta['n_frames']} distinct ones")
-    tables = {"frame_summaries": out["frame_summaries"]}
-    if meta["arrays_stored"]:
-        tables["arrays"] = out["arrays"] = _load(spark, f"{folder}/arrays")
-    for name, t in tables.items():
-        if not K.missing_keys(ids, t, "frame_id").isEmpty() or not K.missing_keys(t, ids, "frame_id").isEmpty():
+    for name in ("frame_summaries", *(["arrays"] if meta["arrays_stored"] else [])):
+        a, b = (t.select("frame_id").distinct().withColumn(n, F.lit(True)) for n, t in (("frames", ids), ("other", out[name])))
+        if not a.join(b, "frame_id", "full").where("frames is null or other is null").isEmpty():
             raise ArtifactError(f"{folder}: {name} and frames have different frame_ids")
     if meta["arrays_stored"]:
         both = frame_summaries(out["arrays"]).alias("a").join(out["frame_summaries"].alias("b"), "frame_id")
@@ -161,7 +209,13 @@ def load_cache(spark: SparkSession, folder: str) -> dict:
 
 
 def frame_payload(spark: SparkSession, folder: str, frame_id: int) -> DataFrame:
-    """Pixels of one frame: a partition-pruned scan."""
+    """Pixels of one frame: a partition-pruned scan, or one file of an exchange folder."""
+    if folders.is_exchange(folder):
+        c = folders.read_cache(spark, folder)
+        one = c["summaries"].where(F.col("frame_id") == frame_id)
+        if one.isEmpty() or not c["metadata"]["arrays_stored"]:
+            raise ArtifactError(f"{folder}: has no frame_id {frame_id}, or stores no arrays")
+        return folders.read_payloads(spark, folder, one)
     out = _load(spark, f"{folder}/arrays").where(F.col("frame_id") == frame_id)
     if out.isEmpty():
         raise ArtifactError(f"{folder}: has no frame_id {frame_id}")
@@ -193,7 +247,7 @@ def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | No
         raise ArtifactError(f"{folder}: the surface is empty")
     seen = volume.where("weight > 0").count()
     voxels = grid.shape[0] * grid.shape[1] * grid.shape[2]
-    meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(seen, 1), "voxel_size_m": grid.voxel, "grid_min_corner_m": list(grid.low), "grid_max_corner_m": list(grid.high), "flags": list(K.TRUTH_FLAGS)}
+    meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(voxels, 1), "voxel_size_m": grid.voxel, "grid_min_corner_m": list(grid.low), "grid_max_corner_m": list(grid.high), "truncation_m": grid.truncation, "scale_sources": c["metadata"]["scale_sources"], "source_cache": cache, "adapter": c["metadata"].get("adapter"), "flags": list(K.TRUTH_FLAGS)}
     for name in ("confidence", "uncertainty_m"):
         meta[name] = M.large_summary(surface, name).first().asDict()
     write_record(spark, f"{folder}/metadata", meta)
@@ -222,7 +276,7 @@ def _camera(c: dict, path: str) -> S.Scene:
 
 def _observed_grid(c: dict, camera: S.Scene, path: str) -> U.Grid:
     size = U.Grid()
-    points = S.observed_points(c["arrays"].join(F.broadcast(c["frames"]), "frame_id"), camera)
+    points = S.observed_points(c["arrays"].join(F.broadcast(c["frames"].select("frame_id", *[x for x in ("ox", "oy", "oz", "K", "T_world_camera") if x in c["frames"].columns])), "frame_id"), camera)
     b = U.observation_bounds(points, size.voxel, size.truncation).first()
     if b["min_x"] is None:
         raise ArtifactError(f"{path}: has no point of positive depth and confidence to derive a grid from")
@@ -257,37 +311,100 @@ def _close(a: float, b: float, path: str, field: str) -> None:
         raise ArtifactError(f"{path}: {field} is {a}, recomputed {b}")
 
 
-def inspect_output(spark: SparkSession, folder: str, mesh: bool = False, world_map: bool = False) -> dict:
-    """Report of a fusion output; metadata must equal what the tables give."""
+MODES = ("surface", "mesh", "world-map", "complete")
+
+
+def inspect_output(spark: SparkSession, folder: str, mesh: bool = False, world_map: bool = False, mode: str | None = None) -> dict:
+    """Report of a fusion output; metadata must equal what the tables give, sidecars what they come from.
+
+    mode says which sidecars must be there (surface: none; mesh; world-map and complete: both); those that
+    are there are checked in any case. The output must state that it is observed, not completed, of low
+    fidelity and no accuracy report."""
+    mode = mode or ("world-map" if world_map else "mesh" if mesh else "surface")
+    if mode not in MODES:
+        raise ArtifactError(f"mode: {mode} is not one of {', '.join(MODES)}")
     meta, surface = read_record(spark, f"{folder}/metadata", "fusion_output"), _load(spark, f"{folder}/surface")
-    if surface.count() != meta["n_surface"]:
+    n = surface.count()
+    if n != meta["n_surface"]:
         raise ArtifactError(f"{folder}: the surface has not {meta['n_surface']} samples")
-    for name in ("confidence", "uncertainty_m"):
-        again = M.large_summary(surface, name).first().asDict()
+    again = {name: M.large_summary(surface, name).first().asDict() for name in ("confidence", "uncertainty_m")}
+    for name, stats in again.items():
         for k in ("mean", "p95"):
-            _close(meta[name][k], again[k], folder, f"{name}.{k}")
-    report = {"surface": meta, "metrics": read_record(spark, f"{folder}/metrics")}
-    if mesh or world_map:
-        side = read_record(spark, f"{folder}/mesh/metadata", "mesh_sidecar")
-        _require_flags(side["flags"], f"{folder}/mesh")
-        _close(side["voxel_size_m"], meta["voxel_size_m"], f"{folder}/mesh", "voxel_size_m")
-        if _load(spark, f"{folder}/mesh/vertices").count() != 3 * side["n_samples"] or side["n_surface"] != meta["n_surface"]:
-            raise ArtifactError(f"{folder}/mesh: counts differ from the surface")
-        _close(side["confidence"]["mean"], M.large_summary(_load(spark, f"{folder}/mesh/samples"), "confidence").first()["mean"], f"{folder}/mesh", "confidence.mean")
-        report["mesh"] = side
-    if world_map:
-        world = read_record(spark, f"{folder}/world_map", "world_map")
-        if world["objects"] or world["keyframes"] or world["mesh_chunks"] != {report["mesh"]["chunk_id"]: report["mesh"]}:
-            raise ArtifactError(f"{folder}/world_map: differs from its mesh")
-        report["world_map"] = world
-    flags = set(meta["flags"])
-    report["truth_boundary"] = {"observed_only": "observed_surface_samples" in flags, "not_completed": "not_completed_surface" in flags or "completed_surface" not in flags, "not_accuracy_report": "not_accuracy_report" in flags, "low_fidelity": "low_fidelity_reference_only" in flags}
+            _close(meta[name][k], stats[k], folder, f"{name}.{k}")
+    bounds = surface.agg(*[f(c).alias(f"{p}_{c}") for c in "xyz" for f, p in ((F.min, "min"), (F.max, "max"))]).first().asDict()
+    metrics = read_record(spark, f"{folder}/metrics") if has_record(spark, f"{folder}/metrics") else {}
+    if metrics.get("accuracy_report"):
+        raise ArtifactError(f"{folder}/metrics: must not be an accuracy report")
+    report = {"inspect_mode": mode, "surface": meta | {"bounds_min_m": [bounds[f"min_{c}"] for c in "xyz"], "bounds_max_m": [bounds[f"max_{c}"] for c in "xyz"], "confidence_summary": again["confidence"], "uncertainty_summary_m": again["uncertainty_m"]}, "metrics": metrics, "mesh": None, "world_map": None}
+    for name, path, needed in (("mesh", "mesh/metadata", mode != "surface"), ("world_map", "world_map", mode in ("world-map", "complete"))):
+        if has_record(spark, f"{folder}/{path}"):
+            report[name] = _inspect_mesh(spark, folder, meta, surface) if name == "mesh" else _inspect_world_map(spark, folder, report["mesh"])
+        elif needed:
+            raise ArtifactError(f"{folder}/{path}: is missing, which mode {mode} needs")
+    flags = list(dict.fromkeys([*meta["flags"], *(report["mesh"] or {}).get("flags", []), *(report["world_map"] or {}).get("flags", [])]))
+    report["truth_boundary"] = truth_boundary(flags, metrics)
+    lacking = [k for k, ok in report["truth_boundary"].items() if not ok]
+    if lacking:
+        raise ArtifactError(f"{folder}/metadata: does not state {', '.join(lacking)}")
+    report["cross_checks"] = {"artifacts_checked": ["metadata", "surface", *[k for k in ("mesh", "world_map") if report[k]]], "flags": flags, "passed": True}
     return report
 
 
+def truth_boundary(flags: list[str], metrics: dict) -> dict:
+    """What an output's flags and metrics say of it."""
+    return {
+        "low_fidelity_reference_only": any("reference_only" in f for f in flags), "observed_only": bool({"observed_surface_samples", "observed_surface_points"} & set(flags)),
+        "not_completed": "not_completed_surface" in flags or "completed_surface" not in flags, "not_accuracy_report": "not_accuracy_report" in flags or not metrics.get("accuracy_report"),
+    }
+
+
+def _inspect_mesh(spark: SparkSession, folder: str, meta: dict, surface: DataFrame) -> dict:
+    side = read_record(spark, f"{folder}/mesh/metadata", "mesh_sidecar")
+    _require_flags(side["flags"], f"{folder}/mesh")
+    _close(side["voxel_size_m"], meta["voxel_size_m"], f"{folder}/mesh", "voxel_size_m")
+    for k in ("mean", "p95"):
+        _close(side[f"{k}_uncertainty_m"], meta["uncertainty_m"][k], f"{folder}/mesh", f"{k}_uncertainty_m")
+    samples = _load(spark, f"{folder}/mesh/samples")
+    n = meta["n_surface"]
+    if side["n_surface"] != n or side["n_frames"] != meta["n_frames"] or side["n_samples"] != min(n, MAX_SAMPLES) or samples.count() != side["n_samples"] or _load(spark, f"{folder}/mesh/vertices").count() != 3 * side["n_samples"]:
+        raise ArtifactError(f"{folder}/mesh: counts differ from the surface")
+    # the samples are those of the surface: the same voxels, and the same summary
+    if not samples.join(surface.select("ix", "iy", "iz", F.col("confidence").alias("own")), ["ix", "iy", "iz"], "left").where(~M.is_close(F.col("confidence"), F.coalesce("own", F.lit(-1.0)))).isEmpty():
+        raise ArtifactError(f"{folder}/mesh: samples differ from the surface")
+    found = M.large_summary(samples, "confidence").first().asDict()
+    for k in ("mean", "p50", "p95", "max"):
+        _close(side["confidence"][k], found[k], f"{folder}/mesh", f"confidence.{k}")
+    return side
+
+
+def _inspect_world_map(spark: SparkSession, folder: str, mesh: dict | None) -> dict:
+    path = f"{folder}/world_map"
+    world = read_record(spark, path, "world_map")
+    _require_flags(world["flags"], path)
+    if world["objects"] or world["keyframes"]:
+        raise ArtifactError(f"{path}: must have neither objects nor keyframes")
+    if any(k != c.get("chunk_id") for k, c in world["mesh_chunks"].items()) or (mesh and world["mesh_chunks"] != {mesh["chunk_id"]: mesh}):
+        raise ArtifactError(f"{path}: differs from its mesh")
+    for c in world["mesh_chunks"].values():
+        _require_flags(c["flags"], path)
+        _close(world["global_confidence"], c["confidence"]["mean"], path, "global_confidence")
+    if not 0 <= world["global_confidence"] <= 1:
+        raise ArtifactError(f"{path}: global_confidence is no share")
+    return world
+
+
+def world_map_report(spark: SparkSession, folder: str) -> dict:
+    """What a world map holds, checked on its own."""
+    world = _inspect_world_map(spark, folder, None)
+    chunks = world["mesh_chunks"]
+    return {"map_id": world["map_id"], "mesh_chunk_ids": sorted(chunks), "object_count": len(world["objects"]), "keyframe_count": len(world["keyframes"]), "global_confidence": world["global_confidence"], "flags": world["flags"], "accuracy_report": False, **{k: next(iter(chunks.values()), {}).get(k) for k in ("voxel_size_m", "n_frames", "mean_uncertainty_m", "p95_uncertainty_m")}}
+
+
 def inspect_cache(spark: SparkSession, folder: str) -> dict:
+    """Report of a cache that passes its checks: header, and confidence and uncertainty of each frame."""
     c = load_cache(spark, folder)
-    return {"metadata": c["metadata"], "depth_m": M.numeric_summary(c["frame_summaries"].select(F.col("depth_m.mean").alias("m")), "m").first().asDict()}
+    each = {n: [{"frame_id": r["frame_id"], "summary": r["s"].asDict()} for r in c["frame_summaries"].select("frame_id", F.col(n).alias("s")).orderBy("frame_id").collect()] for n in ("confidence", "depth_sigma_m")}  # a summary a frame
+    return {"metadata": {k: v for k, v in c["metadata"].items() if k != "exchange"}, "accuracy_report": False, "frame_ids": [r["frame_id"] for r in each["confidence"]], "confidence_summaries": each["confidence"], "uncertainty_summaries": each["depth_sigma_m"], "depth_m": M.numeric_summary(c["frame_summaries"].select(F.col("depth_m.mean").alias("m")), "m").first().asDict()}
 
 
 # ---------------------------------------------------------------- runs
@@ -296,7 +413,7 @@ def inspect_cache(spark: SparkSession, folder: str) -> dict:
 def run_fixture(spark: SparkSession, folder: str, bound: int = 3) -> dict:
     """Session, cache and fusion of the fixed scene with an event log and a summary."""
     write_session(spark, f"{folder}/session")
-    run_adapter(spark, "fixture_cube_room", f"{folder}/session", f"{folder}/cache")
+    run_adapter(spark, "fixture-cube-room", f"{folder}/session", f"{folder}/cache")
     replay_cache(spark, f"{folder}/cache", f"{folder}/fusion", mesh=True, world_map=True)
     frames = _load(spark, f"{folder}/session/frames")
     layout = W.expected_layout(frames).withColumns({"run": F.lit(0), "frames_in_memory": F.when(F.col("frame_id").isNull(), 0).otherwise(1)})

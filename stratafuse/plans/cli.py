@@ -58,7 +58,7 @@ def _run(spark, a):
             return A.write_session(spark, a.output)
         case "smoke", "tsdf-cube-room":
             A.write_session(spark, f"{a.output}/session")
-            A.run_adapter(spark, "fixture_cube_room", f"{a.output}/session", f"{a.output}/cache")
+            A.run_adapter(spark, "fixture-cube-room", f"{a.output}/session", f"{a.output}/cache")
             return A.replay_cache(spark, f"{a.output}/cache", a.output, mesh=a.mesh, world_map=a.world_map)
         case "smoke", "teacher-cache-tsdf":
             return A.replay_cache(spark, a.cache, a.output, mesh=a.mesh, world_map=a.world_map)
@@ -75,7 +75,7 @@ def _run(spark, a):
         case "inspect", "runtime-fixture":
             return A.inspect_run(spark, a.input)
         case "adapters", "list":
-            return "\n".join("\t".join(r) for r in A.ADAPTERS)
+            return "\n".join(f"{n}\t{A.adapter_status(n)}" for n in A.ADAPTERS)
         case _:
             return A.run_adapter(spark, a.name, a.session, a.cache, not a.summaries_only)
 

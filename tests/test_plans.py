@@ -33,7 +33,7 @@ def test_mutations_are_rejected(spark, run, tmp_path):
     with pytest.raises(A.ArtifactError):
         A.inspect_output(spark, f"{folder}/fusion")
     A.write_record(spark, f"{folder}/fusion/metadata", meta)
-    A.run_adapter(spark, "fixture_cube_room", f"{folder}/session", str(tmp_path / "c"), store_arrays=False)
+    A.run_adapter(spark, "fixture-cube-room", f"{folder}/session", str(tmp_path / "c"), store_arrays=False)
     with pytest.raises(A.ArtifactError, match="no arrays"):
         A.replay_cache(spark, str(tmp_path / "c"), str(tmp_path / "o"))
     A.write_record(spark, str(tmp_path / "c/metadata"), A.read_record(spark, str(tmp_path / "c/metadata")) | {"n_frames": 4})
@@ -46,7 +46,7 @@ def test_mutations_are_rejected(spark, run, tmp_path):
 
 
 def test_command_line(spark, run, capsys):
-    assert cli.main([]) == 0 and cli.main(["adapters", "list"]) == 0 and "fixture_cube_room\tavailable" in capsys.readouterr().out
+    assert cli.main([]) == 0 and cli.main(["adapters", "list"]) == 0 and "fixture-cube-room\tavailable" in capsys.readouterr().out
     assert cli.main(["inspect", "session", f"{run[0]}/session"]) == 0
     assert cli.main(["adapters", "run", "nobody", "x", "y"]) == 2
 
@@ -108,3 +108,92 @@ def test_replay_of_a_cache_outside_the_room(spark, tmp_path, turned):
     assert A.read_record(spark, str(tmp_path / "o/metrics"))["metric_family"] == "not_evaluated"
     report = A.inspect_output(spark, str(tmp_path / "o"))
     assert report["surface"]["n_surface"] == sum(abs(np.float32(t)) <= 1 / 3 for t, _ in want.values())
+
+
+def test_modes_and_sidecars(spark, run, tmp_path):
+    folder = f"{run[0]}/fusion"
+    report = A.inspect_output(spark, folder, mode="complete")
+    assert report["cross_checks"]["artifacts_checked"] == ["metadata", "surface", "mesh", "world_map"] and report["surface"]["bounds_max_m"][2] < 4.1
+    assert A.world_map_report(spark, folder)["mesh_chunk_ids"] == ["surface_samples"]
+    with pytest.raises(A.ArtifactError, match="mode"):
+        A.inspect_output(spark, folder, mode="all")
+    A.replay_cache(spark, f"{run[0]}/cache", str(tmp_path / "bare"))
+    assert A.inspect_output(spark, str(tmp_path / "bare"))["mesh"] is None
+    with pytest.raises(A.ArtifactError, match="missing"):
+        A.inspect_output(spark, str(tmp_path / "bare"), mode="mesh")
+    world = A.read_record(spark, f"{folder}/world_map")
+    for change, message in (({"global_confidence": 0.1}, "global_confidence"), ({"objects": {"1": {}}}, "neither"), ({"flags": []}, "flags"), ({"mesh_chunks": {"x": {}}}, "differs")):
+        A.write_record(spark, f"{folder}/world_map", world | change)
+        with pytest.raises(A.ArtifactError, match=message):
+            A.inspect_output(spark, folder, mode="complete")
+    A.write_record(spark, f"{folder}/world_map", world)
+    metrics = A.read_record(spark, f"{folder}/metrics")
+    A.write_record(spark, f"{folder}/metrics", metrics | {"accuracy_report": True})
+    with pytest.raises(A.ArtifactError, match="accuracy report"):
+        A.inspect_output(spark, folder)
+    A.write_record(spark, f"{folder}/metrics", metrics)
+
+
+def test_exchange_layouts(spark, run, tmp_path):
+    import json
+    from pathlib import Path
+
+    from stratafuse.plans import previews
+    from stratafuse.sources import folders
+
+    session = A.load_session(spark, f"{run[0]}/session")
+    out = tmp_path / "session"
+    folders.write_session(spark, session, str(out))
+    assert sorted(p.name for p in out.rglob("*")) == sorted(["metadata.json", "poses.jsonl", "cameras.jsonl", "objects.jsonl", "mesh_chunks", "index.json", "chunk_cube_room_ground_truth_v1.json", "depth", *[f"frame_{i:06d}.npz" for i in range(3)], "logs", "runtime_profile.json"])
+    first = json.loads((out / "objects.jsonl").read_text().splitlines()[0])
+    assert first["label_candidates"] == [["synthetic_cube", 1.0]] and first["oriented_bbox_extents_m"] == pytest.approx([0.7, 0.7, 0.7])
+    pose = json.loads((out / "poses.jsonl").read_text().splitlines()[1])
+    assert pose["T_world_camera"][0] == pytest.approx([1, 0, 0, 0.25]) and pose["diagnostics"] == {"synthetic": True}
+    again = A.load_session(spark, str(out))
+    for name in ("depth", "mesh_vertices", "mesh_faces"):
+        kinds = [F.round(F.col(c).cast("double"), 6).alias(c) for c in again[name].columns]  # the exchange has single precision
+        assert again[name].select(*kinds).exceptAll(session[name].select(*kinds)).isEmpty() and again[name].count() == session[name].count()
+    A.run_adapter(spark, "fixture-cube-room", str(out), str(tmp_path / "cache"))
+    plain = A.replay_cache(spark, str(tmp_path / "cache"), str(tmp_path / "fused"), mesh=True, world_map=True)
+    assert plain["n_surface"] == 944
+
+    pixels = session["depth"].select("frame_id", "v", "u", "depth_m", "depth_sigma_m", "confidence", "object_id")
+    prediction = {"coordinate_frame": "synthetic_world", "fixture": True, "fixture_session_type": "synthetic_cube_room"}
+    cache = tmp_path / "exchange"
+    folders.write_cache(spark, session["frames"], pixels, str(cache), A.adapter_record("fixture-cube-room"), prediction)
+    with np.load(cache / "arrays/frame_000001.npz") as z:
+        assert z["normal_camera"].shape == (24, 32, 3) and z["static_mask"].dtype == bool and np.abs(np.linalg.norm(z["normal_camera"], axis=-1) - 1).max() < 1e-5
+        d, p = z["depth_m"], z["point_world"]
+        assert np.allclose(p[..., 2], d) is False and np.allclose(p[..., 2] - 0.4, d, atol=1e-6)
+    meta = A.replay_cache(spark, str(cache), str(tmp_path / "fused2"))
+    assert meta["n_surface"] == 944 and A.read_record(spark, str(tmp_path / "fused2/metrics"))["metric_family"] == "fixture_cube_room_reference"
+    assert A.frame_payload(spark, str(cache), 2).count() == 768 and len(A.inspect_cache(spark, str(cache))["confidence_summaries"]) == 3
+    written = folders.write_fusion(spark, str(tmp_path / "fused"), str(tmp_path / "npz"))
+    assert len(written) == 6
+    surface = folders.read_surface(spark, str(tmp_path / "npz/surface_points.npz"))
+    assert surface.count() == 944
+    with np.load(tmp_path / "npz/tsdf_grid.npz") as z:
+        assert z["tsdf"].shape == (30, 20, 40) and z["weight"].sum() == pytest.approx(5872.549, rel=1e-5)
+
+    files = previews.write_session_preview(spark, again, str(tmp_path / "preview"))
+    svg = Path(tmp_path / "preview/top_down.svg").read_text()
+    assert len(files) == 4 and svg.count("<circle") == 3 and svg.count("<line") == 9 and svg.count("<polygon") == 1 and "1 synthetic_cube" in svg
+    assert Path(tmp_path / "preview/depth_frame_000000.svg").read_text().count("<rect") == 768
+
+    def broken(change, match):
+        lines = (cache / "frame_summaries.jsonl").read_text()
+        (cache / "frame_summaries.jsonl").write_text(change(lines))
+        with pytest.raises(Exception, match=match):
+            A.load_cache(spark, str(cache))["arrays"].count()
+        (cache / "frame_summaries.jsonl").write_text(lines)
+
+    broken(lambda s: s.replace('"dtype":"bool"', '"dtype":"float32"', 1), "static_mask")
+    broken(lambda s: s.replace('"tracking_state":"OK"', '"tracking_state":""', 1), "pose")
+    broken(lambda s: "\n".join(s.splitlines()[1:]) + "\n", "frame_ids")
+    broken(lambda s: s.replace("arrays/frame_000000", "../frame_000000"), "arrays_below")
+    (cache / "arrays/frame_000000.npz").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="not a readable NPZ"):
+        A.load_cache(spark, str(cache))
+    (out / "depth/frame_x.npz").write_bytes(b"")
+    with pytest.raises(Exception, match="frame_<id>"):
+        A.load_session(spark, str(out))
