@@ -225,6 +225,24 @@ def frame_payload(spark: SparkSession, folder: str, frame_id: int) -> DataFrame:
 # ---------------------------------------------------------------- fusion outputs
 
 
+def write_fused(spark: SparkSession, samples: DataFrame, folder: str, grid: U.Grid, n_frames: int, more: dict) -> dict:
+    """Voxels, surface and metadata of fused samples; ``more`` holds flags and provenance. An empty surface is an error."""
+    U.integrate(samples).write.mode("overwrite").parquet(f"{folder}/voxels")
+    volume = _load(spark, f"{folder}/voxels")
+    W.global_rank(U.extract_surface(volume, n_frames, grid), "ix", "iy", "iz").withColumnRenamed("rank", "sample_id").write.mode("overwrite").parquet(f"{folder}/surface")
+    surface = _load(spark, f"{folder}/surface")
+    total = surface.count()
+    if not total:
+        raise ArtifactError(f"{folder}: the surface is empty")
+    seen = volume.where("weight > 0").count()
+    voxels = grid.shape[0] * grid.shape[1] * grid.shape[2]
+    meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n_frames, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(voxels, 1), "voxel_size_m": grid.voxel, "grid_min_corner_m": list(grid.low), "grid_max_corner_m": list(grid.high), "truncation_m": grid.truncation, **more}
+    for name in ("confidence", "uncertainty_m"):
+        meta[name] = M.large_summary(surface, name).first().asDict()
+    write_record(spark, f"{folder}/metadata", meta)
+    return meta
+
+
 def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | None = None, mesh: bool = False, world_map: bool = False) -> dict:
     """Fuse a cache's frames and write voxels, surface, metadata, metrics and, if wanted, sidecars.
 
@@ -238,19 +256,9 @@ def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | No
     fixture = all(c["metadata"].get(k) == v for k, v in FIXTURE.items())
     grid = grid or (U.GRID if fixture else _observed_grid(c, camera, cache))
     images = S.observations_from_pixels(c["frames"], c["arrays"])
-    U.integrate(U.voxel_samples(images, grid, camera)).write.mode("overwrite").parquet(f"{folder}/voxels")
-    volume, n = _load(spark, f"{folder}/voxels"), c["metadata"]["n_frames"]
-    W.global_rank(U.extract_surface(volume, n, grid), "ix", "iy", "iz").withColumnRenamed("rank", "sample_id").write.mode("overwrite").parquet(f"{folder}/surface")
+    more = {"scale_sources": c["metadata"]["scale_sources"], "source_cache": cache, "adapter": c["metadata"].get("adapter"), "flags": list(K.TRUTH_FLAGS)}
+    meta = write_fused(spark, U.voxel_samples(images, grid, camera), folder, grid, c["metadata"]["n_frames"], more)
     surface = _load(spark, f"{folder}/surface")
-    total = surface.count()
-    if not total:
-        raise ArtifactError(f"{folder}: the surface is empty")
-    seen = volume.where("weight > 0").count()
-    voxels = grid.shape[0] * grid.shape[1] * grid.shape[2]
-    meta = {"format_name": "fusion_output", "format_version": VERSION, "n_frames": n, "n_surface": total, "n_observed": seen, "n_voxels": voxels, "observed_ratio": seen / max(voxels, 1), "surface_ratio": total / max(voxels, 1), "voxel_size_m": grid.voxel, "grid_min_corner_m": list(grid.low), "grid_max_corner_m": list(grid.high), "truncation_m": grid.truncation, "scale_sources": c["metadata"]["scale_sources"], "source_cache": cache, "adapter": c["metadata"].get("adapter"), "flags": list(K.TRUTH_FLAGS)}
-    for name in ("confidence", "uncertainty_m"):
-        meta[name] = M.large_summary(surface, name).first().asDict()
-    write_record(spark, f"{folder}/metadata", meta)
     if fixture:
         metrics = U.surface_against_scene(surface, grid).first().asDict() | {"metric_family": "fixture_cube_room_reference"}
     else:

@@ -194,6 +194,6 @@ def test_exchange_layouts(spark, run, tmp_path):
     (cache / "arrays/frame_000000.npz").write_bytes(b"no archive")
     with pytest.raises(Exception, match="not a readable NPZ"):
         A.load_cache(spark, str(cache))
-    (out / "depth/frame_x.npz").write_bytes(b"")
+    (out / "depth/frame_x.npz").write_bytes(b"x")
     with pytest.raises(Exception, match="frame_<id>"):
         A.load_session(spark, str(out))
