@@ -164,10 +164,11 @@ def match_summary(matches: DataFrame, source: str, target: str, confidence: str)
     return numeric_summary(matches, confidence, [source, target]).withColumnRenamed("n", "match_count")
 
 
-def recorded_or(recorded: dict[str, float | None], computed: dict[str, float]) -> tuple[float, float]:
-    """mean and p95 as a header records them; computed ones where it lacks either."""
-    pick = recorded if all(recorded.get(k) is not None for k in ("mean", "p95")) else computed
-    return float(pick["mean"]), float(pick["p95"])
+def recorded_or(recorded: dict[str, float | None], rows: DataFrame, value: str) -> tuple[float, float]:
+    """mean and p95 as a header records them; computed from rows where it lacks either."""
+    if any(recorded.get(k) is None for k in ("mean", "p95")):
+        recorded = large_summary(rows, value).first().asDict()
+    return float(recorded["mean"]), float(recorded["p95"])
 
 
 def prediction_losses(px: DataFrame, by: list[str], centers: DataFrame | None = None, weights: tuple[float, float, float, float] = (1.0, 0.05, 0.01, 0.1)) -> DataFrame:

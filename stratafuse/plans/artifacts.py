@@ -135,8 +135,8 @@ def adapter_status(name: str) -> str:
     return adapter_record(name)["availability"]
 
 
-def run_adapter(spark: SparkSession, name: str, session: str, cache: str, store_arrays: bool = True, score=None) -> None:
-    """Predictions of an adapter for a session, as a cache. ``score`` (an iterator of pandas frames to
+def run_adapter(spark: SparkSession, name: str, session: str, cache: str, store_arrays: bool = True, score=None, wanted: list[int] | None = None) -> None:
+    """Predictions of an adapter for a session, as a cache. ``wanted``: the ids that the session's frames must have, in order. ``score`` (an iterator of pandas frames to
     the same, with the pixel columns) stands in for a model; the fixture adapter passes depth through."""
     status = adapter_record(name)
     s = load_session(spark, session)
@@ -144,6 +144,8 @@ def run_adapter(spark: SparkSession, name: str, session: str, cache: str, store_
         raise NotImplementedError(f"name: {name} is {status['availability']}: {status['reason']}")
     if score is None and s["metadata"].get("session_type") != FIXTURE["fixture_session_type"]:
         raise ArtifactError(f"{session}: {name} needs a session of type {FIXTURE['fixture_session_type']}")
+    if wanted is not None and [r[0] for r in s["frames"].select("frame_id").orderBy("frame_id").collect()] != list(wanted):  # an id a frame
+        raise ArtifactError(f"{session}: its frame_ids are not those that were asked for")
     odd = s["depth"].where("object_mask <> (object_id > 0)")
     if score is None and not odd.isEmpty():
         raise ArtifactError(f"{session}: object_mask and object_id disagree")
@@ -297,8 +299,9 @@ def write_mesh_sidecar(spark: SparkSession, folder: str, chunk_id: str = "surfac
     picked = W.stratified_sample(_load(spark, f"{folder}/surface").drop("sample_id"), most, "ix", "iy", "iz")
     picked.write.mode("overwrite").parquet(f"{folder}/mesh/samples")
     picked = _load(spark, f"{folder}/mesh/samples")
+    mean, p95 = M.recorded_or(meta.get("uncertainty_m") or {}, _load(spark, f"{folder}/surface"), "uncertainty_m")
     U.triangle_markers(picked, meta["voxel_size_m"]).write.mode("overwrite").parquet(f"{folder}/mesh/vertices")
-    write_record(spark, f"{folder}/mesh/metadata", {"format_name": "mesh_sidecar", "format_version": VERSION, "chunk_id": chunk_id, "n_samples": picked.count(), "n_surface": meta["n_surface"], "n_frames": meta["n_frames"], "voxel_size_m": meta["voxel_size_m"], "flags": meta["flags"], "confidence": M.large_summary(picked, "confidence").first().asDict(), "mean_uncertainty_m": meta["uncertainty_m"]["mean"], "p95_uncertainty_m": meta["uncertainty_m"]["p95"]})
+    write_record(spark, f"{folder}/mesh/metadata", {"format_name": "mesh_sidecar", "format_version": VERSION, "chunk_id": chunk_id, "n_samples": picked.count(), "n_surface": meta["n_surface"], "n_frames": meta["n_frames"], "voxel_size_m": meta["voxel_size_m"], "flags": meta["flags"], "confidence": M.large_summary(picked, "confidence").first().asDict(), "mean_uncertainty_m": mean, "p95_uncertainty_m": p95})
 
 
 def write_world_map(spark: SparkSession, folder: str, map_id: str = "world_map") -> None:
@@ -427,12 +430,19 @@ def run_fixture(spark: SparkSession, folder: str, bound: int = 3) -> dict:
     layout = W.expected_layout(frames).withColumns({"run": F.lit(0), "frames_in_memory": F.when(F.col("frame_id").isNull(), 0).otherwise(1)})
     log = W.record_events(layout.withColumnRenamed("event_index", "position"), "run", "position", "frames_in_memory", F.lit(False), float(bound))
     log.drop("run", "position").write.mode("overwrite").parquet(f"{folder}/events")
-    end = _load(spark, f"{folder}/events").agg(F.count("*").alias("n_events"), F.max("peak_in_memory").alias("peak"), F.max("dropped_total").alias("dropped"), F.every("within_bound").alias("bounded")).first().asDict()
-    summary = {"format_name": "run", "format_version": VERSION, "n_frames": frames.count(), "bound": bound, **end}
+    summary = {"format_name": "run", "format_version": VERSION, "n_frames": frames.count(), "bound": bound, "artifacts": sorted(RUN_ARTIFACTS), **_log_totals(_load(spark, f"{folder}/events"))}
     write_record(spark, f"{folder}/summary", summary)
     return summary
 
 
+#: What a run consists of, besides its summary.
+RUN_ARTIFACTS = ("session", "cache", "fusion", "events")
+
+
+def _log_totals(log: DataFrame) -> dict:
+    return log.agg(F.count("*").alias("n_events"), F.max("peak_in_memory").alias("peak"), F.max("dropped_total").alias("dropped"), F.every("within_bound").alias("bounded")).first().asDict()
+
+
 def inspect_run(spark: SparkSession, folder: str) -> dict:
     """The whole run: stage order, counters and summary reconciled, outputs inspected."""
     summary, log = read_record(spark, f"{folder}/summary", "run"), _load(spark, f"{folder}/events")
@@ -442,7 +452,13 @@ def inspect_run(spark: SparkSession, folder: str) -> dict:
         raise ArtifactError(f"{folder}/events: stages are not in the expected order")
     if not W.order_violations(log.withColumn("run", F.lit(0)), "run", "event_index", "event_index", "peak_in_memory").isEmpty():
         raise ArtifactError(f"{folder}/events: indices or counters are out of order")
-    if log.count() != summary["n_events"] or not summary["bounded"]:
-        raise ArtifactError(f"{folder}/summary: differs from the event log")
-    load_session(spark, f"{folder}/session")
+    off = [k for k, v in _log_totals(log).items() if summary.get(k) != v]
+    if off or not summary["bounded"]:
+        raise ArtifactError(f"{folder}/summary: {', '.join(off) or 'bounded'} differs from the event log")
+    lacking = sorted(a for a in RUN_ARTIFACTS if a not in summary["artifacts"] or not has_record(spark, f"{folder}/{a}"))
+    if lacking:
+        raise ArtifactError(f"{folder}/summary: lacks {', '.join(lacking)}")
+    session, cache = load_session(spark, f"{folder}/session"), load_cache(spark, f"{folder}/cache")
+    if session["frames"].count() != summary["n_frames"] or not K.missing_keys(session["frames"], cache["frames"], "frame_id").isEmpty() or not K.missing_keys(cache["frames"], session["frames"], "frame_id").isEmpty():
+        raise ArtifactError(f"{folder}: session, cache and summary have different frames")
     return {"summary": summary, "cache": inspect_cache(spark, f"{folder}/cache"), "fusion": inspect_output(spark, f"{folder}/fusion", True, True)}

@@ -357,3 +357,23 @@ def read_surface(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: values must be finite, confidence a share and uncertainty not negative")
     cols = {"sample_id": np.arange(n), **{c: z["voxel_indices_xyz"][:, i].astype(np.int32) for i, c in enumerate(("ix", "iy", "iz"))}, **{c: p[:, i].astype(float) for i, c in enumerate("xyz")}, "confidence": z["confidence"].astype(float), "uncertainty_m": z["uncertainty_m"].astype(float)}
     return spark.createDataFrame(pd.DataFrame(cols), "sample_id long, ix int, iy int, iz int, x double, y double, z double, confidence double, uncertainty_m double")
+
+
+# ---------------------------------------------------------------- event logs
+
+
+def write_events(log: DataFrame, path: str, bound: int, paths: dict[str, str] | None = None) -> None:
+    """An event log (as :func:`stratafuse.operators.windows.record_events` makes it, with stage and frame_id) as JSON lines in order."""
+    counters = F.struct(F.lit(bound).cast("long").alias("configured_frame_array_bound"), F.col("frames_in_memory").cast("long").alias("frame_arrays_in_memory"), F.col("peak_in_memory").cast("long").alias("peak_frame_arrays_in_memory"), (F.col("event_index") + 1).alias("processed_frame_count"), F.col("dropped_total").alias("dropped_frame_count"), F.lit(0).cast("long").alias("queued_frame_count"))
+    named = F.create_map(*[F.lit(x) for kv in (paths or {}).items() for x in kv]) if paths else F.lit(None).cast("map<string,string>")
+    rows = log.select("event_index", F.col("stage").alias("stage_name"), "frame_id", "timestamp_ns", F.lit(0).cast("long").alias("latency_ns"), F.lit(False).alias("dropped_frame"), counters.alias("memory_counters"), F.coalesce(named, F.create_map().cast("map<string,string>")).alias("paths"), F.lit("{}").alias("metadata"), F.lit("runtime_event").alias("format_name"), F.lit(1).cast("long").alias("format_version"))
+    _write_lines(rows, R.EVENT, "event_index", path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events of a log in JSON lines, checked; indices must be dense from 0."""
+    out = _lines(spark, path, R.EVENT, "event_index")
+    n, low, high, kinds = out.agg(F.count("*"), F.min("event_index"), F.max("event_index"), F.countDistinct("event_index")).first()
+    if n and (low, high, kinds) != (0, n - 1, n):
+        raise ValueError(f"{path}: event_index is not dense from 0")
+    return out

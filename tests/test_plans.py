@@ -110,6 +110,30 @@ def test_replay_of_a_cache_outside_the_room(spark, tmp_path, turned):
     assert report["surface"]["n_surface"] == sum(abs(np.float32(t)) <= 1 / 3 for t, _ in want.values())
 
 
+def test_runs_are_reconciled(spark, run, tmp_path):
+    from stratafuse.sources import folders
+
+    folder, summary = run
+    assert summary["artifacts"] == ["cache", "events", "fusion", "session"]
+    for change, message in (({"peak": 9.0}, "peak"), ({"artifacts": ["cache"]}, "lacks"), ({"n_frames": 4}, "different frames")):
+        A.write_record(spark, f"{folder}/summary", summary | change)
+        with pytest.raises(A.ArtifactError, match=message):
+            A.inspect_run(spark, folder)
+    A.write_record(spark, f"{folder}/summary", summary)
+    folders.write_events(spark.read.parquet(f"{folder}/events"), str(tmp_path / "events.jsonl"), 3, {"session": "session"})
+    events = folders.read_events(spark, str(tmp_path / "events.jsonl"))
+    assert events.count() == 15 and events.where("stage_name = 'tsdf_replay_frame'").count() == 3
+    lines = (tmp_path / "events.jsonl").read_text().splitlines()
+    (tmp_path / "events.jsonl").write_text("\n".join(lines[1:]))
+    with pytest.raises(ValueError, match="dense"):
+        folders.read_events(spark, str(tmp_path / "events.jsonl"))
+    (tmp_path / "events.jsonl").write_text(lines[0].replace('"configured_frame_array_bound":3', '"configured_frame_array_bound":0'))
+    with pytest.raises(ValueError, match="memory_counters"):
+        folders.read_events(spark, str(tmp_path / "events.jsonl"))
+    with pytest.raises(A.ArtifactError, match="asked for"):
+        A.run_adapter(spark, "fixture-cube-room", f"{folder}/session", str(tmp_path / "x"), wanted=[0, 2, 1])
+
+
 def test_modes_and_sidecars(spark, run, tmp_path):
     folder = f"{run[0]}/fusion"
     report = A.inspect_output(spark, folder, mode="complete")
