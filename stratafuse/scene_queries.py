@@ -122,6 +122,22 @@ def posed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "tsdf", "weight", digits=4)
 
 
+_POINTS = _POSED.partition("b AS (SELECT")[0] + f"""e AS (SELECT r.*, range % 32 AS pu, range // 32 AS pv, {_f32(f"{_d(1.2)} + {_d(0.01)} * ((range + k) % 97)")} AS d, {_f32(f"{_d(0.25)} * ((range + k * 2) % 5)")} AS c FROM r, range(768)),
+l AS (SELECT *, (pu * f - 15.5::DOUBLE * f) / (f * f) * d AS x, (pv * f - 11.5::DOUBLE * f) / (f * f) * d AS y FROM e WHERE c > 0),
+w AS (SELECT {_f32("r0 * x + r2 * d + tx")} AS x, {_f32("y + ty")} AS y, {_f32("r6 * x + r8 * d + tz")} AS z FROM l)"""
+
+
+@query(f"WITH {_POINTS} SELECT count(*) AS n, {', '.join(f'round(floor((min({c}) - (0.3::DOUBLE + 0.1::DOUBLE)) / 0.1::DOUBLE) * 0.1::DOUBLE, 6) AS min_{c}, round(ceil((max({c}) + (0.3::DOUBLE + 0.1::DOUBLE)) / 0.1::DOUBLE) * 0.1::DOUBLE, 6) AS max_{c}, round(avg({c}), 5) AS mean_{c}' for c in 'xyz')} FROM w")
+def posed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-03, GEO-20, AGG-05, AGG-06, SET-01: points of turned cameras with their own K, and the grid around them."""
+    f = posed_frames(spark, sf_dir)
+    px = f.select("K", "T_world_camera", F.posexplode(F.arrays_zip("depth", "confidence")).alias("_p", "x")).select("K", "T_world_camera", F.expr("_p div 32").alias("v"), (F.col("_p") % 32).alias("u"), F.col("x.depth").alias("depth_m"), F.col("x.confidence").alias("confidence"))
+    points = S.observed_points(px)
+    means = points.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(f"mean_{c}") for c in "xyz"])
+    bounds = U.observation_bounds(points, 0.1, 0.3)
+    return rounded(means.crossJoin(bounds), *bounds.columns)  # one row each
+
+
 @query("SELECT c_custkey, (floor(c_custkey * 0.5) % 2 * 0)::BIGINT + c.corner AS corner, round(c_acctbal / 1000 + (1 + c_custkey % 5)::DOUBLE / 2 * c.a, 6) AS x, round((c_custkey % 9) + (2 + c_custkey % 3)::DOUBLE / 2 * c.b, 6) AS z FROM customer, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) c(corner, a, b)")
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEO-29, SRT-04: corners of objects' boxes from above."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafuse.operators.windows import global_rank
+
 PIXELS = "path string, frame int, v int, u int, r short, g short, b short"
 
 
@@ -49,9 +50,8 @@ def read_ppm_folder(spark: SparkSession, folder: str) -> DataFrame:
                 yield _long(p, 0, parse_ppm(bytes(c)))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ppm").load(folder)
-    names = sorted(r[0] for r in files.select("path").collect())  # names only: one a frame
-    ranks = spark.createDataFrame([(p, i) for i, p in enumerate(names)], "path string, _rank int")
-    return files.select("path", "content").mapInPandas(run, PIXELS).join(F.broadcast(ranks), "path").withColumn("frame", F.col("_rank")).drop("_rank")
+    ranks = global_rank(files.select("path"), "path")  # a name a frame
+    return files.select("path", "content").mapInPandas(run, PIXELS).join(ranks, "path").withColumn("frame", F.col("rank").cast("int")).drop("rank")
 
 
 def read_npz_clip(spark: SparkSession, path: str, frame_id_start: int = 0) -> DataFrame:
@@ -113,12 +113,6 @@ def safe_payload_path(root: str, relative: str, below: str = "arrays") -> str:
     return f"{root.rstrip('/')}/{relative}"
 
 
-def write_json(path: str, record: dict) -> None:
-    """One deterministic JSON object (sorted keys, a newline at the end)."""
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(json.dumps(record, indent=2, sort_keys=True) + "\n")
-
-
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Parquet, by default the storage of every table; partitioned for lookups of one frame."""
     w = df.write.mode("overwrite")

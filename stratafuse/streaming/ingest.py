@@ -14,10 +14,12 @@ from stratafuse.operators import scenes as S
 
 
 def fuse_stream(spark: SparkSession, frames: DataFrame, folder: str, checkpoint: str):
-    """Start a query that fuses a streaming frames table (frame_id, timestamp_ns, ox, oy, oz) into ``folder``."""
+    """Start a query that fuses a streaming frames table into ``folder``: rows with images (depth, and as they are known
+    sigma, confidence, K, T_world_camera), or camera centres (ox, oy, oz) whose view of the fixed room is rendered."""
 
     def batch(df: DataFrame, number: int) -> None:
-        part = U.voxel_samples(S.render_frames(df)).groupBy("ix", "iy", "iz").agg(F.sum(F.round(F.col("s") * F.col("w") * 1e9).cast("long")).alias("sw"), F.sum(F.round(F.col("w") * 1e9).cast("long")).alias("w"))
+        rows = df if "depth" in df.columns else S.render_frames(df)
+        part = U.voxel_samples(rows).groupBy("ix", "iy", "iz").agg(F.sum(F.round(F.col("s") * F.col("w") * 1e9).cast("long")).alias("sw"), F.sum(F.round(F.col("w") * 1e9).cast("long")).alias("w"))
         part.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from stratafuse.functions import geometry as G
 from stratafuse.operators import checks as K
 from stratafuse.operators import fusion as U
 from stratafuse.operators import scenes as S
+from stratafuse.operators import summaries as M
 from stratafuse.operators import windows as W
 from stratafuse.sources import arrays as A
 
@@ -119,3 +120,42 @@ def test_sources(spark, tmp_path):
             A.safe_payload_path("r", path)
     with pytest.raises(ValueError):
         A.clip_intrinsics(np.zeros((3, 3)), 2)
+
+
+def test_large_summary_against_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=5000), "b": np.repeat([1.0, 2.0, 7.5], 400), "c": np.array([3.25]), "d": np.concatenate([np.zeros(900), rng.exponential(1e9, 99)]), None: rng.integers(0, 50, 700).astype(float)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    monkeypatch.setattr(M, "SORTED", 3)  # intervals are split more than once
+    monkeypatch.setattr(M, "BINS", 8)
+    got = {r["g"]: r for r in M.large_summary(df, "x", "g", (0.01, 0.5, 0.95, 1.0)).collect()}
+    for g, xs in groups.items():
+        r = got[g]
+        assert (r["n"], r["min"], r["max"]) == (len(xs), xs.min(), xs.max()) and r["mean"] == pytest.approx(xs.mean())
+        assert [r["p1"], r["p50"], r["p95"], r["p100"]] == pytest.approx(np.percentile(xs, [1, 50, 95, 100]).tolist())
+    assert got["e"]["n"] == 0 and got["e"]["p50"] is None
+    whole = M.large_summary(df, "x").first()
+    assert whole["p95"] == pytest.approx(np.percentile(np.concatenate(list(groups.values())), 95))
+    monkeypatch.setattr(M, "FEW_GROUPS", 2)
+    plain = {r["g"]: r["p50"] for r in M.large_summary(df, "x", "g").collect()}
+    assert plain["b"] == np.percentile(groups["b"], 50)
+    assert M.large_summary(df.limit(0), "x").first()["n"] == 0
+
+
+def test_frame_normals_equal_the_stencil(spark):
+    frames = S.fixed_frames(spark)
+    px = S.render_pixels(frames)
+    d = F.col("depth_m").cast("double")
+    px = px.select("frame_id", "v", "u", ((F.col("u") - 15.5) * d / 30.0).alias("x"), ((F.col("v") - 11.5) * d / 30.0).alias("y"), d.alias("z"))
+    a = W.estimate_normals(px).select("frame_id", "v", "u", *[F.round(f"n{c}", 9).alias(c) for c in "xyz"])
+    b = W.frame_normals(S.render_frames(frames), 32, 24, 30.0, 30.0, 15.5, 11.5).select("frame_id", "v", "u", *[F.round(f"n{c}", 9).alias(c) for c in "xyz"])
+    both = a.join(b.withColumnsRenamed({c: f"o{c}" for c in "xyz"}), ["frame_id", "v", "u"])
+    assert both.count() == 3 * 768 and both.where(" or ".join(f"abs({c} - o{c}) > 1e-8" for c in "xyz")).isEmpty()
+
+
+def test_halves_equal_two_volumes(spark):
+    samples = U.voxel_samples(S.render_frames(S.fixed_frames(spark)))
+    one = U.compare_halves(samples, F.col("frame_id") == 1).first()
+    two = U.compare_volumes(U.integrate(samples.where("frame_id <> 1")), U.integrate(samples.where("frame_id = 1"))).first()
+    assert one["n_common"] == two["n_common"] > 0 and one["mean_abs_delta"] == pytest.approx(two["mean_abs_delta"])
