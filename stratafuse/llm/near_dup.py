@@ -214,8 +214,8 @@ def _confirm(percent: int):
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int(np.count_nonzero(v[at] == u))
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            t = b.select(["a", "b"])
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            ends = ["a", "b", "ca", "cb"]
+            yield pa.RecordBatch.from_arrays([*b.select(ends).columns, pa.array(keep, pa.bool_())], [*ends, "linked"])
 
     return run
 
@@ -238,7 +238,7 @@ def _stars(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, Data
     return top, members.join(top, "key").where(fits)
 
 
-PAIRS = "a struct<node:long,hi:long,lo:long>, b struct<node:long,hi:long,lo:long>, linked boolean"
+PAIRS = ", ".join(f"{c} struct<node:long,hi:long,lo:long>" for c in ("a", "b", "ca", "cb")) + ", linked boolean"
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -286,7 +286,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             break
         if i == 1:
             members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare")
-            hubs = 16
+            hubs = 32
         elif i == 2 and dense:
             members = C.saved(spark, _fine_buckets(spark, sets, members, percent, root), root, "fine")
         top, met = _stars(members, hubs, percent)
@@ -297,17 +297,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
             star = star.join(tested, ["a", "b"], "left_anti")
         star = C.saved(spark, star, root, f"star-{i}")
         pairs = star.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        found = pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS).where("linked").select("a", "b")
+        found = pairs.select("a", "b", "ca", "cb", "x", "y").mapInArrow(_confirm(percent), PAIRS).where("linked").drop("linked")
         n_star = star.count()
-        dense = n_star > DENSE * members.select("id").distinct().count()
-        found = C.saved(spark, found, root, f"found-{i}", n_star * (48 + 16 * shingles / max(1, n_rows)))  # what it reads, not what it writes
+        dense = i == 1 and n_star > DENSE * members.select("id").distinct().count()
+        found = C.saved(spark, found, root, f"found-{i}", n_star * (96 + 16 * shingles / max(1, n_rows)))  # what it reads, not what it writes
         tested = star.select("a", "b") if tested is None else tested.union(star.select("a", "b"))
         links = found if links is None else links.union(found)
         # components of components: only what is new is connected
-        joined = found.join(star, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        moves.append(C.components(spark, joined, root, f"comps-{i}", n_star))
+        moves.append(C.components(spark, found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), root, f"comps-{i}", n_star))
         members = members.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs *= 4 if dense else 16
+        hubs *= 32
     else:
         raise RuntimeError(f"near_duplicates: buckets are open after {ROUNDS} rounds")
 
