@@ -258,7 +258,8 @@ def replay_cache(spark: SparkSession, cache: str, folder: str, grid: U.Grid | No
     fixture = all(c["metadata"].get(k) == v for k, v in FIXTURE.items())
     grid = grid or (U.GRID if fixture else _observed_grid(c, camera, cache))
     images = S.observations_from_pixels(c["frames"], c["arrays"])
-    more = {"scale_sources": c["metadata"]["scale_sources"], "source_cache": cache, "adapter": c["metadata"].get("adapter"), "flags": list(K.TRUTH_FLAGS)}
+    ids = [r[0] for r in c["frames"].select("frame_id").orderBy("frame_id").collect()]  # an id a frame
+    more = {"frame_ids": ids, "coordinate_frame": c["metadata"].get("coordinate_frame"), "scale_sources": c["metadata"]["scale_sources"], "source_cache": cache, "adapter": c["metadata"].get("adapter"), "flags": list(K.TRUTH_FLAGS)}
     meta = write_fused(spark, U.voxel_samples(images, grid, camera), folder, grid, c["metadata"]["n_frames"], more)
     surface = _load(spark, f"{folder}/surface")
     if fixture:
@@ -304,6 +305,35 @@ def write_mesh_sidecar(spark: SparkSession, folder: str, chunk_id: str = "surfac
     write_record(spark, f"{folder}/mesh/metadata", {"format_name": "mesh_sidecar", "format_version": VERSION, "chunk_id": chunk_id, "n_samples": picked.count(), "n_surface": meta["n_surface"], "n_frames": meta["n_frames"], "voxel_size_m": meta["voxel_size_m"], "flags": meta["flags"], "confidence": M.large_summary(picked, "confidence").first().asDict(), "mean_uncertainty_m": mean, "p95_uncertainty_m": p95})
 
 
+def _scale_source(meta: dict, path: str) -> str:
+    if len(meta["scale_sources"]) != 1:
+        raise ArtifactError(f"{path}: scale_sources are mixed")
+    return meta["scale_sources"][0]
+
+
+def mesh_chunk(spark: SparkSession, folder: str) -> DataFrame:
+    """The mesh record (:data:`stratafuse.operators.records.MESH`) of a fusion output's marker triangles, which are at most a few thousand."""
+    side, meta = read_record(spark, f"{folder}/mesh/metadata", "mesh_sidecar"), read_record(spark, f"{folder}/metadata", "fusion_output")
+    n = side["n_samples"]
+    corners = F.array_sort(F.collect_list(F.struct("vertex_id", "x", "y", "z")))
+    rows = _load(spark, f"{folder}/mesh/vertices").agg(F.flatten(F.transform(corners, lambda r: F.array(*[r[c].cast("float").cast("double") for c in "xyz"]))).alias("vertices_m"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        F.lit(side["chunk_id"]).alias("chunk_id"), F.lit(1).cast("long").alias("version"), F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)]).alias("T_world_chunk"), "vertices_m", F.sequence(F.lit(0).cast("long"), F.lit(3 * n - 1).cast("long")).alias("faces"),
+        none("array<double>").alias("normals"), none("array<long>").alias("colors"), none("array<double>").alias("uvs"), F.array_repeat(F.lit(-1).cast("long"), n).alias("object_id_per_face"), F.array_repeat(F.lit(0).cast("long"), n).alias("surface_source_per_face"),
+        F.lit(float(side["voxel_size_m"])).alias("voxel_size_m"), F.lit(side["mean_uncertainty_m"]).alias("mean_uncertainty_m"), F.lit(side["p95_uncertainty_m"]).alias("p95_uncertainty_m"), F.array(*[F.lit(i).cast("long") for i in meta["frame_ids"]]).alias("source_frame_ids"),
+        F.lit(_scale_source(meta, folder)).alias("scale_source"), F.array(*map(F.lit, side["flags"])).alias("flags"),
+    )
+
+
+def world_map(spark: SparkSession, folder: str, created_at_ns: int = 0) -> DataFrame:
+    """The world map record (:data:`stratafuse.operators.records.WORLD_MAP`) of a fusion output: its one mesh, no objects, no keyframes."""
+    world, meta = read_record(spark, f"{folder}/world_map", "world_map"), read_record(spark, f"{folder}/metadata", "fusion_output")
+    chunk = mesh_chunk(spark, folder).select(F.concat(F.lit("{"), F.substring(F.to_json(F.array("chunk_id")), F.lit(2), F.length(F.to_json(F.array("chunk_id"))) - 2), F.lit(": "), R.encode(R.MESH), F.lit("}")).alias("mesh_chunks"))
+    notes = {"mesh_chunk_ids": sorted(world["mesh_chunks"]), "object_meshes_invented": False, "flags": world["flags"], "n_frames": meta["n_frames"], "observed_coverage_estimate": meta["observed_ratio"], "surface_coverage_estimate": meta["surface_ratio"]}
+    return chunk.select(F.lit(world["map_id"]).alias("map_id"), F.lit(meta.get("coordinate_frame") or "world").alias("world_frame_name"), F.lit(created_at_ns).cast("long").alias("created_at_ns"), "mesh_chunks", F.lit("{}").alias("objects"), F.lit("{}").alias("keyframes"), F.lit(_scale_source(meta, folder)).alias("scale_source"), F.lit(world["global_confidence"]).alias("global_confidence"), F.lit(json.dumps(notes, sort_keys=True)).alias("metadata"))
+
+
 def write_world_map(spark: SparkSession, folder: str, map_id: str = "world_map") -> None:
     """A world map of the one mesh chunk; it has no objects and no keyframes."""
     mesh = read_record(spark, f"{folder}/mesh/metadata", "mesh_sidecar")

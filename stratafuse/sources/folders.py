@@ -337,13 +337,31 @@ def write_fusion(spark: SparkSession, output: str, folder: str) -> list[str]:
     X.write_json(f"{folder}/metadata.json", meta)
     X.write_json(f"{folder}/metrics.json", A.read_record(spark, f"{output}/metrics"))
     written = ["tsdf_grid.npz", "surface_points.npz", "metadata.json", "metrics.json"]
-    for name, kind, file in (("mesh/metadata", "mesh_sidecar", "mesh_chunk_sidecar.json"), ("world_map", "world_map", "world_map_sidecar.json")):
+    for name, kind, file, key, record, rows in (("mesh/metadata", "mesh_sidecar", "mesh_chunk_sidecar.json", "mesh_chunk", R.MESH, A.mesh_chunk), ("world_map", "world_map", "world_map_sidecar.json", "world_map", R.WORLD_MAP, A.world_map)):
         if A.has_record(spark, f"{output}/{name}"):
-            X.write_json(f"{folder}/{file}", A.read_record(spark, f"{output}/{name}", kind))
+            text = rows(spark, output).select(R.encode(record).alias("text"))
+            K.require(R.decode(text, "text", record).withColumn("_key", F.lit(file)), "_key", record.checks())
+            X.write_json(f"{folder}/{file}", {"format_name": kind, "format_version": 1, key: json.loads(text.first()[0]), "metadata": A.read_record(spark, f"{output}/{name}", kind)})
             written.append(file)
     return written
 
 
+def read_sidecar(spark: SparkSession, path: str, key: str = "mesh_chunk") -> DataFrame:
+    """The checked record of a sidecar file: ``key`` is mesh_chunk or world_map."""
+    whole = X.read_json(path)
+    if not str(whole.get("format_name", "")).endswith("sidecar") and whole.get("format_name") != key or whole.get("format_version") != 1 or not isinstance(whole.get(key), dict):
+        raise ValueError(f"{path}: format_name, format_version or {key} is not that of a sidecar")
+    record = {"mesh_chunk": R.MESH, "world_map": R.WORLD_MAP}[key]
+    found = R.decode(spark.createDataFrame([(json.dumps(whole[key]),)], "text string"), "text", record)
+    try:
+        K.require(found.withColumn("_key", F.lit(path)), "_key", record.checks())
+        if key == "mesh_chunk":
+            K.require(found.withColumn("_key", F.lit(path)), "_key", {"flags": K.mesh_truth_flags("flags")})
+    except K.ConstraintError as e:
+        raise ValueError(f"{path}: {e}") from e
+    return found.drop("missing", "ragged", "unread")
+
+
 def read_surface(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, ix, iy, iz, x, y, z, confidence, uncertainty_m of a surface_points.npz."""
     z = X.read_npz(X.read_bytes(path), path)

@@ -196,6 +196,16 @@ def test_exchange_layouts(spark, run, tmp_path):
     assert len(written) == 6
     surface = folders.read_surface(spark, str(tmp_path / "npz/surface_points.npz"))
     assert surface.count() == 944
+    side = tmp_path / "npz/mesh_chunk_sidecar.json"
+    chunk = folders.read_sidecar(spark, str(side)).first()
+    assert len(chunk["vertices_m"]) == 9 * 944 and chunk["faces"][-1] == 3 * 944 - 1 and chunk["source_frame_ids"] == [0, 1, 2] and chunk["scale_source"] == "known_anchor"
+    world = folders.read_sidecar(spark, str(tmp_path / "npz/world_map_sidecar.json"), "world_map").first()
+    assert list(json.loads(world["mesh_chunks"])) == ["surface_samples"] and world["world_frame_name"] == "synthetic_world"
+    text = side.read_text()
+    for change, message in ((lambda s: s.replace('"not_accuracy_report"', '"completed_surface"'), "flags"), (lambda s: s.replace('"voxel_size_m": 0.1', '"voxel_size_m": 0.0'), "voxel_size_m"), (lambda s: s.replace("mesh_sidecar", "other"), "sidecar")):
+        side.write_text(change(text))
+        with pytest.raises(ValueError, match=message):
+            folders.read_sidecar(spark, str(side))
     with np.load(tmp_path / "npz/tsdf_grid.npz") as z:
         assert z["tsdf"].shape == (30, 20, 40) and z["weight"].sum() == pytest.approx(5872.549, rel=1e-5)
 
