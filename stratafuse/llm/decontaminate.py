@@ -259,7 +259,8 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Documents without a leak of any benchmark item. Each row is judged by its own text,
-    whether its doc_id is null, repeated or neither."""
+    whether its doc_id is null, repeated or neither. Null and empty texts leak nothing and stay, as everything does
+    without items; other columns stay as they are, and an empty table gives an empty one."""
     bench = C.documents(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
     C.bounded_batches(spark)
     index = _index(spark, bench, broadcast_bytes)

@@ -338,7 +338,8 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep one row of each group (five-word shingles, similarity 0.8 or more): that of the
     smallest doc_id, null ids last, then of the smallest hash. Rows are judged by their own
     texts and named by doc_id and text, so rows of null or repeated doc_ids group like all others,
-    and of rows that agree in both one stays. Texts without words are no copies of each other: all stay."""
+    and of rows that agree in both one stays. Texts without words (null ones too) are no copies of each other: all
+    stay. Other columns stay as they are, and an empty table gives an empty one."""
     root = C.work_dir(spark)
     keyed = C.with_row_key(docs)
     judged = near_duplicates(spark, keyed.select(F.col("_row").alias("doc_id"), "text"))

@@ -288,6 +288,7 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
 
     The rebuilt documents of each file of recipes must give the manifest's count and root, so
     recipes that are lost, doubled or replaced raise ValueError before any row is returned.
+    Documents of null and repeated ids are rows like all others; an empty store gives no rows.
     """
     recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
     own = chunks.select(F.col("old_pack").alias("home"), "digest", "pack", "frame_at", "frame_size", "in_frame", "size")
@@ -325,7 +326,9 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents as token ids, written to the store and read back."""
+    """The mixed documents as token ids, written to the store and read back: a row for each row. Null and empty
+    texts are the end id alone; null doc_ids come first, repeated rows (which mixing makes) stand side by side;
+    other columns are ignored, and an empty table gives no rows."""
     folder = C.work_dir(spark) + "/store"
     write_store(spark, docs, folder, tokenizer_path())
     return read_store(spark, folder)
