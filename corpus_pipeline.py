@@ -28,6 +28,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the documents that all stages keep. Null and repeated ids, null, empty and
+    very long texts pass as each stage says; without documents there are no rows."""
     docs = C.documents(spark, sf_dir)
     root = C.work_dir(spark)
     for name, stage in STAGES:
