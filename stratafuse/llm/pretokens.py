@@ -60,6 +60,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return a, at - at[0]
 
 
+def blocks(start: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(first, after the last) of the texts that start in the same ``size`` bytes."""
+    first = np.flatnonzero(np.diff(start // size, prepend=-1))
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(start)], strict=True))
+
+
 class Classes:
     """Character classes of UTF-8 bytes; a character's later bytes have the class of its first."""
 
@@ -153,20 +159,29 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoder:
     """Texts to ids, with the ids of distinct pre-tokens kept up to ``keep`` bytes."""
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = KEEP, plain: bool = False):
+        """plain: the strings of special tokens in a text are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         config = json.loads(self.tokenizer.to_str())
         pre = config["pre_tokenizer"] or {}
-        self.split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config["normalizer"] and not config["post_processor"]
-        self.special = [x["content"].encode() for x in config["added_tokens"]]
+        self.split = self._known_form(config, pre)
+        self.special = [] if plain else [x["content"].encode() for x in config["added_tokens"]]
         self.classes, self.keep = Classes(), keep
         self.model = self.tokenizer.model
         self._forget()
 
+    def _known_form(self, config: dict, pre: dict) -> bool:
+        """Whether texts may be cut by array operations; else the tokenizer gets whole texts."""
+        return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config["normalizer"] and not config["post_processor"]
+
+    def _cut(self, a: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return cuts(a, starts, kind)
+
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes of short pre-tokens, and of each
         self.first = self.second = np.zeros(0, np.uint64)  # its bytes,
@@ -204,7 +219,7 @@ class Encoder:
         start, uncut = starts, whole
         if not whole.all():
             kind = self.classes(a)
-            start = cuts(a, starts, kind)
+            start = self._cut(a, starts, kind)
             unsure = np.flatnonzero(kind == UNSURE)
             if len(unsure) or whole.any():
                 whole = whole.copy()
@@ -270,11 +285,17 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string column, and the offsets of each text's (null: none)."""
         a, at = utf8(column)
-        n = len(at) - 1
-        whole = np.full(n, not self.split)
+        return self._encode(a, at, self._whole(a, at))
+
+    def _whole(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts that go to the tokenizer as they are."""
         data = a.tobytes() if self.special and self.split else b""
         if any(x in data for x in self.special):
-            whole = np.array([any(data.find(x, s, e) >= 0 for x in self.special) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
+            return np.array([any(data.find(x, s, e) >= 0 for x in self.special) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
+        return np.full(len(at) - 1, not self.split)
+
+    def _encode(self, a: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(at) - 1
         pieces: list[np.ndarray] = []
         counts = np.zeros(n, np.int64)
         held: list[tuple[int, int, int]] = []
@@ -293,3 +314,128 @@ class Encoder:
             held.append((i, s, e))
         flush()
         return np.concatenate(pieces) if pieces else np.zeros(0, self.kind), np.concatenate([[0], np.cumsum(counts)])
+
+
+def word_cuts(a: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where pre-tokens of lower-cased word vocabularies begin: contractions, runs of letters, single digits, runs
+    of other characters; runs of white space are cut too and have no ids."""
+    n = len(a)
+    text = np.zeros(n + 1, bool)
+    text[starts] = text[n] = True
+    cut = text.copy()
+    cut[1:n] |= (kind[1:] != kind[:-1]) | ((kind[1:] == DIGIT) & ((a[1:] & 0xC0) != 0x80))
+    quote = np.flatnonzero(cut[:n] & (a == 0x27))
+    quote = quote[quote + 1 < n]
+    quote = quote[(kind[quote + 1] == LETTER) & ~text[quote + 1]]
+    if len(quote):
+        last = np.minimum(quote + 2, n - 1)
+        one, two = a[quote + 1], a[last]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        pair = (quote + 2 < n) & ~text[last] & (((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C)))
+        cut[quote[short | pair] + 1] = False
+        cut[quote[short] + 2] = True
+        cut[quote[pair] + 3] = True
+    return np.flatnonzero(cut[:n])
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+class WordClasses(Classes):
+    """Classes of characters for :class:`WordEncoder`: also unsure are marks that composition may know or not, and the
+    capital sigma, whose lower case depends on its place in some libraries."""
+
+    def __init__(self):
+        super().__init__()
+        marks = [i for i in range(0x80, 0x110000) if unicodedata.category(chr(i))[0] == "M" and unicodedata.ucd_3_2_0.category(chr(i)) == "Cn"]
+        self.of_code[[*marks, 0x3A3]] = UNSURE
+
+
+class WordEncoder(Encoder):
+    """Vocabularies of lower-cased words with word ends: texts are composed (NFC) and lower-cased, then cut by
+    :func:`word_cuts`."""
+
+    def __init__(self, path: str, keep: int = KEEP, plain: bool = False):
+        super().__init__(path, keep, plain)
+        self.classes = WordClasses()
+
+    def _known_form(self, config: dict, pre: dict) -> bool:
+        steps = [x.get("type") for x in (config["normalizer"] or {}).get("normalizers", [])]
+        parts = [x.get("type") for x in pre.get("pretokenizers", [])]
+        # Fixed value: the pattern that word_cuts() stands for.
+        same = parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        return same and steps == ["NFC", "Replace", "Lowercase"] and not config["post_processor"]
+
+    def _cut(self, a: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return word_cuts(a, starts, kind)
+
+    def _pretoken_ids(self, words: list[bytes]) -> list[list[int]]:
+        spaces = [ord(x[:4].decode(errors="ignore")[0]) in _SPACES for x in words]
+        found = iter(super()._pretoken_ids([x for x, s in zip(words, spaces, strict=True) if not s]))
+        return [[] if s else next(found) for s in spaces]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        a, at = utf8(column)
+        whole = self._whole(a, at)
+        if whole.all():
+            return self._encode(a, at, whole)
+        whole[np.searchsorted(at, np.flatnonzero(self.classes(a) == UNSURE), "right") - 1] = True
+        wide = np.zeros(len(whole), bool)
+        wide[np.searchsorted(at, np.flatnonzero(a >= 0x80), "right") - 1] = True
+        low, parts = _LOWER[a], []
+        for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if whole[i]:
+                parts.append(a[s:e].tobytes())
+            elif wide[i]:
+                parts.append(unicodedata.normalize("NFC", a[s:e].tobytes().decode()).lower().encode())
+            else:
+                parts.append(low[s:e].tobytes())
+        return self._encode(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]), whole)
+
+
+class PieceEncoder(Encoder):
+    """Ids of texts that begin with a space by a sentencepiece model that adds that space itself. No piece of the model goes
+    on after the end of a word, so each space after another character begins a pre-token."""
+
+    def __init__(self, path: str, keep: int = KEEP):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = self.model.get_piece_size()
+        self.kind = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+        self.pieces = [self.model.id_to_piece(i) for i in range(n)]
+        self.space = self.model.piece_to_id("\u2581")
+        self.split = not any("\u2581" in x.lstrip("\u2581") for x in self.pieces) and self.pieces[self.space] == "\u2581"
+        self.special, self.keep = ["\u2581".encode()], keep  # taken for a space
+        self._forget()
+
+    def classes(self, a: np.ndarray) -> np.ndarray:
+        return np.zeros(len(a), np.uint8)
+
+    def _cut(self, a: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        cut = np.zeros(len(a), bool)
+        cut[1:] = (a[1:] == 0x20) & (a[:-1] != 0x20)
+        cut[starts] = True
+        return np.flatnonzero(cut)
+
+    def _pretoken_ids(self, words: list[bytes]) -> list[list[int]]:
+        found = self.model.encode([x[1:].decode() for x in words], num_threads=1) if words else []
+        return [[self.space] if len(x) == 1 else y for x, y in zip(words, found, strict=True)]
+
+    _text_ids = _pretoken_ids
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each piece: U+2581 is a space, <0xHH> the byte HH."""
+        return [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(self.pieces)]
+
+
+def byte_level_bytes(encoder: Encoder) -> list[bytes]:
+    """The bytes of each token of a byte-level vocabulary, by id (added tokens are their own strings)."""
+    back = {c: i for i, c in _VISIBLE.items()}
+    by_id: dict[int, bytes] = {}
+    for text, i in encoder.tokenizer.get_vocab(with_added_tokens=False).items():
+        by_id[i] = bytes(back[c] for c in text)
+    for i, token in encoder.tokenizer.get_added_tokens_decoder().items():
+        by_id.setdefault(i, token.content.encode())
+    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]

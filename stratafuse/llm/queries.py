@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratafuse.llm import decontaminate, mixing, near_dup, quality, repeats, secrets, token_store, toxicity, url_filter, warc
+from stratafuse.llm import alignment, decontaminate, lexical, mixing, near_dup, packing, quality, repeats, secrets, token_store, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_repeated_strings": repeats.op10_repeated_strings,
+    "op11_harmonic_packing": packing.op11_harmonic_packing,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
-SQL: dict[str, str] = {"op2_source_mix": mixing.OP2_SQL, "op6_warc_archive": warc.OP6_SQL}
+SQL: dict[str, str] = {"op2_source_mix": mixing.OP2_SQL, "op6_warc_archive": warc.OP6_SQL, "op12_lexical_search": lexical.OP12_SQL}
