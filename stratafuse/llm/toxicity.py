@@ -25,8 +25,10 @@ from stratafuse.llm import common as C
 SLOTS, DIM, FILTERS, WIDTHS, PREFIX = 1 << 15, 12, 8, (1, 2, 3), 5
 #: Bounds of the labelled sample that is collected for training and calibration.
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
-#: Bytes of text of that sample: rows are taken in the order of the hash until their texts exceed it.
+#: Bytes of text of that sample, half of them for each label: in the order of the hash, rows that don't fit any more are left out.
 MAX_BYTES = 64 << 20
+#: The score of every text where labels of both kinds are wanting: nothing is rejected without having been learnt.
+PRIOR = 0.01
 CHUNK = 1 << 15
 _LOWER_AND_PUNCTUATION = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
@@ -98,14 +100,15 @@ class Model:
 
 
 def train(texts: list[str | None], labels: np.ndarray, epochs: int | None = None, batch: int = 32, rate: float = 0.08, seed: int = 7) -> Model:
-    """Fit a model; equal input gives an equal model. Small samples get more epochs (8 to 60)."""
+    """Fit a model; equal input gives an equal model. Small samples get more epochs (8 to 60). Without texts of both labels
+    every score is PRIOR."""
     epochs = epochs or int(np.clip(60_000 // max(1, len(texts)), 8, 60))
     rng = np.random.default_rng(seed)
     n_off, width = sum(WIDTHS), len(WIDTHS) * FILTERS
     m = Model(rng.normal(0, 0.1, (3, SLOTS, DIM)).astype(np.float32), rng.normal(0, 0.3, (n_off, DIM, FILTERS)).astype(np.float32), np.zeros(width, np.float32), rng.normal(0, 0.3, width).astype(np.float32), 0.0)
     if len(texts) == 0 or labels.min() == labels.max():
         m.out[:] = 0
-        m.out_bias = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))) if len(texts) else 0.0
+        m.out_bias = float(np.log(PRIOR / (1 - PRIOR)))
         return m
     ids, at = word_ids(texts)
     rate_of = labels.mean()
@@ -176,6 +179,8 @@ def calibrate(model: Model, texts: list[str | None], labels: np.ndarray, langs:
         return float(np.clip((s[order][k] + below) / 2, 0.2, 0.8))
 
     labels = np.asarray(labels)
+    if not model.out.any():
+        return  # nothing was learnt, and the thresholds stay above the prior
     if labels.sum() >= least:
         model.default = best(scores, labels)
     for lang in {x for x in langs if x is not None}:
@@ -190,16 +195,17 @@ def _remainder() -> F.Column:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, negatives: int = MAX_NEGATIVE, most_bytes: int = MAX_BYTES) -> Model:
     """A calibrated model from at most ``positives`` + ``negatives`` labelled rows, those of
-    lowest hash of the id, whose crc32(doc_id) mod 4 is not 2, and at most ``most_bytes`` of text.
-    Conflicting labels of an id count as toxic; of rows that share an id the text of lowest hash counts."""
+    lowest hash of the id, whose crc32(doc_id) mod 4 is not 2, and at most ``most_bytes`` of text, half of it for either
+    label: a text that is larger than what is left of its half is passed over, so it takes no other's place. Conflicting labels of an id
+    count as toxic; of rows that share an id the text of lowest hash counts."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(_remainder() != 2)
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.where("toxic = 1").orderBy(order).limit(positives).union(known.where("toxic = 0").orderBy(order).limit(negatives))
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic")).orderBy(order, "doc_id").collect()
-    taken, left = [], most_bytes
+    taken, left = [], {0: most_bytes // 2, 1: most_bytes // 2}
     for r in sizes:
-        left -= r["n"]
-        if left >= 0:
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
             taken.append((r["doc_id"], r["toxic"]))
     chosen = spark.createDataFrame(taken, "doc_id long, toxic int")
     text = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
@@ -247,7 +253,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     on the whole text alone; toxic compares it with the threshold of the row's language (the
     general one for null or unseen languages). Null and empty texts get the score of no
     evidence. Null or repeated doc_ids are scored like all rows; without labels of both kinds
-    every row gets the prior. Other columns are ignored; an empty table gives an empty result.
+    every row gets PRIOR and none is toxic. Other columns are ignored; an empty table gives an empty result.
     """
     C.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
@@ -264,7 +270,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject at their language's threshold. Each row is
     judged by its own text and language, whether its doc_id is null, repeated or neither. Null and empty texts have
-    the score of no evidence; other columns stay as they are, and an empty table gives an empty one."""
+    the score of no evidence; without labels of both kinds all documents stay; other columns stay as they are, and an empty table gives an empty one."""
     C.bounded_batches(spark)
     model = spark.sparkContext.broadcast(fit(spark, docs.withColumn("doc_id", F.col("doc_id").cast("long")), C.documents(spark, sf_dir, "labels")))
     return docs.mapInArrow(_passed(model), docs.schema)

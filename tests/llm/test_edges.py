@@ -90,3 +90,27 @@ def test_training_rows_do_not_depend_on_order(spark):
     assert np.array_equal(a.tables, b.tables) and a.out_bias == b.out_bias and a.thresholds == b.thresholds
     few = toxicity.fit(spark, d, known, most_bytes=100)
     assert np.isfinite(few.out).all()
+
+
+KNOWN = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("rows", [[], [(i, 1, 0) for i in range(200)], [(i, 0, 1) for i in range(200)], [(i, None, None) for i in range(200)]])
+def test_nothing_is_rejected_without_both_labels(spark, tmp_path, rows):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = spark.createDataFrame(rows, KNOWN)
+    scored = toxicity.score_toxicity(spark, docs, known).collect()
+    assert len(scored) == docs.count() and not any(r["toxic"] for r in scored) and all(abs(r["score"] - toxicity.PRIOR) < 1e-6 for r in scored)
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.stage_toxicity(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_a_huge_labelled_text_takes_no_other_place(spark):
+    texts = [(i, ("vile " if i % 3 == 0 else "calm ") * 3 + f"word{i}", "en") for i in range(90)]
+    known = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)] + [(i, 1, i % 2) for i in range(1000, 1040)], KNOWN)
+    plain = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    huge = plain.union(spark.createDataFrame([(i, "x " * 20_000, "en") for i in range(1000, 1040)], plain.schema))
+    a, b = toxicity.fit(spark, plain, known, most_bytes=30_000), toxicity.fit(spark, huge, known, most_bytes=30_000)
+    assert np.array_equal(a.tables, b.tables) and np.array_equal(a.out, b.out) and a.out.any()
+    scores = a.score(["vile vile vile", "calm calm calm"])
+    assert scores[0] > 0.5 > scores[1]

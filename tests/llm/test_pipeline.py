@@ -161,3 +161,19 @@ def test_stages_equal_plain_python(spark, tmp_path):
     assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
     run = corpus_pipeline.run(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted((tuple(r) for r in run.collect()), key=lambda r: r[1]) == got
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    names = ("documents", "labels", "benchmark")
+    tables = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in names}
+
+    def result(empty):
+        folder = f"{tmp_path}/without-{empty}"
+        for n, t in tables.items():
+            (t.limit(0) if n == empty else t).write.parquet(f"{folder}/{n}.parquet")
+        return corpus_pipeline.run(spark, folder).count()
+
+    assert result("documents") == 0
+    docs = corpus_pipeline.stage_near_dedup(spark, tables["documents"], "").count()
+    for empty in ("labels", "benchmark"):  # nothing is rejected for want of labels or items
+        assert result(empty) > 0.8 * docs
