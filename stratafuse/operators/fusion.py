@@ -131,10 +131,14 @@ def integrate(samples: DataFrame) -> DataFrame:
     all, too little for such units, have sums of doubles."""
     unit = F.lit(1e9)
     s, w = F.col("s") * F.col("w"), F.col("w")
-    out = samples.groupBy("ix", "iy", "iz").agg(F.sum(F.round(s * unit).cast("long")).alias("_sw"), F.sum(F.round(w * unit).cast("long")).alias("_w"), F.sum(s).alias("_fsw"), F.sum(w).alias("_fw"))
+    return fused(samples.groupBy("ix", "iy", "iz").agg(F.sum(F.round(s * unit).cast("long")).alias("_sw"), F.sum(F.round(w * unit).cast("long")).alias("_w"), F.sum(s).alias("_fsw"), F.sum(w).alias("_fw")))
+
+
+def fused(sums: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The volume (with columns to keep) of each voxel's sums of s * w and w, in units (_sw, _w) and as doubles (_fsw, _fw)."""
     much = F.col("_w") >= 1_000_000
     tsdf = F.when(much, F.col("_sw").cast("double") / F.nullif(F.col("_w").cast("double"), F.lit(0.0))).otherwise(F.col("_fsw") / F.col("_fw"))
-    return out.select("ix", "iy", "iz", G.float32(tsdf).alias("tsdf"), G.float32(F.when(much, F.col("_w").cast("double") / unit).otherwise(F.col("_fw"))).alias("weight"))
+    return sums.select(*(keep or []), "ix", "iy", "iz", G.float32(tsdf).alias("tsdf"), G.float32(F.when(much, F.col("_w").cast("double") / F.lit(1e9)).otherwise(F.col("_fw"))).alias("weight"))
 
 
 def dense(volume: DataFrame, spark, grid: Grid = GRID) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafuse.functions import geometry as G
+from stratafuse.operators import blocks as B
 from stratafuse.operators import fusion as U
 from stratafuse.operators import rooms as M
 from stratafuse.operators import scenes as S
@@ -118,8 +119,31 @@ o AS (SELECT ix, iy, iz, greatest(least(sd / (0.1::DOUBLE * 3.0::DOUBLE), 1), -1
 @query(f"WITH {_POSED} SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, round((sum(CAST(round(s * w * 1e9) AS BIGINT))::DOUBLE / sum(CAST(round(w * 1e9) AS BIGINT))::DOUBLE)::FLOAT::DOUBLE, 4) AS tsdf, round((sum(CAST(round(w * 1e9) AS BIGINT))::DOUBLE / 1e9::DOUBLE)::FLOAT::DOUBLE, 4) AS weight FROM o GROUP BY 1, 2, 3")
 def posed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-01, AGG-01, AGG-03, AGG-04, GEO-37, PIP-02: turned cameras with their own K, sigma and confidence a pixel, fused."""
-    out = U.integrate(U.voxel_samples(posed_frames(spark, sf_dir)))
-    return rounded(out, "tsdf", "weight", digits=4)
+    return rounded(B.fuse(posed_frames(spark, sf_dir)), "tsdf", "weight", digits=4)
+
+
+def attributed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posed frames with a colour, a normal and an object for each pixel."""
+    k, px = F.col("frame_id"), F.sequence(F.lit(0), F.lit(32 * 24 - 1))
+    more = {
+        "color": F.flatten(F.transform(px, lambda p: F.array((p * 3 + k) % 256, (p + k * 5) % 256, (p * 7 + k * 2) % 256))), "normal": F.flatten(F.transform(px, lambda p: F.array(((p + k) % 5 - 2) / 4.0, ((p * 3 + k) % 7 - 3) / 8.0, F.lit(1.0).cast("double")))),
+        "object": F.transform(px, lambda p: F.when((F.floor(p / 64) + k) % 4 > 0, (F.floor(p / 64) + k) % 4)),
+    }
+    return posed_frames(spark, sf_dir).withColumns(more)
+
+
+_sum6 = lambda x, n: f"CAST(sum(CAST(round(({x}) * 1e6) AS BIGINT)) AS BIGINT) AS {n}"
+
+
+@query(f"""WITH {_POSED.partition("d AS (SELECT")[0]}d AS (SELECT ix, iy, iz, pix, k, {_f32(f"{_d(1.2)} + {_d(0.01)} * ((pix + k) % 97)")} - qz AS sd, {_f32(f"{_d(0.25)} * ((pix + k * 2) % 5)")} / (1.0::DOUBLE + {_f32(f"{_d(0.001)} * ((pix * 3 + k) % 50)")} / 0.1::DOUBLE) AS w FROM c),
+o AS (SELECT *, (pix // 64 + k) % 4 AS obj FROM d WHERE abs(sd) <= 0.1::DOUBLE * 3.0::DOUBLE AND w > 0),
+l AS (SELECT ix, iy, iz, nullif(obj, 0) AS obj, {_sum6("w", "w")}, {_sum6("w * ((pix * 3 + k) % 256)", "r")}, {_sum6("w * ((pix + k * 5) % 256)", "g")}, {_sum6("w * ((pix * 7 + k * 2) % 256)", "b")}, {_sum6("w * (((pix + k) % 5 - 2) / 4.0::DOUBLE)", "nx")}, {_sum6("w * (((pix * 3 + k) % 7 - 3) / 8.0::DOUBLE)", "ny")}, {_sum6("w * 1.0::DOUBLE", "nz")} FROM o GROUP BY 1, 2, 3, 4),
+m9 AS (SELECT ix, iy, iz, {", ".join(f"sum({c})::DOUBLE AS {c}" for c in ("w", "r", "g", "b", "nx", "ny", "nz"))}, (list(obj ORDER BY w DESC, obj) FILTER (obj IS NOT NULL))[1] AS top, max(w) FILTER (obj IS NOT NULL) AS most, (sum(w) FILTER (obj IS NOT NULL))::DOUBLE AS known, count(obj) AS n_objects FROM l GROUP BY 1, 2, 3)
+SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, round(w / 1e6, 6) AS weight, round(r / w, 4) AS red, round(g / w, 4) AS green, round(b / w, 4) AS blue, {", ".join(f"round({c} / sqrt(nx * nx + ny * ny + nz * nz), 4) + 0.0 AS {c}" for c in ("nx", "ny", "nz"))}, CAST(top AS BIGINT) AS object_id, round(most / known, 4) AS object_share, n_objects FROM m9""")
+def fused_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-10: colours, normals and objects fused beside the distances."""
+    out = B.fuse_attributes(attributed_frames(spark, sf_dir))
+    return rounded(rounded(out, "weight"), "red", "green", "blue", "nx", "ny", "nz", "object_share", digits=4).withColumns({c: F.col(c) + F.lit(0.0) for c in ("nx", "ny", "nz")})
 
 
 _POINTS = _POSED.partition("b AS (SELECT")[0] + f"""e AS (SELECT r.*, range % 32 AS pu, range // 32 AS pv, {_f32(f"{_d(1.2)} + {_d(0.01)} * ((range + k) % 97)")} AS d, {_f32(f"{_d(0.25)} * ((range + k * 2) % 5)")} AS c FROM r, range(768)),
