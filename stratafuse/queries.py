@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafuse.functions import geometry as G
+from stratafuse.operators import blocks as B
 from stratafuse.operators import checks as K
 from stratafuse.operators import fusion as U
 from stratafuse.operators import scenes as S
@@ -26,7 +27,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.integrate(U.voxel_samples(S.render_frames(frames(spark, sf_dir))))
+    return B.fuse(S.render_frames(frames(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- scene SQL
@@ -305,4 +306,4 @@ def stable_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.size("x").cast("long").alias("n_turns"), F.array_join(W.stable_distinct(roles), ",").alias("stable_roles"))
 
 
-from stratafuse import record_queries, scene_queries  # noqa: E402, F401  register their own
+from stratafuse import mesh_queries, record_queries, scene_queries  # noqa: E402, F401  register their own

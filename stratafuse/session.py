@@ -33,3 +33,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of :func:`stored` behind df, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if "/table-" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
