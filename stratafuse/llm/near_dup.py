@@ -9,7 +9,8 @@ several components after that are bucketed anew, by the rarest shingles of their
 (two sets above the threshold must share one of those: the prefix filter), which frees
 texts that differ from all others by too many shingles of their own. Where even that leaves
 very many pairs for each text, as of texts put together from shared passages, open buckets
-are split by finer bands: long ones over many more bins, in which few but near copies meet. Buckets
+are split by finer bands: long ones over many more bins, in which few but near copies meet. That is told
+from the buckets' sizes before their pairs are made. Buckets
 go on in rounds of stars until no untested pair of different components is left; a hub
 has been compared with everyone and leaves its bucket, so the loop ends. Every
 candidate is confirmed on the full shingle sets.
@@ -49,8 +50,11 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 #: Finer bands: bins, bands, and the chance to miss a pair at the threshold that sets their length.
 FINE_BINS, FINE_BANDS, FINE_MISS = 4096, 512, 1e-7
-#: Pairs for each text of a round above which open buckets are split by finer bands, and rounds after which one is an error.
-DENSE, ROUNDS = 16, 64
+#: Pairs for each text of a round above which open buckets are split by finer bands, how many times that the buckets
+#: may promise (a pair meets in several), and rounds after which one is an error.
+DENSE, REPEATS, ROUNDS = 16, 8, 64
+#: Hubs of a bucket in the rounds after the first.
+HUBS = 32
 
 
 def _probes() -> np.ndarray:
@@ -220,6 +224,12 @@ def _confirm(percent: int):
     return run
 
 
+def _promised(members: DataFrame, hubs: int) -> int:
+    """Pairs that the stars of these buckets have at most, told from the buckets' sizes before any is made."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    return sizes.agg(F.coalesce(F.sum(F.least("m", F.lit(hubs)) * F.col("m")), F.lit(0))).first()[0]
+
+
 def _moved(df: DataFrame, moves: DataFrame | None) -> DataFrame:
     """df with the component that comp has become part of."""
     if moves is None:
@@ -285,8 +295,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         if members.isEmpty():
             break
         if i == 1:
-            members = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare")
-            hubs = 32
+            hubs, texts = HUBS, members.select("id").distinct().count()
+            rare = C.saved(spark, _rare_buckets(spark, sets, members, percent, root, shingles * 8), root, "rare")
+            if _promised(rare, hubs) > REPEATS * DENSE * texts:
+                rare = C.saved(spark, _fine_buckets(spark, sets, rare, percent, root), root, "fine")
+            members = rare
         elif i == 2 and dense:
             members = C.saved(spark, _fine_buckets(spark, sets, members, percent, root), root, "fine")
         top, met = _stars(members, hubs, percent)

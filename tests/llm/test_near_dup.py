@@ -39,3 +39,24 @@ def test_null_repeated_and_empty(spark):
     rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in X.near_duplicates(spark, df, 3, 85).collect()), key=str)
     assert rows == [(7, 7, True), (7, 7, True), (9, 7, False), (None, None, True)]
     assert X.near_duplicates(spark, df.limit(0), 3, 85).count() == 0
+
+
+def test_pairs_of_shared_passages_are_bounded(spark, monkeypatch):
+    r = random.Random(1)
+    passages = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(40)]
+    tested, keep = {}, X.C.saved
+
+    def saved(session, df, root, name, *more):
+        out = keep(session, df, root, name, *more)
+        if name.startswith("star-"):
+            tested[name] = out.count()
+        return out
+
+    monkeypatch.setattr(X.C, "saved", saved)
+    for n, most in ((300, 25), (900, 35)):
+        rows = [(i, " ".join(r.sample(passages, 30))) for i in range(n)]
+        tested.clear()
+        got = X.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+        assert sum(tested.values()) < most * n
+        if n == 300:
+            assert {g["doc_id"]: g["component_id"] for g in got} == X.brute_force(rows, 3, 85)
