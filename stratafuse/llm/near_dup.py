@@ -52,7 +52,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 FINE_BINS, FINE_BANDS, FINE_MISS = 4096, 512, 1e-7
 #: Pairs for each text of a round above which open buckets are split by finer bands, how many times that the buckets
 #: may promise (a pair meets in several), and rounds after which one is an error.
-DENSE, REPEATS, ROUNDS = 16, 8, 64
+DENSE, REPEATS, ROUNDS = 16, 64, 64
 #: Hubs of a bucket in the rounds after the first.
 HUBS = 32
 
@@ -225,9 +225,12 @@ def _confirm(percent: int):
 
 
 def _promised(members: DataFrame, hubs: int) -> int:
-    """Pairs that the stars of these buckets have at most, told from the buckets' sizes before any is made."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
-    return sizes.agg(F.coalesce(F.sum(F.least("m", F.lit(hubs)) * F.col("m")), F.lit(0))).first()[0]
+    """Pairs of different components that the stars of these buckets have at most, told from the buckets' sizes before any is made: of a
+    bucket of m texts, L of them of its largest component, hubs meet the m - L others, and those hubs that aren't of that component its L texts."""
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("L"))
+    rest = F.col("m") - F.col("L")
+    most = F.least("m", F.lit(hubs)) * rest + F.least(rest, F.lit(hubs)) * F.col("L")
+    return sizes.agg(F.coalesce(F.sum(most), F.lit(0))).first()[0]
 
 
 def _moved(df: DataFrame, moves: DataFrame | None) -> DataFrame:
