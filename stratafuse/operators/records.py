@@ -145,8 +145,9 @@ def decode(df: DataFrame, text: str, record: Record, *keep: str) -> DataFrame:
     """The columns ``keep`` and those of the record in ``text``, with arrays of field names: ``missing``
     ones, ``ragged`` matrices, and optional ones that are ``unread``, neither null nor of their type."""
     names = list(record.fields)
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    df = df.select(*keep, F.col(text).alias("_text"), F.from_json(text, record.schema()).alias("_r"), keys.alias("_keys"))
+    # every value as text, in one reading for all fields
+    df = df.select(*keep, F.from_json(text, record.schema()).alias("_r"), F.from_json(text, "map<string,string>").alias("_raw"))
+    keys = F.coalesce(F.map_keys("_raw"), F.array().cast("array<string>"))
     cols, ragged, unread = [], [], []
     for n in names:
         kind, c = record.kind(n), F.col(f"_r.{n}")
@@ -156,12 +157,11 @@ def decode(df: DataFrame, text: str, record: Record, *keep: str) -> DataFrame:
             ragged.append(F.when(c.isNotNull() & ~F.coalesce(ok, F.lit(False)), F.lit(n)))
             c = F.flatten(c)
         if record.optional(n):
-            raw = F.get_json_object("_text", f"$.{n}")
-            unread.append(F.when(F.col(f"_r.{n}").isNull() & raw.isNotNull() & (raw != "null"), F.lit(n)))
+            unread.append(F.when(F.col(f"_r.{n}").isNull() & F.col("_raw")[n].isNotNull(), F.lit(n)))
         cols.append((kind.read(c) if kind.read else c).alias(n))
     none = F.array().cast("array<string>")
     pack = lambda xs: F.array_compact(F.array(*xs)) if xs else none
-    return df.select(*keep, *cols, F.array_except(F.array(*map(F.lit, names)), F.col("_keys")).alias("missing"), pack(ragged).alias("ragged"), pack(unread).alias("unread"))
+    return df.select(*keep, *cols, F.array_except(F.array(*map(F.lit, names)), keys).alias("missing"), pack(ragged).alias("ragged"), pack(unread).alias("unread"))
 
 
 def _of_width(width: int) -> Callable[[Column], Column]:

@@ -20,15 +20,14 @@ from pyspark.sql import functions as F
 from stratafuse.functions import geometry as G
 from stratafuse.operators import checks as K
 from stratafuse.operators import records as R
-from stratafuse.operators import scenes as S
 from stratafuse.operators import windows as W
+from stratafuse.sources import parts as P
 from stratafuse.sources import texts as X
+from stratafuse.session import discard, stored
 
 #: Arrays of a frame's depth file.
 DEPTH_KEYS = ("depth_m", "depth_sigma_m", "confidence", "object_mask", "object_id")
 PIXELS = "frame_id long, v int, u int, depth_m float, depth_sigma_m float, confidence float, object_mask boolean, object_id int"
-#: A volume with more voxels than this isn't written as one dense array.
-MOST_VOXELS = 1 << 28
 CONVENTION = {"units": "meters", "camera_frame": R.CAMERA_FRAME, "transform": "T_world_camera maps camera points into world"}
 
 
@@ -51,8 +50,9 @@ def _lines(spark: SparkSession, path: str, record: R.Record, key: str) -> DataFr
 
 
 def _write_lines(df: DataFrame, record: R.Record, order: str, path: str) -> None:
-    """One file, so one writer: rows stream through the driver in order."""
-    X.write_json_lines(path, (r[0] for r in df.orderBy(order).select(R.encode(record)).toLocalIterator()))
+    """One file in order, put together from parts that tasks write."""
+    folder, _, name = path.rpartition("/")
+    P.write_lines(df.select(order, R.encode(record).alias("_line")), order, "_line", folder, name)
 
 
 # ---------------------------------------------------------------- sessions
@@ -67,17 +67,23 @@ def write_session(spark: SparkSession, session: dict, folder: str) -> None:
     _write_lines(frames, R.POSE, "frame_id", f"{folder}/poses.jsonl")
     _write_lines(frames.withColumn("confidence", F.col("camera_confidence")), R.CAMERA, "frame_id", f"{folder}/cameras.jsonl")
     _write_lines(session["objects"], R.OBJECT, "object_id", f"{folder}/objects.jsonl")
-    index = []
-    for r in session["mesh_chunks"].select("chunk_id", "version", R.encode(R.MESH).alias("text")).orderBy("chunk_id").toLocalIterator():
-        name = f"chunk_{r['chunk_id']}_v{r['version']}.json"
-        X.write_json(f"{folder}/mesh_chunks/{name}", json.loads(r["text"]))
-        index.append({"chunk_id": r["chunk_id"], "version": r["version"], "metadata_path": name})
+    chunks = session["mesh_chunks"].select("chunk_id", "version", F.format_string("chunk_%s_v%d.json", "chunk_id", "version").alias("metadata_path"), R.encode(R.MESH).alias("text"))
+    P.join_parts(spark, folder, P.write_parts(chunks.mapInArrow(_chunk_files, P.SCHEMA), folder))
+    index = [r.asDict() for r in chunks.select("chunk_id", "version", "metadata_path").orderBy("chunk_id").toLocalIterator()]  # a name a chunk
     X.write_json(f"{folder}/mesh_chunks/index.json", {"mesh_chunks": index})
     n = session["depth"].groupBy("frame_id").applyInPandas(_depth_writer(folder), "frame_id long").count()
     X.write_json(f"{folder}/logs/runtime_profile.json", {"scene": out["session_type"], "runtime_capture": False, "neural_models": False, "frame_count": n})
     X.write_json(f"{folder}/metadata.json", out)
 
 
+def _chunk_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The file of each mesh chunk: one deterministic JSON object."""
+    for b in batches:
+        names = [f"mesh_chunks/{n}" for n in b.column("metadata_path").to_pylist()]
+        data = [(json.dumps(json.loads(t), indent=2, sort_keys=True) + "\n").encode() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array(data, pa.binary())], ["file", "part", "data"])
+
+
 def _image(px: pd.DataFrame, column: str, dtype: str) -> np.ndarray:
     """A column of one frame's pixels as an image."""
     shape = int(px["v"].max()) + 1, int(px["u"].max()) + 1
@@ -241,11 +247,13 @@ def write_cache(spark: SparkSession, frames: DataFrame, pixels: DataFrame, folde
     where = str(prediction.get("coordinate_frame", "world"))
     heads = frames.select("frame_id", _head(where).alias("head"))
     rows = predictions(frames, pixels).join(F.broadcast(heads), "frame_id").groupBy("frame_id").applyInPandas(_summary_writer(folder, arrays), "frame_id long, text string")
-    lines = [(r["frame_id"], r["text"]) for r in rows.orderBy("frame_id").toLocalIterator()]  # a summary a frame
-    X.write_json_lines(f"{folder}/frame_summaries.jsonl", (t for _, t in lines))
+    rows = stored(rows)
+    P.write_lines(rows, "frame_id", "text", folder, "frame_summaries.jsonl")
+    ids = [r[0] for r in rows.select("frame_id").orderBy("frame_id").toLocalIterator()]  # the header names every id
+    discard(rows)
     scales = sorted(r[0] for r in frames.select("scale_source").distinct().collect())
     keys = [*K.ARRAY_KEYS, *R.OPTIONAL_ARRAYS]
-    X.write_json(f"{folder}/metadata.json", {"format_name": "teacher_prediction_cache", "format_version": 1, "adapter": adapter, "prediction_metadata": prediction, "coordinate_frame": where, "coordinate_convention": CONVENTION, "frame_count": len(lines), "frame_ids": [f for f, _ in lines], "scale_sources": scales, "frame_summaries_path": "frame_summaries.jsonl", "arrays": {"stored": arrays, "directory": "arrays" if arrays else None, "optional_npz_keys": keys}})
+    X.write_json(f"{folder}/metadata.json", {"format_name": "teacher_prediction_cache", "format_version": 1, "adapter": adapter, "prediction_metadata": prediction, "coordinate_frame": where, "coordinate_convention": CONVENTION, "frame_count": len(ids), "frame_ids": ids, "scale_sources": scales, "frame_summaries_path": "frame_summaries.jsonl", "arrays": {"stored": arrays, "directory": "arrays" if arrays else None, "optional_npz_keys": keys}})
     read_cache(spark, folder)
 
 
@@ -319,21 +327,20 @@ def read_payloads(spark: SparkSession, folder: str, summaries: DataFrame) -> Dat
 
 def write_fusion(spark: SparkSession, output: str, folder: str) -> list[str]:
     """A fusion output (Parquet, see :func:`stratafuse.plans.artifacts.replay_cache`) as tsdf_grid.npz, surface_points.npz,
-    metadata.json, metrics.json and the sidecars that it has. The grid becomes one dense array, so its size is bounded."""
+    metadata.json, metrics.json and the sidecars that it has. Layers of the grid and ranges of the surface are written by tasks."""
     from stratafuse.plans import artifacts as A
 
     meta = A.read_record(spark, f"{output}/metadata", "fusion_output")
     low, high, voxel = meta["grid_min_corner_m"], meta["grid_max_corner_m"], meta["voxel_size_m"]
     shape = G.grid_shape(low, high, voxel)
-    if np.prod(shape, dtype=np.int64) > MOST_VOXELS:
-        raise ValueError(f"{output}: a grid of {shape} voxels is not written as one array")
-    tsdf, weight = np.ones(shape, np.float32), np.zeros(shape, np.float32)
-    v = spark.read.parquet(f"{output}/voxels").toArrow()
-    at = tuple(v.column(c).to_numpy() for c in ("ix", "iy", "iz"))
-    tsdf[at], weight[at] = v.column("tsdf").to_numpy(), v.column("weight").to_numpy()
-    X.write_npz(f"{folder}/tsdf_grid.npz", grid_min_corner_world_m=np.array(low, np.float32), voxel_size_m=np.float32(voxel), truncation_distance_m=np.float32(meta.get("truncation_m", 3 * voxel)), tsdf=tsdf, weight=weight)
-    s = spark.read.parquet(f"{output}/surface").orderBy("sample_id").toArrow()
-    X.write_npz(f"{folder}/surface_points.npz", points_world_m=np.stack([s.column(c).to_numpy() for c in "xyz"], 1).astype(np.float32), confidence=s.column("confidence").to_numpy().astype(np.float32), uncertainty_m=s.column("uncertainty_m").to_numpy().astype(np.float32), voxel_indices_xyz=np.stack([s.column(c).to_numpy() for c in ("ix", "iy", "iz")], 1).astype(np.int32))
+    header = {"grid_min_corner_world_m": np.array(low, np.float32), "voxel_size_m": np.float32(voxel), "truncation_distance_m": np.float32(meta.get("truncation_m", 3 * voxel))}
+    surface = spark.read.parquet(f"{output}/surface")
+    n = surface.count()
+    columns = {"points_world_m": ("<f4", ["x", "y", "z"]), "confidence": ("<f4", ["confidence"]), "uncertainty_m": ("<f4", ["uncertainty_m"]), "voxel_indices_xyz": ("<i4", ["ix", "iy", "iz"])}
+    parts = P.constant_parts(spark, {k: np.asarray(v) for k, v in header.items()}, "tsdf_grid.npz").unionByName(P.grid_parts(spark.read.parquet(f"{output}/voxels"), shape, {"tsdf": 1.0, "weight": 0.0}, "tsdf_grid.npz"))
+    parts = parts.unionByName(P.row_parts(surface, "sample_id", columns, "surface_points.npz"))
+    arrays = {"tsdf_grid.npz": [*((k, "<f4", np.shape(v)) for k, v in header.items()), *((k, "<f4", tuple(shape)) for k in ("tsdf", "weight"))], "surface_points.npz": [(k, kind, (n, 3) if len(c) == 3 else (n,)) for k, (kind, c) in columns.items()]}
+    P.join_parts(spark, folder, P.write_parts(parts, folder), arrays)
     X.write_json(f"{folder}/metadata.json", meta)
     X.write_json(f"{folder}/metrics.json", A.read_record(spark, f"{output}/metrics"))
     written = ["tsdf_grid.npz", "surface_points.npz", "metadata.json", "metrics.json"]

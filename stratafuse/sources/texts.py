@@ -16,6 +16,11 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
 
 
+def is_file(path: str) -> bool:
+    fs, at = open_fs(path)
+    return fs.get_file_info(at).type == pafs.FileType.File
+
+
 def write_bytes(path: str, data: bytes) -> None:
     fs, at = open_fs(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
