@@ -211,7 +211,7 @@ def test_exchange_layouts(spark, run, tmp_path):
 
     files = previews.write_session_preview(spark, again, str(tmp_path / "preview"))
     svg = Path(tmp_path / "preview/top_down.svg").read_text()
-    assert len(files) == 4 and svg.count("<circle") == 3 and svg.count("<line") == 9 and svg.count("<polygon") == 1 and "1 synthetic_cube" in svg
+    assert len(files) == 4 and svg.count('class="eye"') == svg.count('class="view"') == 3 and svg.count('class="track"') == svg.count('class="body"') == svg.count('class="extent"') == 1 and "1 synthetic_cube" in svg and "grid 0.5 m" in svg
     assert Path(tmp_path / "preview/depth_frame_000000.svg").read_text().count("<rect") == 768
 
     def broken(change, match):
