@@ -11,7 +11,9 @@ from stratafuse.functions import geometry as G
 from stratafuse.operators import detections as X
 from stratafuse.operators import distances as D
 from stratafuse.operators import fusion as U
+from stratafuse.operators import losses as L
 from stratafuse.operators import meshing as H
+from stratafuse.operators import sampling as N
 from stratafuse.operators import scenes as S
 from stratafuse.operators import trajectories as T
 from stratafuse.queries import _F, _POINTS, _V, frames, volume
@@ -86,6 +88,17 @@ def mesh_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH {_mesh_sql()}, {_EDGES}, points AS (SELECT count(DISTINCT id) AS n FROM corner)
+SELECT (SELECT count(*) FROM rims WHERE k = 1) AS boundary_edges, (SELECT count(*) FROM rims WHERE k > 2) AS crowded_edges, (SELECT n FROM points) - (SELECT count(*) FROM rims) + (SELECT count(*) FROM face) AS euler, (SELECT round(sum({_CROSS("a", "b", "c")}), 3) FROM face) AS area, true AS fewer""")
+def mesh_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-11: what collapsing edges of almost no error must keep (border, topology, area of flat parts), and that it saves faces."""
+    faces = stored(mesh(spark, sf_dir))
+    f, v = H.decimate(faces, H.mesh_vertices(faces), 1e-9, rounds=2)
+    out = H.mesh_report(stored(H.with_positions(f, v)))
+    n = faces.count()
+    return rounded(out.select("boundary_edges", "crowded_edges", "euler", "area", (F.col("n_faces") < n).alias("fewer")), "area", digits=3)
+
+
 _PARTS = """ties AS (SELECT a AS u, b AS v FROM face UNION SELECT b, a FROM face UNION SELECT a, c FROM face UNION SELECT c, a FROM face),
 lab(u, c) USING KEY (u) AS (SELECT DISTINCT u, u FROM ties UNION SELECT ties.u, min(lab.c) FROM lab JOIN ties ON ties.v = lab.u JOIN recurring.lab AS own_lab ON own_lab.u = ties.u WHERE lab.c < own_lab.c GROUP BY ties.u)"""
 
@@ -185,3 +198,68 @@ def track_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-07: switches and breaks of tracks."""
     o = F.col("o_orderkey")
     return X.track_breaks(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("truth"), o.alias("frame_id"), F.when(o % 4 > 0, o % 3).alias("guess")))
+
+
+# ---------------------------------------------------------------- training samples
+
+_STAGES = [(0, {"A": 3.0, "N": 1.0}), (40, {"A": 1.0, "N": 1.0, "R": 2.0})]
+
+
+@query("""WITH f AS (SELECT DISTINCT o_orderkey // 400 AS sequence, o_orderkey AS n FROM orders WHERE o_orderkey % 37 <> 5 AND o_totalprice > 60000), s AS (SELECT sequence, n AS start FROM f WHERE n % 2 = 0),
+c AS (SELECT s.sequence, s.start, list(f.n ORDER BY f.n) AS frame_ids FROM s JOIN f ON f.sequence = s.sequence AND f.n BETWEEN s.start AND s.start + 6 AND (f.n - s.start) % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 4),
+g AS (SELECT c.sequence, c.start, f.n, lead(f.n) OVER (PARTITION BY c.sequence, c.start ORDER BY f.n) - f.n AS d FROM c JOIN f ON f.sequence = c.sequence AND f.n BETWEEN c.start AND c.start + 6)
+SELECT c.sequence, c.start, array_to_string(frame_ids, ',') AS frames FROM c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.sequence = c.sequence AND g.start = c.start AND d > 1)""")
+def training_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-15: strided clips that don't cross gaps."""
+    o = F.col("o_orderkey")
+    frames_ = table(spark, sf_dir, "orders").where((o % 37 != 5) & (F.col("o_totalprice") > 60000)).select(F.expr("o_orderkey div 400").alias("sequence"), o.alias("frame_id"))
+    return N.strided_clips(frames_, 4, 2, 2).select("sequence", "start", F.array_join("frame_ids", ",").alias("frames"))
+
+
+@query("""WITH i AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT l_returnflag AS source, l_orderkey AS id FROM lineitem)),
+s AS (SELECT range // 64 AS step, range % 64 AS slot FROM range(6400)),
+h AS (SELECT *, CAST('0x' || substr(md5('7:' || step || ':' || slot), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u, CAST('0x' || substr(md5('7:item:' || step || ':' || slot), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS v, least(step / 40.0::DOUBLE, 1) AS t FROM s),
+w AS (SELECT *, 0.75::DOUBLE - 0.5::DOUBLE * t AS a, 0.75::DOUBLE - 0.5::DOUBLE * t + 0.25::DOUBLE AS b FROM h), p AS (SELECT *, CASE WHEN u < a THEN 'A' WHEN u < b THEN 'N' ELSE 'R' END AS source FROM w)
+SELECT step, slot, p.source, i.id AS item FROM p JOIN i ON i.source = p.source AND i.r = CAST(floor(v * n) AS BIGINT)""")
+def mixed_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-18: sources mixed by weights that change over the steps."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("id"))
+    return N.training_schedule(items, _STAGES, 100, 64, 7)
+
+
+# ---------------------------------------------------------------- losses
+
+
+@query("""WITH p AS (SELECT l_returnflag AS g, l_extendedprice / 20000.0::DOUBLE AS t, l_extendedprice * (1 + l_discount) / 20000.0::DOUBLE AS p FROM lineitem), e AS (SELECT g, ln(p) - ln(t) AS e, 1.0::DOUBLE / p AS i, 1.0::DOUBLE / t AS j FROM p WHERE p > 0 AND t > 0),
+m AS (SELECT g, count(*) AS n, avg(e * e) - 0.85::DOUBLE * avg(e) * avg(e) AS s, covar_pop(i, j) / var_pop(i) AS a, avg(i) AS mi, avg(j) AS mj FROM e GROUP BY g), l AS (SELECT e.g, avg(sqrt(pow(a * i + (mj - a * mi) - j, 2) + 1e-6)) AS loss FROM e JOIN m USING (g) GROUP BY e.g)
+SELECT m.g AS l_returnflag, n, round(s, 6) AS silog, round(a, 5) AS a, round(mj - a * mi, 5) AS b, round(loss, 6) AS loss FROM m JOIN l ON l.g = m.g""")
+def depth_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-14: scale-aware log error, and inverse depth after scale and shift."""
+    px = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 20000.0).alias("t"), (F.col("l_extendedprice") * (1 + F.col("l_discount")) / 20000.0).alias("p"))
+    logs = L.silog(px, "p", "t", ["l_returnflag"])
+    line = L.aligned_inverse_depth(px, "p", "t", "l_returnflag").drop("n")
+    return rounded(rounded(logs.join(line, "l_returnflag"), "silog", "loss"), "a", "b", digits=5)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS g, c_custkey % 40 AS u, c_custkey % 30 AS v, 1.0::DOUBLE + (c_custkey % 7) * 0.5::DOUBLE AS z, 0.05::DOUBLE * (c_custkey % 3) AS off, 0.1::DOUBLE * (c_nationkey % 4) AS h, 0.2::DOUBLE + 0.01::DOUBLE * c_nationkey AS tx FROM customer),
+p AS (SELECT *, (u - 19.5::DOUBLE) / 30.0::DOUBLE * z AS x, (v - 14.5::DOUBLE) / 30.0::DOUBLE * z AS y FROM c), q AS (SELECT *, cos(h) * x + sin(h) * z + tx AS qx, y AS qy, cos(h) * z - sin(h) * x AS qz FROM p),
+j AS (SELECT *, 30.0::DOUBLE * qx / qz + 19.5::DOUBLE AS uj, 30.0::DOUBLE * qy / qz + 14.5::DOUBLE + off AS vj FROM q WHERE qz > 0.1),
+n AS (SELECT *, (u - 19.5::DOUBLE) / 30.0::DOUBLE AS a, (v - 14.5::DOUBLE) / 30.0::DOUBLE AS b, (uj - 19.5::DOUBLE) / 30.0::DOUBLE AS c, (vj - 14.5::DOUBLE) / 30.0::DOUBLE AS d FROM j),
+e AS (SELECT *, 0.0::DOUBLE AS l0, -tx * (cos(h) - sin(h) * a) AS l1, tx * b AS l2, tx * sin(h) * d AS k0, tx AS k1 FROM n)
+SELECT g AS c_nationkey, count(*) AS n, round(avg(abs(d * l1 + l2)), 6) AS epipolar, round(avg(pow(d * l1 + l2, 2) / (pow(l1 / 30.0::DOUBLE, 2) + pow(k0 / 30.0::DOUBLE, 2) + pow(k1 / 30.0::DOUBLE, 2))), 5) AS sampson FROM e GROUP BY g""")
+def epipolar_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-14: epipolar distances of matches between two cameras a nation, some a little off."""
+    i, k = F.col("c_custkey"), F.col("c_nationkey")
+    h, tx = F.lit(0.1) * (k % 4), F.lit(0.2) + F.lit(0.01) * k
+    u, v, z = (i % 40).cast("double"), (i % 30).cast("double"), F.lit(1.0) + (i % 7) * F.lit(0.5)
+    camera = tuple(F.lit(x) for x in (30.0, 0.0, 19.5, 0.0, 30.0, 14.5, 0.0, 0.0, 1.0))
+    rows = table(spark, sf_dir, "customer").select(k, u.alias("u"), v.alias("v"), z.alias("z"), (F.lit(0.05) * (i % 3)).alias("off"), h.alias("h"), tx.alias("tx"))
+    p = G.unproject_pixels(F.col("u"), F.col("v"), F.col("z"), camera)
+    h, tx = F.col("h"), F.col("tx")
+    r = (F.cos(h), F.lit(0.0), F.sin(h), F.lit(0.0), F.lit(1.0), F.lit(0.0), -F.sin(h), F.lit(0.0), F.cos(h))
+    q = G.transform_points(r, (tx, F.lit(0.0), F.lit(0.0)), p)
+    rows = rows.withColumns({f"q{c}": x for c, x in zip("xyz", q, strict=True)}).where("qz > 0.1")
+    uj, vj = (F.lit(30.0) * F.col(f"q{c}") / F.nullif(F.col("qz"), F.lit(0.0)) + F.lit(m) for c, m in (("x", 19.5), ("y", 14.5)))
+    value, sampson = L.epipolar_errors(L.fundamental(r, (tx, F.lit(0.0), F.lit(0.0)), camera, camera), F.col("u"), F.col("v"), uj, vj + F.col("off"))
+    out = rows.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.avg(value).alias("epipolar"), F.avg(sampson).alias("sampson"))
+    return rounded(rounded(out, "epipolar"), "sampson", digits=5)

@@ -41,7 +41,7 @@ def camera_rows(frames: DataFrame, scene: Scene = ROOM, more: list[str] | None =
 def touched_blocks(depth: np.ndarray, camera: np.ndarray, width: int, low: np.ndarray, voxel: float, band: float, shape: np.ndarray) -> np.ndarray:
     """The blocks (rows of bx, by, bz) that hold every voxel which may lie within the band of a pixel's depth."""
     fx, cx, fy, cy = camera[:4]
-    turn, shift = camera[4:13].reshape(3, 3), camera[13:]
+    turn, shift = camera[4:13].reshape(3, 3), camera[13:16]
     d = depth.astype(np.float64)
     near, far = np.maximum(d - band, 0.0), d + band
     pixel = np.flatnonzero(np.isfinite(d) & (far > 0))
@@ -103,7 +103,7 @@ class Integrator:
 
     def rows(self, b: pa.RecordBatch, images: dict[str, int]) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
         """(row, its images, its camera) of a batch; ``images``: numbers that an image has for each pixel, where it is present."""
-        camera = np.stack([np.asarray(b.column(n)) for n in _CAMERA], 1)
+        camera = np.stack([np.asarray(b.column(n)) for n in [*_CAMERA, *(c for c in ("_ox", "_oy", "_oz") if c in b.schema.names)]], 1)
         flat = {n: np.asarray(b.column(n).flatten()) for n in images if n in b.schema.names}
         size = {n: np.asarray(b.column(n).value_lengths().fill_null(0)) for n in flat}
         start = {n: np.concatenate([[0], np.cumsum(k)]) for n, k in size.items()}
@@ -119,7 +119,7 @@ class Integrator:
         blocks = touched_blocks(own["depth"], camera, self.width, self.low, self.voxel, self.band, self.shape)
         index = (blocks[:, None, :] * SIDE + self.inside).reshape(-1, 3)
         fx, cx, fy, cy = camera[:4]
-        turn, shift = camera[4:13], camera[13:]
+        turn, shift = camera[4:13], camera[13:16]
         p = [self.low[k] + (index[:, k] + 0.5) * self.voxel for k in range(3)]
         q = [turn[3 * k] * p[0] + turn[3 * k + 1] * p[1] + turn[3 * k + 2] * p[2] + shift[k] for k in range(3)]
         seen = np.flatnonzero((q[2] > 0) & (index < self.shape).all(1))
@@ -189,6 +189,34 @@ def frame_blocks(frames: DataFrame, grid: Grid = GRID, scene: Scene = ROOM) -> D
     return rows.select("frame_id", "depth", *_CAMERA).mapInArrow(_counted(grid, scene), f"frame_id {kind}, n_blocks long")
 
 
+def _points(scene: Scene):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Integrator(GRID, scene)
+        v, u = np.divmod(np.arange(scene.width * scene.height), scene.width)
+        for b in batches:
+            for _, own, camera in look.rows(b, IMAGES):
+                d, (fx, cx, fy, cy) = own["depth"].astype(np.float64), camera[:4]
+                on = (d > 0) & (own["confidence"] > 0) if "confidence" in own else d > 0
+                d = d[on]
+                q = [(u[on] * fy - cx * fy) / (fx * fy) * d, (v[on] * fx - cy * fx) / (fx * fy) * d, d]
+                turn, center = camera[4:13].reshape(3, 3), camera[16:19]
+                p = [turn[0, k] * q[0] + turn[1, k] * q[1] + turn[2, k] * q[2] + center[k] for k in range(3)]
+                p = np.stack(p, 1).astype(np.float32).astype(np.float64)
+                p = p[np.isfinite(p).all(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, k])) for k in range(3)], list("xyz"))
+
+    return run
+
+
+def frame_points(frames: DataFrame, scene: Scene = ROOM) -> DataFrame:
+    """x, y, z (single precision) of all pixels of positive depth and confidence of frame rows: the points of
+    ``observed_points``, without a row for each pixel on the way."""
+    centers = [G.float32(x).cast("double") for x in (G.camera_center("T_world_camera") if "T_world_camera" in frames.columns else tuple(F.col(c) for c in ("ox", "oy", "oz")))]
+    named = {f"_o{c}": x for c, x in zip("xyz", centers, strict=True)}
+    rows = camera_rows(frames.withColumns(named), scene, keep=list(named))
+    return rows.mapInArrow(_points(scene), "x double, y double, z double")
+
+
 # ---------------------------------------------------------------- colours, normals, objects
 
 MORE = {"color": 3, "normal": 3, "object": 1}

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from stratafuse.session import discard, stored
 
 #: Points that a cell is compared with at once; fuller cells are divided.
-LEAF = 32
-#: Levels above and below the base, and by how much their sides differ.
-UP, DOWN, RATIO = 20, 12, 4
+LEAF = 128
+#: Levels below the base, and by how much the sides of levels differ.
+DOWN, RATIO = 12, 4
 _KEY = ["kx", "ky", "kz"]
 
 
@@ -39,26 +39,25 @@ def _to_box(p: list[Column], size: float) -> Column:
 
 
 def _pyramid(points: DataFrame, cell: float) -> tuple[dict[int, DataFrame], int, int]:
-    """Cells (kx, ky, kz, n, rep) of each level; the top has at most 8 cells, and below the base only cells of more than LEAF points are divided."""
-    levels = {}
+    """Cells (kx, ky, kz, n, rep) of each level; the top has at most 8 cells, and below the base only cells of more than LEAF points are divided.
+    Stored are the base and the levels below it."""
     keys = [F.floor(F.col(c) / F.lit(cell)).alias(k) for c, k in zip("xyz", _KEY, strict=True)]
     base = stored(points.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*"xyz")).alias("rep")))
-    levels[0], top = base, 0
-    while levels[top].limit(9).count() > 8 and top < UP:
-        up = levels[top].groupBy(*[F.floor(F.col(k) / F.lit(RATIO)).alias(k) for k in _KEY]).agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    levels, top = {0: base}, 0
+    most, *ends = base.agg(F.max("n"), *[f(k) for k in _KEY for f in (F.min, F.max)]).first()
+    while any(hi // RATIO**top - lo // RATIO**top > 1 for lo, hi in zip(ends[::2], ends[1::2], strict=True)):
         top += 1
-        levels[top] = stored(up)
+        levels[top] = base.groupBy(*[F.floor(F.col(k) / F.lit(RATIO**top)).alias(k) for k in _KEY]).agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
     low = 0
-    crowded = levels[0].where(F.col("n") > LEAF)
-    while low > -DOWN and not crowded.isEmpty():
+    while low > -DOWN and most > LEAF:
         size = cell / float(RATIO) ** (1 - low)
         keys = [F.floor(F.col(c) / F.lit(size)).alias(k) for c, k in zip("xyz", _KEY, strict=True)]
-        parents = crowded.select(*_KEY)
+        parents = levels[low].where(F.col("n") > LEAF).select(*[F.col(k).alias(f"p{k}") for k in _KEY])
         inside = points.withColumns({f"p{k}": F.floor(F.floor(F.col(c) / F.lit(size)) / F.lit(RATIO)) for c, k in zip("xyz", _KEY, strict=True)})
-        inside = inside.join(parents.toDF(*[f"p{k}" for k in _KEY]), [f"p{k}" for k in _KEY], "left_semi")
+        inside = inside.join(parents, [f"p{k}" for k in _KEY], "left_semi")
         low -= 1
         levels[low] = stored(inside.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*"xyz")).alias("rep")))
-        crowded = levels[low].where(F.col("n") > LEAF)
+        most = levels[low].agg(F.max("n")).first()[0]
     return levels, top, low
 
 
@@ -89,20 +88,16 @@ def nearest(queries: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     # all others go down from the top
     far = finite.join(ring.select("id").distinct(), "id", "left_anti")
     open_ = shown(far.crossJoin(F.broadcast(levels[top].drop("n").limit(8))), top)  # at most eight cells
-    work = [ring]
-    if not far.isEmpty():
-        open_ = _kept(open_)
-        for level in range(top - 1, -1, -1):
-            children = levels[level].select(*[F.floor(F.col(k) / F.lit(RATIO)).alias(f"p{k}") for k in _KEY], "*")
-            open_ = open_.select("id", *"xyz", *[F.col(k).alias(f"p{k}") for k in _KEY], F.col("known").alias("held"))
-            found = shown(open_.join(children.drop("n"), [f"p{k}" for k in _KEY]).drop(*[f"p{k}" for k in _KEY]), level)
-            open_ = _kept(found.withColumn("known", F.least("known", "held")).drop("held"))
-        open_ = open_.join(levels[0].select(*_KEY, "n"), _KEY)
-        now = ring.select("id", *"xyz", *_KEY, "n", "near", "known").unionByName(open_.select("id", *"xyz", *_KEY, "n", "near", "known"))
-        now = stored(now)
-        work.append(now)
-    else:
-        now = ring
+    open_ = _kept(open_)
+    for level in range(top - 1, -1, -1):
+        children = levels[level].select(*[F.floor(F.col(k) / F.lit(RATIO)).alias(f"p{k}") for k in _KEY], "*")
+        open_ = open_.select("id", *"xyz", *[F.col(k).alias(f"p{k}") for k in _KEY], F.col("known").alias("held"))
+        found = shown(open_.join(children.drop("n"), [f"p{k}" for k in _KEY]).drop(*[f"p{k}" for k in _KEY]), level)
+        open_ = _kept(found.withColumn("known", F.least("known", "held")).drop("held"))
+    open_ = open_.join(levels[0].select(*_KEY, "n"), _KEY)
+    now = ring.select("id", *"xyz", *_KEY, "n", "near", "known").unionByName(open_.select("id", *"xyz", *_KEY, "n", "near", "known"))
+    now = stored(now) if low < 0 else now
+    work = [ring, *([now] if low < 0 else [])]
     # cells of few points are compared, the others divided
     distances = []
     for level in range(0, low - 1, -1):
@@ -122,7 +117,7 @@ def nearest(queries: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     for d in distances[1:]:
         every = every.unionByName(d)
     best = stored(every.groupBy("id").agg(F.sqrt(F.min("d")).alias("distance")))
-    for table in (*work, *levels.values(), unique):
+    for table in (*work, *(levels[k] for k in levels if k <= 0), unique):
         discard(table)
     return sought.select("id").distinct().join(best, "id", "left")
 
@@ -131,7 +126,6 @@ def surface_metrics(found: DataFrame, truth: DataFrame, thresholds: tuple[float,
     """A row for each threshold: n_found, n_truth, accuracy_m (mean distance of found points (id, x, y, z) to the truth),
     completeness_m (mean distance back), chamfer_m (their mean), precision, recall, f_score. Means and ratios of an empty side are null, f_score is 0
     where precision and recall both are."""
-    out = None
     sides = []
     for name, a, b in (("found", found, truth), ("truth", truth, found)):
         within = [F.avg((F.col("distance") <= t).cast("double")).alias(f"r{i}") for i, t in enumerate(thresholds)]

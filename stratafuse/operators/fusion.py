@@ -176,11 +176,20 @@ def surface_against_scene(surface: DataFrame, grid: Grid = GRID, scene: Scene =
 def observation_bounds(points: DataFrame, voxel: float, truncation: float) -> DataFrame:
     """Grid bounds of valid points (x, y, z): padded by truncation and voxel, snapped to the grid,
     at least two voxels wide."""
+    return padded_bounds(points.agg(*point_ranges()), voxel, truncation)
+
+
+def point_ranges() -> list[Column]:
+    """lo_x, hi_x, ...: the aggregates that :func:`padded_bounds` needs."""
+    return [f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+
+
+def padded_bounds(out: DataFrame, voxel: float, truncation: float, *keep: str) -> DataFrame:
+    """The grid bounds of each row of ranges, with columns to keep."""
     pad = truncation + voxel
-    out = points.agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
     lo = {c: F.floor((F.col(f"lo_{c}") - pad) / voxel) * F.lit(voxel) for c in "xyz"}
     hi = {c: F.ceil((F.col(f"hi_{c}") + pad) / voxel) * F.lit(voxel) for c in "xyz"}
-    return out.select(*[lo[c].alias(f"min_{c}") for c in "xyz"], *[F.greatest(hi[c], lo[c] + 2 * voxel).alias(f"max_{c}") for c in "xyz"])
+    return out.select(*keep, *[lo[c].alias(f"min_{c}") for c in "xyz"], *[F.greatest(hi[c], lo[c] + 2 * voxel).alias(f"max_{c}") for c in "xyz"])
 
 
 def compare_volumes(left: DataFrame, right: DataFrame) -> DataFrame:

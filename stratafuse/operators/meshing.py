@@ -316,6 +316,14 @@ def decimate(faces: DataFrame, vertices: DataFrame, most_error: float, rounds: i
     return tri.select(*"abc"), points
 
 
+def with_positions(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces (a, b, c) with the positions of their corners (ax, ay, az, bx, ...), as :func:`mesh_report` wants them."""
+    out = faces.select(*"abc")
+    for n in "abc":
+        out = out.join(vertices.select(F.col("vertex_id").alias(n), *[F.col(x).alias(n + x) for x in "xyz"]), n)
+    return out
+
+
 # ---------------------------------------------------------------- splitting
 
 

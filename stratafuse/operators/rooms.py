@@ -1,19 +1,20 @@
-"""Seeded random rooms with one to three boxes, ray-traced by expressions.
+"""Seeded random rooms with one to three boxes, ray-traced in Arrow batches.
 
 A room is a row: its parameters are drawn by NumPy's PCG64 in executors (the only way to the
-same draws), pixels and colours are Column expressions of the row, so rendering is a projection.
+same draws), and its pixels are made where it stands: all rooms of one size in a batch are traced by array operations.
 Cameras have identity rotation and look along z.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from stratafuse.functions import geometry as G
 
@@ -42,6 +43,7 @@ def _uniform(rng: np.random.Generator, *bounds: tuple[float, float]) -> np.ndarr
 
 def draw_room(sample_seed: int) -> dict:
     """The parameters of one sample, in the order in which the stream gives them."""
+    # The ranges of all draws.
     rng = np.random.default_rng(sample_seed)
     far = float(rng.uniform(3.5, 4.2))
     center = _uniform(rng, (-0.35, 0.35), (-0.22, 0.22), (0.25, 0.6))
@@ -83,76 +85,98 @@ def camera(rooms: DataFrame) -> DataFrame:
     return rooms.withColumns({"K": k, "T_world_camera": pose})
 
 
-def _slab(origin: G.Vec, ray: G.Vec, low: G.Vec, high: G.Vec) -> tuple[Column, Column]:
-    """(enter, exit) of a ray and a box whose corners are columns; (inf, -inf) for a miss."""
-    near, far, missed = [], [], F.lit(False)
+#: Pixels that are traced at once.
+TRACED = 1 << 17
+
+
+def _slab(origin: list[np.ndarray], ray: list[np.ndarray], low: list, high: list) -> tuple[np.ndarray, np.ndarray]:
+    """(enter, exit) of rays and boxes; (inf, -inf) for a miss."""
+    enter, leave, missed = -np.inf, np.inf, False
     for o, d, lo, hi in zip(origin, ray, low, high, strict=True):
-        flat = F.abs(d) < 1e-12
-        a, b = G.safe_divide(lo - o, d), G.safe_divide(hi - o, d)
-        near.append(F.when(flat, F.lit(float("-inf"))).otherwise(F.least(a, b)))
-        far.append(F.when(flat, F.lit(float("inf"))).otherwise(F.greatest(a, b)))
+        flat = np.abs(d) < 1e-12
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a, b = (lo - o) / d, (hi - o) / d
+        enter = np.maximum(enter, np.where(flat, -np.inf, np.minimum(a, b)))
+        leave = np.minimum(leave, np.where(flat, np.inf, np.maximum(a, b)))
         missed = missed | (flat & ((o < lo) | (o > hi)))
-    enter, leave = F.greatest(*near), F.least(*far)
     hit = ~missed & (enter <= leave)
-    return F.when(hit, enter).otherwise(F.lit(float("inf"))), F.when(hit, leave).otherwise(F.lit(float("-inf")))
+    return np.where(hit, enter, np.inf), np.where(hit, leave, -np.inf)
+
+
+def _byte(x: np.ndarray) -> np.ndarray:
+    """Clipped to 0..255 and cut to an integer."""
+    return np.clip(x, 0, 255).astype(np.int32)
+
+
+def _traced(rooms: dict[str, np.ndarray], width: int, height: int, most_boxes: int) -> dict[str, np.ndarray]:
+    """depth, hit, r, g, b of rooms of one size, (rooms, pixels) each. low, high, color: (rooms, boxes, 3), absent boxes NaN."""
+    single = lambda x: float(np.float32(x))
+    focal = single(max(width, height) * 0.9)
+    v, u = np.divmod(np.arange(width * height), width)
+    ray = [((u - single((width - 1.0) * 0.5)) / focal)[None], ((v - single((height - 1.0) * 0.5)) / focal)[None], np.ones((1, 1))]
+    origin, far = [rooms[c][:, None] for c in ("ox", "oy", "oz")], rooms["far"][:, None]
+    enter, leave = _slab(origin, ray, list(LOW), [HIGH[0], HIGH[1], far])
+    depth = np.where(enter > 1e-9, enter, leave)  # from outside the room its near side is seen
+    hit = np.full(depth.shape, -1, np.int32)
+    for i in range(most_boxes):
+        corners = [[rooms[n][:, i, k, None] for k in range(3)] for n in ("low", "high")]
+        near, out = _slab(origin, ray, *corners)
+        closer = (out > 1e-9) & (near > 1e-9) & (near < depth)
+        depth, hit = np.where(closer, near, depth), np.where(closer, np.int32(i), hit)
+    p = [o + d * depth for o, d in zip(origin, ray, strict=True)]
+    # Checkers of a quarter metre and stripes across a box's diagonal, with their gradients.
+    odd = (np.floor(p[0] * 4.0) + np.floor(p[1] * 4.0)).astype(np.int64) & 1 == 1
+    z, x = (p[2] - LOW[2]) / np.maximum(far - LOW[2], 1e-6), (p[0] - LOW[0]) / max(HIGH[0] - LOW[0], 1e-6)
+    cue = (40.0 * z, 35.0 * x, 30.0 * (1.0 - z))
+    room, at = np.arange(len(depth))[:, None], np.maximum(hit, 0)
+    low, high = ([rooms[n][room, at, k] for k in range(3)] for n in ("low", "high"))
+    own = [(a - lo) / np.maximum(hi - lo, 1e-6) for a, lo, hi in zip(p, low, high, strict=True)]
+    with np.errstate(invalid="ignore"):
+        stripe = 0.75 + 0.25 * (np.floor(np.nan_to_num((own[0] + own[1] + own[2]) * 6.0)).astype(np.int64) & 1)
+    out = {"depth": depth, "hit": hit}
+    for i, (c, slope) in enumerate(zip("rgb", (28.0, 24.0, 30.0), strict=True)):
+        wall = _byte(np.where(odd, rooms["color_b"][:, i, None], rooms["color_a"][:, i, None]) * 0.82 + cue[i])
+        box = _byte(np.nan_to_num(rooms["color"][room, at, i] * stripe + slope * own[i]))
+        out[c] = np.where(hit < 0, wall, box)
+    return out
 
 
 def trace(rooms: DataFrame, most_boxes: int = 3) -> DataFrame:
     """The pixels of each room: its columns but the boxes, v, u, depth (double), hit (number of the
     box, -1: the room), r, g, b. The nearest box wins, the first one on ties; the room is what
     stands behind. Rooms with more than ``most_boxes`` boxes raise an error."""
-    boxes = F.when(F.size("boxes") <= most_boxes, F.col("boxes")).otherwise(F.raise_error(F.lit(f"boxes: more than {most_boxes}")))
-    rows = rooms.select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("_p")).withColumn("boxes", boxes)
-    rows = rows.withColumns({"v": F.expr("_p div width").cast("int"), "u": (F.col("_p") % F.col("width")).cast("int")})
-    focal = G.float32(F.greatest("width", "height").cast("double") * 0.9)
-    ray = ((F.col("u") - G.float32((F.col("width") - 1.0) * 0.5)) / focal, (F.col("v") - G.float32((F.col("height") - 1.0) * 0.5)) / focal, F.lit(1.0))
-    rows = rows.withColumns({"_dx": ray[0], "_dy": ray[1]})
-    ray, origin = (F.col("_dx"), F.col("_dy"), F.lit(1.0)), (F.col("ox"), F.col("oy"), F.col("oz"))
-    enter, leave = _slab(origin, ray, tuple(map(F.lit, LOW)), (F.lit(HIGH[0]), F.lit(HIGH[1]), F.col("far")))
-    # from outside the room its near side is seen
-    rows = rows.withColumn("_d0", F.when(enter > 1e-9, enter).otherwise(leave))
-    corners = []
-    for i in range(most_boxes):
-        box = F.get("boxes", F.lit(i))
-        corners.append(tuple(tuple(box[c][j] for j in range(3)) for c in ("low", "high")))
-        near, out = _slab(origin, ray, *corners[i])
-        rows = rows.withColumn(f"_b{i}", F.when((out > 1e-9) & (near > 1e-9), near))
-    best, hit = F.col("_d0"), F.lit(-1)
-    for i in range(most_boxes):
-        closer = F.coalesce(F.col(f"_b{i}") < best, F.lit(False))
-        best, hit = F.when(closer, F.col(f"_b{i}")).otherwise(best), F.when(closer, F.lit(i)).otherwise(hit)
-    rows = rows.withColumns({"depth": best, "hit": hit})
-    rows = rows.withColumns({f"_{c}": o + d * F.col("depth") for c, o, d in zip("xyz", origin, ray, strict=True)})
-    point = tuple(F.col(f"_{c}") for c in "xyz")
-    wall, box = wall_color(point, F.col("far"), F.col("color_a"), F.col("color_b")), box_color(point, F.get("boxes", F.col("hit")))
-    rows = rows.withColumns({c: F.when(F.col("hit") < 0, wall[i]).otherwise(box[i]) for i, c in enumerate("rgb")})
     keep = [c for c in rooms.columns if c not in ("boxes", "color_a", "color_b")]
-    return rows.select(*keep, "v", "u", "depth", "hit", "r", "g", "b")
+    flat = lambda c: F.flatten(F.transform("boxes", lambda x: F.transform(x[c], lambda y: y.cast("double"))))
+    numbers = {"_low": flat("low"), "_high": flat("high"), "_color": flat("color"), **{f"_{c}": F.transform(c, lambda y: y.cast("double")) for c in ("color_a", "color_b")}, **{f"_{c}": F.col(c).cast("double") for c in ("ox", "oy", "oz", "far")}}
+    own = ["_low", "_high", "_color", "_color_a", "_color_b", "_ox", "_oy", "_oz", "_far", "_w", "_h"]
 
-
-def _odd(x: Column) -> Column:
-    return F.floor(x).cast("long").bitwiseAND(F.lit(1).cast("long")) == 1
-
-
-def _byte(x: Column) -> Column:
-    """Clipped to 0..255 and cut to an integer."""
-    return G.clip(x, 0, 255).cast("int")
-
-
-def wall_color(p: G.Vec, far: Column, a: Column, b: Column) -> tuple[Column, ...]:
-    """Checkers of a quarter metre in two colours, with a gradient of depth and side."""
-    odd = (F.floor(p[0] * 4.0) + F.floor(p[1] * 4.0)).cast("long").bitwiseAND(F.lit(1).cast("long")) == 1
-    z = (p[2] - LOW[2]) / F.greatest(far - LOW[2], F.lit(1e-6))
-    x = (p[0] - LOW[0]) / F.lit(max(HIGH[0] - LOW[0], 1e-6))
-    cue = (F.lit(40.0) * z, F.lit(35.0) * x, F.lit(30.0) * (F.lit(1.0) - z))
-    return tuple(_byte(F.when(odd, b[i]).otherwise(a[i]).cast("double") * 0.82 + cue[i]) for i in range(3))
-
-
-def box_color(p: G.Vec, box: Column) -> tuple[Column, ...]:
-    """The box's colour in stripes across its diagonal, with a gradient along each axis."""
-    own = tuple((p[i] - box["low"][i]) / F.greatest(box["high"][i] - box["low"][i], F.lit(1e-6)) for i in range(3))
-    stripe = F.lit(0.75) + F.lit(0.25) * _odd(reduce(lambda s, x: s + x, own) * 6.0).cast("int")
-    return tuple(_byte(box["color"][i].cast("double") * stripe + F.lit(c) * own[i]) for i, c in enumerate((28.0, 24.0, 30.0)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("_w", "_h")], 1)
+            for width, height in np.unique(sizes, axis=0).tolist():
+                same, step = np.flatnonzero((sizes == (width, height)).all(1)), max(1, TRACED // max(1, width * height))
+                for at in range(0, len(same), step):
+                    part = b.take(pa.array(same[at : at + step]))
+                    n = len(part)
+                    given = {c: np.asarray(part.column(f"_{c}")) for c in ("ox", "oy", "oz", "far")} | {c: np.asarray(part.column(f"_{c}").flatten()).reshape(n, 3) for c in ("color_a", "color_b")}
+                    count = np.asarray(part.column("_low").value_lengths()) // 3
+                    if (count > most_boxes).any():
+                        raise ValueError(f"boxes: more than {most_boxes}")
+                    row, box = np.repeat(np.arange(n), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    for c in ("low", "high", "color"):
+                        given[c] = np.full((n, max(1, most_boxes), 3), np.nan)
+                        given[c][row, box] = np.asarray(part.column(f"_{c}").flatten()).reshape(-1, 3)
+                    px = _traced(given, width, height, most_boxes)
+                    rest = part.select(keep).take(pa.array(np.repeat(np.arange(n), width * height)))
+                    v, u = np.divmod(np.arange(width * height), width)
+                    columns = [pa.array(np.tile(x, n).astype(np.int32)) for x in (v, u)] + [pa.array(px[c].ravel()) for c in ("depth", "hit", "r", "g", "b")]
+                    yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*keep, "v", "u", "depth", "hit", "r", "g", "b"])
+
+    rows = rooms.withColumns(numbers | {"_w": F.col("width").cast("long"), "_h": F.col("height").cast("long")}).select(*keep, *own)
+    schema = rooms.select(*keep).schema
+    for name in ("v", "u", "depth", "hit", "r", "g", "b"):
+        schema = schema.add(name, DoubleType() if name == "depth" else IntegerType())
+    return rows.mapInArrow(run, schema)
 
 
 def room_observations(rooms: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import sys
 from pyspark.errors import AnalysisException, PythonException
 
 from stratafuse.plans import artifacts as A
-from stratafuse.plans import previews, student
+from stratafuse.plans import evaluation, previews, student
 from stratafuse.session import spark_session
 from stratafuse.sources import folders
 
@@ -44,6 +44,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("session", "teacher-cache", "runtime-fixture", "world-map"):
         command(inspect, name, "input")
     command(inspect, "tsdf-output", "input", options={"--mode": str})
+    evaluate = groups.add_parser("eval").add_subparsers(dest="command")
+    for name in evaluation.PARTS:
+        command(evaluate, name, "run_dir", options={f"--{o}": str for o in ("input", "truth", "dataset", "split", "checkpoint", "commit", "scale-source", "by", "memory")} | {"--cell": float, "--voxel": float})
+    command(evaluate, "report", "run_dir")
     adapters = groups.add_parser("adapters").add_subparsers(dest="command")
     command(adapters, "list")
     command(adapters, "run", "name", "session", "cache", flags=("--summaries-only",))
@@ -100,6 +104,10 @@ def _run(spark, a):
             return A.world_map_report(spark, a.input)
         case "inspect", "runtime-fixture":
             return A.inspect_run(spark, a.input)
+        case "eval", "report":
+            return evaluation.report(a.run_dir)
+        case "eval", part:
+            return evaluation.run(spark, part, a.run_dir, vars(a))
         case "adapters", "list":
             return "\n".join(f"{n}\t{A.adapter_status(n)}" for n in A.ADAPTERS)
         case _:

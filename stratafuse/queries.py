@@ -186,7 +186,7 @@ c AS (SELECT *, (u - 15.5) / 30.0 * d AS x, (v - 11.5) / 30.0 * d AS y FROM p)
 SELECT count(*) AS n, round(sum(CAST(round(x * 1e6) AS BIGINT)) / 1e6::DOUBLE, 6) AS sum_x, round(sum(CAST(round(y * 1e6) AS BIGINT)) / 1e6::DOUBLE, 6) AS sum_y, CAST(sum((abs(30.0 * x / d + 15.5 - u) < 1e-5)::INT) AS BIGINT) AS round_trips FROM c"""
 )
 def pinhole_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-01..04: unproject pixels, project them again."""
+    """GEO-01, GEO-02: unproject pixels, project them again."""
     k = tuple(F.lit(float(x)) for x in (30, 0, 15.5, 0, 30, 11.5, 0, 0, 1))
     u, v = (F.col("l_partkey") % 32).cast("double"), (F.col("l_suppkey") % 24).cast("double")
     x, y, z = G.unproject_pixels(u, v, F.lit(1.0) + F.col("l_discount"), k)
@@ -239,7 +239,7 @@ def expected_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, 'k_missing' AS check FROM events WHERE NOT coalesce(json_exists(props, '$.k'), false) UNION ALL SELECT event_id, 'k_range' FROM events WHERE NOT coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 90, false)
 UNION ALL SELECT event_id, 'value' FROM events WHERE NOT coalesce(value >= 1, false) UNION ALL SELECT event_id, 'event_type' FROM events WHERE NOT coalesce(event_type IN ('click', 'view', 'error', 'purchase'), false)""")
 def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-01..11, CHK-35: a suite of row checks as violations, in one scan."""
+    """CHK-04, CHK-08: a suite of row checks as violations, in one scan."""
     k = F.get_json_object("props", "$.k").try_cast("long")
     checks = {"k_missing": K.has_json_key("props", "k"), "k_range": k.between(0, 90), "value": K.finite_scalar("value") & (F.col("value") >= 1), "event_type": K.choice("event_type", ("click", "view", "error", "purchase"))}
     return K.violations(table(spark, sf_dir, "events"), "event_id", checks)
@@ -247,7 +247,7 @@ def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, 'length' AS check FROM embeddings WHERE len(embedding) <> (SELECT max(len(embedding)) FROM embeddings) UNION ALL SELECT vec_id, 'range' FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) > 0.3 UNION ALL SELECT vec_id, 'label' FROM embeddings WHERE label > 5")
 def array_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-12..18, CHK-38: checks of array values."""
+    """CHK-12, CHK-14: checks of array values."""
     e = table(spark, sf_dir, "embeddings")
     n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     return K.violations(e, "vec_id", {"length": K.vector("embedding", n), "range": F.forall("embedding", lambda x: F.abs(x) <= F.lit(0.3)), "label": F.col("label") <= 5})
@@ -261,7 +261,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'orders' AS side, o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'documents', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-06..13, SET-04/05, CHK-39: keys of one table that the other lacks."""
+    """SET-04, SET-05: keys of one table that the other lacks."""
     a = K.missing_keys(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")), "key")
     b = K.missing_keys(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")), "key")
     return a.select(F.lit("orders").alias("side"), "key").unionByName(b.select(F.lit("documents").alias("side"), "key"))
@@ -300,7 +300,7 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT conv_id, len(roles) AS n_turns, array_to_string(list_transform(list_sort(list_transform(list_distinct(roles), lambda x: {'i': list_position(roles, x), 'r': x})), lambda x: x.r), ',') AS stable_roles FROM t")
 def stable_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-06, SET-06/07/11, GEO-33: ordered batches and their distinct values in first-seen order."""
+    """WIN-06, SET-06/07/11: ordered batches and their distinct values in first-seen order."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
     roles = F.transform("x", lambda x: x["role"])
     return t.select("conv_id", F.size("x").cast("long").alias("n_turns"), F.array_join(W.stable_distinct(roles), ",").alias("stable_roles"))

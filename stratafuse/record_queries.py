@@ -408,7 +408,7 @@ def shared_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH x AS (SELECT c_custkey, c_mktsegment, c_name, MAP {'batch': c_mktsegment, 'rig': 'a'} AS base, CASE WHEN c_custkey % 5 = 0 THEN MAP {'source': 'x'} ELSE MAP {'rig': c_name} END AS extra FROM customer)
 SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'batch=' || c_mktsegment || ';rig=' || c_name END AS merged FROM x""")
 def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-32, GEO-34: extra metadata merged over a batch's own, reserved keys refused."""
+    """CHK-32: extra metadata merged over a batch's own, reserved keys refused."""
     base = F.create_map(F.lit("batch"), F.col("c_mktsegment"), F.lit("rig"), F.lit("a"))
     extra = F.when(F.col("c_custkey") % 5 == 0, F.create_map(F.lit("source"), F.lit("x"))).otherwise(F.create_map(F.lit("rig"), F.col("c_name")))
     both = R.merged_metadata(base, extra)

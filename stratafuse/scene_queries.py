@@ -118,7 +118,7 @@ o AS (SELECT ix, iy, iz, greatest(least(sd / (0.1::DOUBLE * 3.0::DOUBLE), 1), -1
 
 @query(f"WITH {_POSED} SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, round((sum(CAST(round(s * w * 1e9) AS BIGINT))::DOUBLE / sum(CAST(round(w * 1e9) AS BIGINT))::DOUBLE)::FLOAT::DOUBLE, 4) AS tsdf, round((sum(CAST(round(w * 1e9) AS BIGINT))::DOUBLE / 1e9::DOUBLE)::FLOAT::DOUBLE, 4) AS weight FROM o GROUP BY 1, 2, 3")
 def posed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-01, AGG-01, AGG-03, AGG-04, GEO-37, PIP-02: turned cameras with their own K, sigma and confidence a pixel, fused."""
+    """JOI-01, AGG-01, AGG-03, AGG-04: turned cameras with their own K, sigma and confidence a pixel, fused."""
     return rounded(B.fuse(posed_frames(spark, sf_dir)), "tsdf", "weight", digits=4)
 
 
@@ -154,12 +154,10 @@ w AS (SELECT {_f32("r0 * x + r2 * d + tx")} AS x, {_f32("y + ty")} AS y, {_f32("
 @query(f"WITH {_POINTS} SELECT count(*) AS n, {', '.join(f'round(floor((min({c}) - (0.3::DOUBLE + 0.1::DOUBLE)) / 0.1::DOUBLE) * 0.1::DOUBLE, 6) AS min_{c}, round(ceil((max({c}) + (0.3::DOUBLE + 0.1::DOUBLE)) / 0.1::DOUBLE) * 0.1::DOUBLE, 6) AS max_{c}, round(avg({c}), 5) AS mean_{c}' for c in 'xyz')} FROM w")
 def posed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEO-03, GEO-20, AGG-05, AGG-06, SET-01: points of turned cameras with their own K, and the grid around them."""
-    f = posed_frames(spark, sf_dir)
-    px = f.select("K", "T_world_camera", F.posexplode(F.arrays_zip("depth", "confidence")).alias("_p", "x")).select("K", "T_world_camera", F.expr("_p div 32").alias("v"), (F.col("_p") % 32).alias("u"), F.col("x.depth").alias("depth_m"), F.col("x.confidence").alias("confidence"))
-    points = S.observed_points(px)
-    means = points.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(f"mean_{c}") for c in "xyz"])
-    bounds = U.observation_bounds(points, 0.1, 0.3)
-    return rounded(means.crossJoin(bounds), *bounds.columns)  # one row each
+    points = B.frame_points(posed_frames(spark, sf_dir))
+    ranges = points.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(f"mean_{c}") for c in "xyz"], *U.point_ranges())
+    out = U.padded_bounds(ranges, 0.1, 0.3, "n", *[f"mean_{c}" for c in "xyz"])
+    return rounded(out, *[f"{n}_{c}" for n in ("min", "max") for c in "xyz"])
 
 
 @query("SELECT c_custkey, (floor(c_custkey * 0.5) % 2 * 0)::BIGINT + c.corner AS corner, round(c_acctbal / 1000 + (1 + c_custkey % 5)::DOUBLE / 2 * c.a, 6) AS x, round((c_custkey % 9) + (2 + c_custkey % 3)::DOUBLE / 2 * c.b, 6) AS z FROM customer, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) c(corner, a, b)")
@@ -185,7 +183,7 @@ def camera_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT l_returnflag, printf('#%02x%02x%02x', CAST(round_even(46 + t * 190, 0) AS INTEGER), CAST(round_even(88 + (1.0 - abs(t * 2 - 1)) * 90, 0) AS INTEGER), CAST(round_even(210 - t * 155, 0) AS INTEGER)) AS color FROM t)
 SELECT l_returnflag, color, count(*) AS n FROM c GROUP BY 1, 2""")
 def depth_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REN-02, REN-04: values as colours of the depth ramp."""
+    """REN-04: values as colours of the depth ramp."""
     color = P.depth_color(F.col("l_extendedprice"), F.lit(1000.0), F.lit(91000.0))
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", color.alias("color")).agg(F.count("*").alias("n"))
 
@@ -193,14 +191,14 @@ def depth_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT event_type, least(greatest(value / 200, 0), 1) AS t FROM events)
 SELECT event_type, printf('#%02x%02x%02x', CAST(round_even(t * 255.0, 0) AS INTEGER), CAST(round_even((1.0 - abs(t * 2 - 1)) * 180.0, 0) AS INTEGER), CAST(round_even((1.0 - t) * 255.0, 0) AS INTEGER)) AS color, count(*) AS n FROM t GROUP BY 1, 2""")
 def heat_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REN-08..10: values as colours of the error ramp."""
+    """REN-10: values as colours of the error ramp."""
     color = P.heat_color(P.heat_ratio(F.col("value"), F.lit(0.0), F.lit(200.0)))
     return table(spark, sf_dir, "events").groupBy("event_type", color.alias("color")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '#f3f4f6' ELSE printf('#%02x%02x%02x', CAST((89 + o_orderkey * 53) % 256 AS INTEGER), CAST((132 + o_orderkey * 97) % 256 AS INTEGER), CAST((63 + o_orderkey * 193) % 256 AS INTEGER)) END AS color FROM orders")
 def object_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REN-03, REN-05: colours of object ids."""
+    """REN-05: colours of object ids."""
     return table(spark, sf_dir, "orders").select("o_orderkey", P.object_color(F.col("o_orderkey")).alias("color"))
 
 
@@ -209,7 +207,7 @@ _BOUNDS = "b AS (SELECT min(x) AS a, max(x) AS b, min(z) AS c, max(z) AS d FROM
 
 @query(f"WITH {_BOUNDS} SELECT s_suppkey, round(56 + (s_acctbal / 1000 - e.a) / greatest(e.b - e.a, 1e-6) * 528, 4) AS x, round(424 - (s_nationkey - e.c) / greatest(e.d - e.c, 1e-6) * 368, 4) AS y FROM supplier, e")
 def plane_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-30, AGG-19, AGG-20, SET-03, REN-01: points from above, placed within the bounds of all layers."""
+    """GEO-30, AGG-19, AGG-20, SET-03: points from above, placed within the bounds of all layers."""
     a = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("z"))
     b = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 2000).alias("x"), (F.col("c_nationkey") * 2).cast("double").alias("z"))
     rows = a.crossJoin(F.broadcast(P.xz_bounds([a, b])))  # one row of bounds
