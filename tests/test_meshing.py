@@ -244,3 +244,18 @@ def test_keyframes_equal_the_loop(spark, span):
     got = sorted((r["track"], r["frame_id"]) for r in T.keyframes(df.union(df.limit(20)), 0.9, 0.5, 8, span).collect())
     assert got == plain_keyframes(rows, 0.9, 0.5, 8)
     assert T.keyframes(df.limit(0), 0.9, 0.5, 8, span).count() == 0
+
+
+# ---------------------------------------------------------------- work that must not follow repeated points
+
+
+def test_images_equal_the_expressions_and_need_no_lambdas(spark):
+    """Images are array operations (before: a lambda over 768 pixels, which Spark interprets), bit for bit those of the expression of a pixel."""
+    frames = S.fixed_frames(spark, [(-0.4 + 0.07 * i, 0.02 * i - 0.1, 0.25 + 0.11 * i) for i in range(9)])
+    drawn = S.render_frames(frames)
+    assert "lambda" not in drawn._jdf.queryExecution().toString()
+    depth, box = S.hit(F.col("u"), F.col("v"))
+    want = {(r["frame_id"], r["v"], r["u"]): (r["d"], r["o"]) for r in S.pixel_grid(frames).select("frame_id", "v", "u", depth.alias("d"), box.alias("o")).collect()}
+    got = {(r["frame_id"], r["v"], r["u"]): (r["depth_m"], r["object_mask"]) for r in S.render_pixels(frames).collect()}
+    assert got == want and len(got) == 9 * 768
+    assert {(r["frame_id"], i // 32, i % 32): x for r in drawn.collect() for i, x in enumerate(r["depth"])} == {k: d for k, (d, _) in want.items()}
