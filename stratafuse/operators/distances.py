@@ -122,14 +122,23 @@ def nearest(queries: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     return sought.select("id").distinct().join(best, "id", "left")
 
 
+def _counted(points: DataFrame) -> DataFrame:
+    """id, x, y, z, n: each place once, with the number of its points. Places are as many as the surface has, however often it was seen."""
+    places = points.select(*[F.col(c).cast("double").alias(c) for c in "xyz"]).groupBy(*"xyz").agg(F.count("*").alias("n"))
+    return stored(places.select(F.monotonically_increasing_id().alias("id"), *"xyz", "n"))
+
+
 def surface_metrics(found: DataFrame, truth: DataFrame, thresholds: tuple[float, ...], cell: float) -> DataFrame:
-    """A row for each threshold: n_found, n_truth, accuracy_m (mean distance of found points (id, x, y, z) to the truth),
+    """A row for each threshold: n_found, n_truth, accuracy_m (mean distance of found points (x, y, z; a row a point) to the truth),
     completeness_m (mean distance back), chamfer_m (their mean), precision, recall, f_score. Means and ratios of an empty side are null, f_score is 0
-    where precision and recall both are."""
+    where precision and recall both are. Each side is read once; points at one place are measured once and count as many."""
+    found, truth = _counted(found), _counted(truth)
     sides = []
     for name, a, b in (("found", found, truth), ("truth", truth, found)):
-        within = [F.avg((F.col("distance") <= t).cast("double")).alias(f"r{i}") for i, t in enumerate(thresholds)]
-        sides.append(nearest(a, b, cell).agg(F.count("*").alias(f"n_{name}"), F.avg("distance").alias("mean"), *within))
+        d = a.join(nearest(a, b, cell), "id")
+        known = F.nullif(F.sum(F.when(F.col("distance").isNotNull(), F.col("n"))), F.lit(0)).cast("double")
+        within = [(F.sum(F.when(F.col("distance") <= t, F.col("n")).otherwise(0)) / known).alias(f"r{i}") for i, t in enumerate(thresholds)]
+        sides.append(d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{name}"), (F.sum(F.col("n") * F.col("distance")) / known).alias("mean"), *within))
     p, r = (s.withColumn("t", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold_m"), F.col(f"r{i}").alias("share")) for i, t in enumerate(thresholds)]))) for s in sides)
     p = p.select("t.threshold_m", "n_found", F.col("mean").alias("accuracy_m"), F.col("t.share").alias("precision"))
     r = r.select("t.threshold_m", "n_truth", F.col("mean").alias("completeness_m"), F.col("t.share").alias("recall"))

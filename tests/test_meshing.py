@@ -249,6 +249,18 @@ def test_keyframes_equal_the_loop(spark, span):
 # ---------------------------------------------------------------- work that must not follow repeated points
 
 
+def test_equal_points_are_measured_once(spark, monkeypatch):
+    """Points at one place count as many, but only places are sought (before: each point was)."""
+    one = spark.createDataFrame([(0.0, 0.0, 0.0)] * 40 + [(1.0, 0.0, 0.0)] * 10, "x double, y double, z double")
+    other = spark.createDataFrame([(0.0, 0.0, 0.1)], "x double, y double, z double")
+    sought, plain = [], D.nearest
+    monkeypatch.setattr(D, "nearest", lambda q, p, cell: sought.append(q.count()) or plain(q, p, cell))
+    r = D.surface_metrics(one, other, (0.2,), 0.5).first()
+    assert sought == [2, 1]
+    assert (r["n_found"], r["n_truth"], r["precision"], r["recall"]) == (50, 1, 0.8, 1.0)
+    assert r["accuracy_m"] == pytest.approx((40 * 0.1 + 10 * math.sqrt(1.01)) / 50) and r["completeness_m"] == pytest.approx(0.1)
+
+
 def test_images_equal_the_expressions_and_need_no_lambdas(spark):
     """Images are array operations (before: a lambda over 768 pixels, which Spark interprets), bit for bit those of the expression of a pixel."""
     frames = S.fixed_frames(spark, [(-0.4 + 0.07 * i, 0.02 * i - 0.1, 0.25 + 0.11 * i) for i in range(9)])
