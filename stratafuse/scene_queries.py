@@ -82,8 +82,7 @@ px AS (SELECT p_partkey AS sample_id, v, u, n2 AS depth, w2 AS hit, {", ".join(c
 @query(f"WITH {_room_sql()} SELECT sample_id, count(*) AS n_pixels, CAST(sum((hit >= 0)::INT) AS BIGINT) AS box_pixels, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(CAST(round(depth * 1e6) AS BIGINT)) AS BIGINT) AS depth_micro, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM px GROUP BY sample_id")
 def traced_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-31, JOI-04, GEO-21..23, GEO-43, GEO-44: rooms of several boxes traced, with colours."""
-    px = M.trace(part_rooms(spark, sf_dir))
-    return px.groupBy("sample_id").agg(F.count("*").alias("n_pixels"), F.count_if(F.col("hit") >= 0).alias("box_pixels"), F.sum("hit").alias("hits"), F.sum(F.round(F.col("depth") * 1e6).cast("long")).alias("depth_micro"), *[F.sum(c).alias(c) for c in "rgb"])
+    return M.room_totals(part_rooms(spark, sf_dir))
 
 
 def posed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

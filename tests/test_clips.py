@@ -109,3 +109,18 @@ def test_random_rooms(spark):
     assert volume.where("weight > 0").count() > 50
     with pytest.raises(ValueError, match="count: "):
         M.random_rooms(spark, 0)
+
+
+def test_totals_equal_the_sums_of_pixels(spark):
+    """Rooms are summed in their tasks (before: the query had a row for each pixel leave Python)."""
+    from stratafuse import scene_queries as Q
+
+    rooms = Q.part_rooms(spark, "/root/testdata/sf0.001").where("sample_id between 1 and 40")
+    px = M.trace(rooms)
+    want = px.groupBy("sample_id").agg(F.count("*").alias("n_pixels"), F.count_if(F.col("hit") >= 0).alias("box_pixels"), F.sum("hit").alias("hits"), F.sum(F.round(F.col("depth") * 1e6).cast("long")).alias("depth_micro"), *[F.sum(c).alias(c) for c in "rgb"])
+    got = M.room_totals(rooms)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 40
+    twice = M.room_totals(rooms.union(rooms)).agg(F.sum("n_pixels"), F.count("*")).first()
+    assert twice[0] == 2 * 40 * 192 and twice[1] == 40
+    made = Q.traced_rooms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_pixels" in [x for x in made.split("\n") if "MapInArrow" in x][0]
