@@ -157,8 +157,9 @@ def has_json_key(text: str, key: str) -> Column:
 
 def violations(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """(key, check) for every failed check, in one scan."""
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
-    return df.select(F.col(key), F.explode(failed).alias("check"))
+    failed = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+    # a column of its own: inside the explode all checks would be interpreted, not compiled
+    return df.select(F.col(key), failed.alias("_failed")).select(F.col(key), F.explode(F.array_compact("_failed")).alias("check"))
 
 
 def require(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:

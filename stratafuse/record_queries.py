@@ -12,6 +12,11 @@ from stratafuse.operators import records as R
 from stratafuse.registry import query, table, union
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table over a few partitions for each core: rows are small here and costly once they are records, and a file may be one task."""
+    return table(spark, sf_dir, name).select(*columns).repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def _flat_pose(q: str, t: str) -> Column:
     return G.make_transform(G.rotation_from_quaternion(G.mat(q, 4)), G.vec(t))
 
@@ -175,7 +180,7 @@ def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tensors = F.struct(*[_shape("float32").alias(c) for c in K.ARRAY_KEYS if c != "static_mask"], _shape(F.when(k % 18 == 7, F.lit("")).otherwise(F.lit("bool"))).alias("static_mask"), _shape("float32", k % 2 == 0).alias("object_embeddings"), _shape("float32", k % 3 == 0).alias("object_mask_logits"))
     matches = F.when(k % 4 == 0, F.struct(k.alias("source_frame_id"), (k + 1).alias("target_frame_id"), (k % 50 - 1).alias("match_count"), _stats(F.lit(0.1), F.lit(5)).alias("confidence_summary")))
     path = F.format_string("arrays/frame_%06d.npz", k)
-    return table(spark, sf_dir, "orders").select(
+    return _spread(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus").select(
         k.alias("key"), k.alias("frame_id"), (k * 33_333_333).alias("timestamp_ns"), F.lit("world").alias("coordinate_frame"), F.when(F.col("o_orderstatus") == "P", F.lit("mixed")).otherwise(F.lit("rgb_prior")).alias("scale_source"), camera.alias("camera"), pose.alias("pose"),
         _stats(F.col("o_totalprice") / 600_000, F.lit(1)).alias("confidence_summary"), _stats(F.lit(0.01), k % 5).alias("uncertainty_summary"), _stats((k % 40 - 1).cast("double"), F.lit(1)).alias("depth_summary"),
         tensors.alias("tensor_shapes"), matches.alias("dense_matches"), F.when(k % 25 == 6, F.concat(F.lit("../"), path)).when(k % 25 == 7, F.lit("other/x.npz")).when(k % 2 == 0, path).alias("arrays_path"),

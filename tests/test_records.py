@@ -52,3 +52,12 @@ def test_text_that_is_no_record(spark):
     rows = spark.createDataFrame([(1, "no json"), (2, None), (3, "[]"), (4, "{}")], "key int, text string")
     bad = R.violations(rows, "text", R.CAMERA, "key").groupBy("key").agg(F.collect_set("check").alias("c")).collect()
     assert {r["key"] for r in bad} == {1, 2, 3, 4} and all("missing" in r["c"] and "frame_id" in r["c"] for r in bad)
+
+
+def test_checks_are_compiled_and_records_spread(spark):
+    """Checks are a column before the explode (before: within it, where Spark interprets them), and the rows of one file go to all cores before they become records (before: to one task)."""
+
+    for q in (Q.frame_summary_records,):
+        made = q(spark, "/root/testdata/sf0.001")
+        lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert [x for x in lines if "Generate explode" in x and "CASE WHEN" not in x] and any("Repartition" in x for x in lines)
