@@ -146,7 +146,7 @@ def mesh_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-11, SRC-17, SNK-23, SNK-24, CHK-06, CHK-11, CHK-15, CHK-16, CHK-23, SET-09: mesh records written, read and checked."""
     k = F.col("o_orderkey")
     n = (k % 3 + 4).cast("int")
-    rows = table(spark, sf_dir, "orders").select(
+    rows = _spread(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority").select(
         k.alias("key"), F.concat(F.lit("chunk_"), k.cast("string")).alias("chunk_id"), k.alias("version"), _identity().alias("T_world_chunk"),
         F.flatten(_sized(F.array(F.col("o_totalprice") / 1e5, F.lit(0.0), F.lit(1.5)), n)).alias("vertices_m"),
         F.array(*map(F.lit, (0, 1, 2, 0, 2)), F.when(k % 10 == 0, F.lit(99)).when(k % 22 == 13, F.lit(-1)).otherwise(F.lit(3))).cast("array<long>").alias("faces"),

@@ -56,8 +56,7 @@ def test_text_that_is_no_record(spark):
 
 def test_checks_are_compiled_and_records_spread(spark):
     """Checks are a column before the explode (before: within it, where Spark interprets them), and the rows of one file go to all cores before they become records (before: to one task)."""
-
-    for q in (Q.frame_summary_records,):
+    for q in (Q.frame_summary_records, Q.mesh_records):
         made = q(spark, "/root/testdata/sf0.001")
         lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
         assert [x for x in lines if "Generate explode" in x and "CASE WHEN" not in x] and any("Repartition" in x for x in lines)
