@@ -42,3 +42,18 @@ def test_index_against_counts():
 
 def test_empty_table(spark):
     assert rows_of(spark, []) == {}
+
+
+def test_planted_passages_at_contract_length(spark):
+    """Passages of over 50 words: those of 400 bytes and more are removed from both documents, one of 399 bytes
+    isn't; n_bytes is the text's length for all of them."""
+    rng = np.random.default_rng(9)
+    words = lambda n, k: " ".join("".join(rng.choice(list("abcdefgh"), k)) for _ in range(n))
+    fill = iter([f"{a}{words(70, 6)}{b}" for a, b in zip("ABCDEFGHIJKLMNOP", "QRSTUVWXYZabcdef", strict=True)])
+    passages = [words(60, 9), "<" + words(57, 6) + ">", words(57, 6) + ">", words(51, 5)]
+    assert [len(x) for x in passages] == [599, 400, 399, 305]
+    rows = [(2 * i + j, f"{next(fill)}{x}{next(fill)}") for i, x in enumerate(passages) for j in (0, 1)]
+    df = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in [*rows, (8, words(200, 6)), (9, words(40, 6))]], SCHEMA)
+    got = {r["doc_id"]: r for r in X.remove_repeats(spark, df).collect()}
+    assert all(got[i]["n_bytes"] == len(t) for i, t in rows)
+    assert [(got[i]["n_removed"], got[i]["n_spans"], got[i]["repeated"]) for i in range(10)] == [(599, 1, True)] * 2 + [(400, 1, True)] * 2 + [(0, 0, False)] * 6
