@@ -11,6 +11,10 @@ the match of the previous position just loses a byte, so only run heads are comp
 Crowded anchors get longer contexts first: their windows are taken in ranges, and
 what all windows of a range share is the range's own anchor. Ranges are split until few
 enough pieces meet around one, which are then indexed like all others.
+
+What is removed is a matter of bytes. Whether a text shares a passage of PASSAGE words with
+another row, which often has fewer bytes than LENGTH, is told in a column of its own: the same
+pieces, cut from words, are counted, and windows are counted only for rows that no whole piece settles.
 """
 
 from __future__ import annotations
@@ -29,16 +33,18 @@ from stratafuse.llm import common as C
 LENGTH, CONTEXT = 400, 200
 #: Pieces of one anchor above which it gets longer contexts; bytes of text of an index block.
 CROWD, BLOCK = 500, 1 << 20
+#: Words of a passage that shares_passage looks for (over 50), and of its anchors.
+PASSAGE, PASSAGE_CONTEXT = 51, 16
 
 
 class Rolled:
-    """Hashes of any substrings of a byte array."""
+    """Hashes of any substrings of an array of bytes, or of hashes of words."""
 
     def __init__(self, a: np.ndarray):
         up, self.down = C.powers(len(a) + 1)
         self.total = np.zeros(len(a) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(C._BYTE[a] * up[: len(a)], out=self.total[1:])
+            np.cumsum((C._BYTE[a] if a.dtype == np.uint8 else a) * up[: len(a)], out=self.total[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -55,21 +61,17 @@ def _window_minima(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(right[: n - k + 1], left[k - 1 : n])
 
 
-def pieces(texts: list[bytes], length: int, context: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, anchor's place in the piece, anchor hash, piece hash) of
-    all runs of windows of one anchor."""
-    data = b"".join(texts)
-    a = np.frombuffer(data, np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - [len(t) for t in texts]
-    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    if len(a) < length:
+def _runs(r: Rolled, starts: np.ndarray, ends: np.ndarray, length: int, context: int) -> tuple[np.ndarray, ...]:
+    """(first window, windows, anchor's place in the piece, anchor hash) of all runs of windows of one
+    anchor, in texts that lie at starts..ends of what is hashed."""
+    n = len(r.total) - 1
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    if n < length:
         return none
-    r = Rolled(a)
-    at = np.arange(len(a) - context + 1)
+    at = np.arange(n - context + 1)
     h = r.of(at, at + context)
     low = _window_minima((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - context + 1)
-    inside = np.zeros(len(a) + 1, np.int8)
+    inside = np.zeros(n + 1, np.int8)
     long = ends - starts >= length
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, (ends - length + 1)[long], -1)
@@ -78,14 +80,22 @@ def pieces(texts: list[bytes], length: int, context: int) -> tuple[np.ndarray, .
         return none
     p = (low[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero((np.diff(p, prepend=-1) != 0) | (np.diff(s, prepend=-2) != 1))
-    count = np.diff(np.append(first, len(s)))
     s0, p0 = s[first], p[first]
-    lead = p0 - s0
+    return s0, np.diff(np.append(first, len(s))), p0 - s0, h[p0]
+
+
+def pieces(texts: list[bytes], length: int, context: int) -> tuple[np.ndarray, ...]:
+    """(text number, first window, windows, anchor's place in the piece, anchor hash, piece hash) of
+    all runs of windows of one anchor."""
+    data = b"".join(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    s0, count, lead, anchor = _runs(Rolled(np.frombuffer(data, np.uint8)), starts, ends, length, context)
     view, own = memoryview(data), (lead << 32 | count).tolist()
     # pieces are named by what they hold: a hash of their bytes, and the anchor's place in them
     piece = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e], o) for s, e, o in zip(s0.tolist(), (s0 + count - 1 + length).tolist(), own, strict=True)), np.uint64, len(s0))
     text = np.searchsorted(ends, s0, "right")
-    return text, s0 - starts[text], count, lead, h[p0], piece
+    return text, s0 - starts[text], count, lead, anchor, piece
 
 
 PIECES = "rid long, uid long, first int, windows int, lead int, anchor long, piece long"
@@ -289,14 +299,84 @@ def _crowded_groups(spark: SparkSession, cut: DataFrame, length: int, context: i
     raise RuntimeError(f"repeats: ranges of windows are open after {ROUNDS} rounds")
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept binary"
+WORD_PIECES = "rid long, uid long, first int, windows int, anchor long, piece long"
+WINDOWS = "rid long, uid long, window long, weight int"
+
+
+def _word_pieces(words: int, context: int):
+    """Pieces of windows of so many words, each once a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, at = C.word_hashes([t.encode() for t in b.column("text").to_pylist()])
+            r = Rolled(h)
+            s0, count, lead, anchor = _runs(r, at[:-1], at[1:], words, context)
+            with np.errstate(over="ignore"):
+                piece = C.mix64(r.of(s0, s0 + count - 1 + words) + (lead << 32 | count).astype(np.uint64))
+            text = np.searchsorted(at[1:], s0, "right")
+            by = np.lexsort((piece, text))
+            by = by[(np.diff(text[by], prepend=-1) != 0) | (piece[by] != np.roll(piece[by], 1))]
+            row = pa.array(text[by], pa.int64())
+            cols = [b.column(c).take(row) for c in ("rid", "uid")] + [pa.array(x[by], pa.int32()) for x in (s0 - at[text], count)] + [pa.array(x[by].view(np.int64), pa.int64()) for x in (anchor, piece)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in WORD_PIECES.split(", ")])
+
+    return run
+
+
+def _word_windows(words: int):
+    """All windows of the pieces wanted of a text, each once a row; weight: rows that hold it, 2 if more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, uid, text, wanted in zip(*(b.column(c).to_pylist() for c in ("rid", "uid", "text", "wanted")), strict=True):
+                r = Rolled(C.word_hashes([text.encode()])[0])
+                at = np.concatenate([np.arange(w["first"], w["first"] + w["windows"]) for w in wanted])
+                weight = np.repeat([w["weight"] for w in wanted], [w["windows"] for w in wanted])
+                window, which = np.unique(r.of(at, at + words), return_inverse=True)
+                most = np.zeros(len(window), np.int32)
+                np.maximum.at(most, which, weight)
+                n = len(window)
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * n, pa.int64()), pa.array([uid] * n, pa.int64()), pa.array(window.view(np.int64), pa.int64()), pa.array(most, pa.int32())], [x.split()[0] for x in WINDOWS.split(", ")])
+
+    return run
+
+
+def passage_rows(spark: SparkSession, docs: DataFrame, words: int, context: int, root: str) -> DataFrame:
+    """(rid, uid) of the ``docs`` (rid, uid, text) that share a run of ``words`` words with another row.
+
+    Equal windows have equal anchors, so only pieces around one anchor can share one. Pieces
+    that two rows hold settle both; of the anchors of rows that none settles, one copy of each
+    piece gives its windows, which are counted. Both are sums: no pairs are made, however many rows meet."""
+    row, key = ["rid", "uid"], ["anchor", "piece"]
+    found = docs.where(F.octet_length("text") >= 2 * words - 1).select(*row, "text").mapInArrow(_word_pieces(words, context), WORD_PIECES)
+    found = C.saved(spark, found, root, "word-pieces")
+    # most anchors occur once: what is wide goes on without them
+    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = C.saved(spark, found.join(often, "anchor", "left_semi").select(found.columns), root, "word-often")
+    classes = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(*row, "first", "windows")).alias("at"))
+    classes = C.saved(spark, classes, root, "word-classes")
+    several = classes.join(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchor")
+    several = C.saved(spark, several.select("anchor", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"), "at.*"), root, "word-kinds")
+    whole = C.saved(spark, found.join(classes.where("n > 1").select(*key), key, "left_semi").select(*row).distinct(), root, "word-whole")
+
+    anchors = several.where("weight = 1").join(whole, row, "left_anti").select("anchor").distinct()
+    wanted = several.join(anchors, "anchor", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("first", "windows", "weight")).alias("wanted"))
+    wanted = C.saved(spark, wanted, root, "word-wanted")
+    texts = C.by_ids(docs.select(*row, "text"), wanted.select(*row), row, "left_semi", C.BROADCAST_KEYS).dropDuplicates(row)
+    windows = C.saved(spark, texts.join(wanted, row).select(*row, "text", "wanted").mapInArrow(_word_windows(words), WINDOWS), root, "word-windows")
+    shared = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
+    partly = windows.join(shared, "window", "left_semi").select(*row)
+    return C.saved(spark, whole.union(partly).distinct(), root, "passages")
+
+
+DIGEST = "rid long, uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept binary"
 
 
 def _remove(length: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, text, marks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
+            for rid, uid, doc, text, marks in zip(*(b.column(c).to_pylist() for c in ("rid", "uid", "doc_id", "text", "marks")), strict=True):
                 data = text.encode()
                 edge = np.zeros(len(data) + 1, np.int32)
                 for m in marks:
@@ -305,20 +385,21 @@ def _remove(length: int, keep: bool):
                     np.add.at(edge, s[1::2] - 1 + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((doc, len(data), int(gone.sum()), len(_spans(gone)) // 2, hashlib.sha256(kept).hexdigest(), bool(gone.any()), kept if keep else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()])], [x.split()[0] for x in DIGEST.split(", ")])
+                out.append((rid, uid, doc, len(data), int(gone.sum()), len(_spans(gone)) // 2, hashlib.sha256(kept).hexdigest(), bool(gone.any()), kept if keep else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([*[pa.int64()] * 6, pa.string(), pa.bool_(), pa.binary()])], [x.split()[0] for x in DIGEST.split(", ")])
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, keep_bytes: bool = False, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept for each row of ``docs`` (doc_id, text, ...).
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, context: int = CONTEXT, keep_bytes: bool = False, crowd: int = CROWD, passage: int = PASSAGE, passage_context: int = PASSAGE_CONTEXT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept, shares_passage for each row of ``docs`` (doc_id, text, ...).
 
     Texts are UTF-8 bytes (null: empty); every byte covered by a ``length``-byte string that also
     starts elsewhere (in another row or the same text) is removed, n_spans counts the
     maximal removed runs, kept_sha256 is of the bytes that remain, repeated says whether any
     were removed, and kept holds the rest if ``keep_bytes`` is set (a run may end inside a
-    character). Repeated rows repeat each other; a null doc_id is an id like all others. Other
+    character). shares_passage says whether ``passage`` words in a row, whatever separates them, also
+    are in another row; it doesn't change what is removed. Repeated rows repeat each other; a null doc_id is an id like all others. Other
     columns are ignored; an empty table gives an empty result.
     """
     C.bounded_batches(spark, 1000, 2)
@@ -353,13 +434,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, c
     single_copy = partly.join(classes.where("n > 1"), key, "left_anti")
     marks = found.join(whole.union(single_copy), key).groupBy(*row).agg(F.collect_set(F.struct("first", "spans")).alias("marks"))
     marks = C.saved(spark, marks, root, "marks")
-    C.keep_only(spark, root, "marks")
+    passages = passage_rows(spark, docs, passage, passage_context, root)
+    C.keep_only(spark, root, "marks", "passages")
     ids = marks.select(*row)
-    touched = C.by_ids(docs, ids, row, "left_semi", C.BROADCAST_KEYS).join(marks, row).select("doc_id", "text", "marks").mapInArrow(_remove(length, keep_bytes), DIGEST)
+    touched = C.by_ids(docs, ids, row, "left_semi", C.BROADCAST_KEYS).join(marks, row).select(*row, "doc_id", "text", "marks").mapInArrow(_remove(length, keep_bytes), DIGEST)
     clean = C.by_ids(docs, ids, row, "left_anti", C.BROADCAST_KEYS)
     data = F.encode("text", "UTF-8")
-    clean = clean.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), F.lit(False).alias("repeated"), (data if keep_bytes else F.lit(None).cast("binary")).alias("kept"))
-    return touched.union(clean)
+    clean = clean.select(*row, "doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), F.lit(False).alias("repeated"), (data if keep_bytes else F.lit(None).cast("binary")).alias("kept"))
+    few = passages.count() <= C.BROADCAST_KEYS
+    passages = passages.withColumn("shares_passage", F.lit(True))
+    out = touched.union(clean).join(F.broadcast(passages) if few else passages.hint("merge"), row, "left")
+    return out.drop(*row).withColumn("shares_passage", F.coalesce("shares_passage", F.lit(False)))
 
 
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,44 @@ def test_planted_passages_at_contract_length(spark):
     got = {r["doc_id"]: r for r in X.remove_repeats(spark, df).collect()}
     assert all(got[i]["n_bytes"] == len(t) for i, t in rows)
     assert [(got[i]["n_removed"], got[i]["n_spans"], got[i]["repeated"]) for i in range(10)] == [(599, 1, True)] * 2 + [(400, 1, True)] * 2 + [(0, 0, False)] * 6
+
+
+def passage_flags(rows, k):
+    """Which rows hold k words in a row that another row holds too, by counting all windows."""
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in ((t or "").split() for _, t in rows)]
+    count = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    return [any(count[x] > 1 for x in s) for s in sets]
+
+
+def test_shared_passages_below_400_bytes(spark):
+    """Passages of over 50 words that repeat across documents are told though they have fewer bytes than are removed."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    plain, short, own, blank = words(55), words(50), words(60), words(52)
+    rows = [(i, f"{words(80)} {plain} {words(80)}") for i in range(30)]
+    rows += [(30 + i, f"{words(80)} {short} {words(80)}") for i in range(5)]
+    rows += [(40, f"{own} {words(9)} {own}"), (41, blank + " " + words(70)), (42, words(70) + "\n" + blank.replace(" ", "\t\n")), (43, None), (44, ""), (45, words(400)), (46, words(300))]
+    df = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in X.remove_repeats(spark, df).collect()}
+    assert [got[i]["shares_passage"] for i, _ in rows] == passage_flags(rows, 51) == [i < 30 or i in (41, 42) for i, _ in rows]
+    assert [i for i, r in got.items() if r["n_removed"]] == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shared_passages_against_counts(spark, seed):
+    """Small vocabularies, copies with edits, runs of one word, repeated rows."""
+    rng = np.random.default_rng(seed)
+    base = [" ".join(rng.choice(list("abcdefghijklmnopqrst"), int(rng.integers(1, 60)))) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(60):
+        w = base[i].split()
+        w[int(rng.integers(len(w)))] = "zz"
+        rows.append((200 + i, "  ".join(w[int(rng.integers(0, 5)) :])))
+    rows += [(300, "a " * 50), (301, "a " * 9), (302, "b " * 50), rows[0], rows[1]]
+    df = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], SCHEMA)
+    for k, context in ((8, 3), (12, 6)):
+        got = sorted((r["doc_id"], r["shares_passage"]) for r in X.remove_repeats(spark, df, passage=k, passage_context=context).collect())
+        assert got == sorted(zip([i for i, _ in rows], passage_flags(rows, k), strict=True))
